@@ -94,8 +94,12 @@ def _with_collisions(source: DataFrame, level: DataFrame, shared: DataFrame, blo
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256."""
     identity = durable(text_identity(docs, id_col, text_col, block_bytes, hash_bits), "dedup-identity")
-    groups = identity.groupBy("_level", "_name").agg(
-        F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.coalesce(F.max_by("_row", "_id"), F.min("_row")).alias("_keep_row")
+    # written first: the join then has exchanges of its own, whose large partitions can be split
+    groups = durable(
+        identity.groupBy("_level", "_name").agg(
+            F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.coalesce(F.max_by("_row", "_id"), F.min("_row")).alias("_keep_row")
+        ),
+        "dedup-groups",
     )
     return identity.join(groups, ["_level", "_name"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_row") == F.col("_keep_row")).alias("kept"), "text_sha256"
