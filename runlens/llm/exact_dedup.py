@@ -51,7 +51,7 @@ def text_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     cut = source.select(F.explode(_blocks(source, block_bytes)).alias("_block")).withColumn("_hash", block_hash(F.col("_block")))
     names = durable(_named(cut, "_hash", "_block").select("_hash", "_name"), "dedup-blocks")
-    shared = names.groupBy("_hash").agg(F.count(F.lit(1)).alias("_blocks"), F.min("_name").alias("_name"))
+    shared = durable(names.groupBy("_hash").agg(F.count(F.lit(1)).alias("_blocks"), F.min("_name").alias("_name")), "dedup-shared")
 
     flat = rows.select("_row", F.size("_hashes").alias("_size"), F.posexplode("_hashes").alias("_at", "_hash"))
     level = flat.join(shared, "_hash")
@@ -108,10 +108,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = durable(exact_dedup(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")), "dedup-kept")
+    table = durable(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"), "kept"), "dedup-table")
+    kept = table.filter("kept").select("_kid", "_ksha")
     sha = F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)
-    left = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kid")) & (sha == F.col("_ksha")), "left_semi")
-    if left.count() == kept.count():
+    left = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("_kid")) & (sha == F.col("_ksha")), "left_semi")
+    if not table.groupBy("_kid", "_ksha").count().filter("count > 1").limit(1).count():
         return left
     # some rows repeat both id and text: one of each stays
     return left.withColumn("_ksha", sha).dropDuplicates([id_col, "_ksha"]).drop("_ksha")
