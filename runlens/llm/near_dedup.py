@@ -39,7 +39,7 @@ from runlens.llm.components import components
 
 ROWS, BANDS = 5, 25
 PLACES = ROWS * BANDS
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLOCK = 512
 BLOCK_SHINGLES = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -204,19 +204,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 linked[i] = shared > 0 and 100 * shared >= percent * either
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
 
-    left = texts.select(F.col("_tid").alias("a"), F.col("_text").alias("_left"))
-    right = texts.select(F.col("_tid").alias("b"), F.col("_text").alias("_right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_left", "_right").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    # joins by merging at every size: the plan, and what it moves, grows in proportion to the input
+    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_left"))
+    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_right"))
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.select("a", "b", "_left", "_right").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts of the ids in pairs, one a doc_id."""
-    ids = pairs.select(F.col("a").alias("_tid")).union(pairs.select(F.col("b").alias("_tid"))).distinct()
-    rows = docs.select(docs[id_col].cast("bigint").alias("_tid"), text_of(text_col).alias("_text"))
-    return rows.join(ids, "_tid", "left_semi")
-
-
-def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(_id, grams binary): the full shingle sets of the documents in ids."""
 
     def run(batches):
@@ -231,8 +226,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, j - i), pa.array(made, pa.binary())], ["_id", "grams"])
                 at += j - i
 
-    rows = docs.select(docs[id_col].cast("bigint").alias("_id"), text_of(text_col).alias("_text")).join(ids, "_id", "left_semi")
-    return rows.mapInArrow(run, "_id bigint, grams binary")
+    return texts.join(ids.hint("merge"), "_id", "left_semi").mapInArrow(run, "_id bigint, grams binary")
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +240,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # a row meets every block once: as the earlier or the later one of the pair of blocks
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
-    dealt = dealt.join(sets, "_id")
+    dealt = dealt.join(sets.hint("merge"), "_id")
     s = percent / 100
     least = int(np.floor(PLACES * s - 7 * np.sqrt(PLACES * s * (1 - s))))
 
@@ -301,17 +295,21 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
         flat.groupBy("band", "key").agg(F.min(F.struct("_id", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         .select("band", "key", F.col("pivot._id").alias("pivot"), F.col("pivot.n_shingles").alias("size")), "near-buckets"
     )
-    stars = flat.join(buckets, ["band", "key"]).filter("_id <> pivot")
-    fits = f"100 * least(n_shingles, size) >= {percent} * greatest(n_shingles, size)"
-    pairs = durable(stars.filter(fits).select(F.col("pivot").alias("a"), F.col("_id").alias("b")).distinct(), "near-stars")
-    tried = durable(confirmed(pairs, _texts_of(docs, pairs, id_col, text_col), words, percent), "near-confirmed")
+    members = durable(flat.join(buckets.hint("merge"), ["band", "key"]), "near-members")
+    # the texts of all that has a candidate, taken once; everything after this works on them alone
+    wanted = durable(members.select("_id").distinct(), "near-wanted")
+    rows_of = docs.select(docs[id_col].cast("bigint").alias("_id"), text_of(text_col).alias("_text"))
+    texts = durable(rows_of.join(wanted.hint("merge"), "_id", "left_semi"), "near-texts")
+    fits = f"_id <> pivot AND 100 * least(n_shingles, size) >= {percent} * greatest(n_shingles, size)"
+    pairs = durable(members.filter(fits).select(F.col("pivot").alias("a"), F.col("_id").alias("b")).distinct(), "near-stars")
+    tried = durable(confirmed(pairs, texts, words, percent), "near-confirmed")
     labels = durable(components(tried.filter("linked").select("a", "b")), "near-labels")
-    member = flat.select("_id", "band", "key").join(buckets.select("band", "key"), ["band", "key"]).join(labels, F.col("_id") == F.col("node"), "left")
-    member = member.select("_id", "band", "key", F.coalesce("component", "_id").alias("component"))
-    mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    open_ = durable(member.join(durable(mixed, "near-mixed"), ["band", "key"]), "near-open")
-    sets = durable(_sets(docs, open_.select("_id").distinct(), words, id_col, text_col), "near-sets")
-    across = durable(_across(open_.join(reps, "_id"), sets, percent), "near-across")
+    placed = members.select("_id", "band", "key").join(labels, F.col("_id") == F.col("node"), "left")
+    placed = durable(placed.select("_id", "band", "key", F.coalesce("component", "_id").alias("component")), "near-placed")
+    mixed = durable(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "near-mixed")
+    open_ = durable(placed.join(mixed, ["band", "key"]), "near-open")
+    sets = durable(_sets(texts, durable(open_.select("_id").distinct(), "near-open-ids"), words), "near-sets")
+    across = durable(_across(open_.join(reps.hint("merge"), "_id"), sets, percent), "near-across")
     if across.limit(1).count():
         labels = durable(components(tried.filter("linked").select("a", "b").union(across)), "near-labels")
     final = classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
