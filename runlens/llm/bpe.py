@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from runlens.llm.common import Rolling, chunks, code_points, mix64, text_bytes, text_of
 
-CHUNK = 1 << 21
-CACHE = 400_000
+CHUNK = 1 << 20
+CACHE = 250_000
 #: Pieces of more bytes than this are merged one by one with a heap.
 WIDE = 48
 

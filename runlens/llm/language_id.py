@@ -31,7 +31,7 @@ BUCKETS = 1 << 13
 SAMPLE = 4000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-CHUNK, CHUNK_ROWS = 1 << 20, 512
+CHUNK, CHUNK_ROWS = 1 << 18, 128
 UNKNOWN = "und"
 
 
