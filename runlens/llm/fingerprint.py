@@ -22,6 +22,8 @@ a hash of their text. A null doc_id sorts first. An empty table gives an empty r
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,33 +92,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, text, _range, _order, ...) rows dealt by ranges of doc_id; _extra marks a range's copy of the row that follows it."""
+    """(doc_id, text, _range, _extra) rows dealt by ranges of doc_id; _extra marks a range's copy of the row that follows it.
+
+    What the driver holds is bounded by the number of ranges: their limits and first ids.
+    """
     spark = docs.sparkSession
-    ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = [i / ranges for i in range(1, ranges)]
-    stats = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(x) for x in at]), F.lit(100 * ranges)).alias("limits"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    ranges = ranges or max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = _known([i / ranges for i in range(1, ranges)], "double")
+    stats = docs.agg(F.percentile_approx("doc_id", at, F.lit(100 * ranges)).alias("limits"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     limits = sorted({x for x in stats["limits"] or [] if x is not None})
-    rows = docs.select("doc_id", text_of("text").alias("text"))
-    own = rows.withColumn("_range", _range_of(limits)).withColumn("_extra", F.lit(0))
-    # bounded by the number of ranges: the first id of each
-    firsts = {r["_range"]: r["id"] for r in own.groupBy("_range").agg(F.min("doc_id").alias("id")).collect()}
-    used = sorted(firsts)
+    own = docs.select("doc_id", text_of("text").alias("text")).withColumn("_range", _range_of(limits)).withColumn("_extra", F.lit(0))
+    firsts: list = [None] * (len(limits) + 1)
+    for r in own.groupBy("_range").agg(F.min("doc_id").alias("id")).collect():
+        firsts[r["_range"]] = r["id"]
+    used = [i for i, x in enumerate(firsts) if x is not None]
     if stats["nulls"]:
-        firsts[used[0]] = None
-    copies = []
+        used = sorted({0, *used})
+        firsts[0] = None  # the rows without an id come first in range 0
+    before: list = [None] * len(firsts)
     for i, r in enumerate(used):
-        first, to = firsts[r], used[i - 1]
-        copies.append((first, to))
-    whole = own
-    known = [(f, t) for f, t in copies if f is not None]
-    if known:
-        goes = F.create_map(*[F.lit(x) for pair in known for x in pair])
-        extra = rows.filter(F.col("doc_id").isin([f for f, _ in known])).withColumn("_range", F.element_at(goes, F.col("doc_id")).cast("int")).withColumn("_extra", F.lit(1))
-        whole = whole.unionByName(extra)
-    for first, to in copies:
-        if first is None:
-            whole = whole.unionByName(rows.filter("doc_id IS NULL").withColumn("_range", F.lit(to)).withColumn("_extra", F.lit(1)))
-    return whole
+        before[r] = used[i - 1]
+    earlier = F.element_at(_known(before, "int"), F.col("_range") + 1)
+    is_first = F.col("doc_id").eqNullSafe(F.element_at(_known(firsts, "bigint"), F.col("_range") + 1)) & earlier.isNotNull()
+    return own.unionByName(own.filter(is_first).withColumn("_range", earlier).withColumn("_extra", F.lit(1)))
+
+
+def _known(values: list, kind: str) -> Column:
+    """One array literal; it is folded before the query runs."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def _range_of(limits: list) -> Column:
@@ -124,11 +127,9 @@ def _range_of(limits: list) -> Column:
     if not limits:
         return F.lit(0)
     step = max(1, int(len(limits) ** 0.5))
-    heads = limits[step - 1 :: step]
-    every = F.array(*[F.lit(x).cast("bigint") for x in limits])
-    coarse = F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in heads]), lambda x: x <= F.col("doc_id"))) * step
-    fine = F.size(F.filter(F.slice(every, coarse + 1, F.lit(step)), lambda x: x <= F.col("doc_id")))
-    return F.coalesce((coarse + fine).cast("int"), F.lit(0))
+    coarse = F.size(F.filter(_known(limits[step - 1 :: step], "bigint"), lambda x: x <= F.col("doc_id"))) * step
+    fine = F.size(F.filter(F.slice(_known(limits, "bigint"), coarse + 1, F.lit(step)), lambda x: x <= F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(coarse + fine).cast("int")
 
 
 def fingerprint_table(docs: DataFrame, ranges: int | None = None) -> DataFrame:
