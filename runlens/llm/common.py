@@ -1,15 +1,15 @@
-"""Helpers shared by the training-data operators: shared storage, tables, Arrow text access."""
+"""Helpers shared by the training-data operators: tables, hashes, Arrow text access."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.storage import durable, new_folder, shared_dir
+
+__all__ = ["Rolling", "chunks", "code_points", "durable", "mix64", "new_folder", "shared_dir", "stream64", "table", "text_bytes", "text_of"]
+
 #: A word of the contracts: a run without space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
 _MASK = (1 << 64) - 1
@@ -19,44 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="runlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_remove, spark, found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/runlens-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have gone first
-        pass
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and fixes generated ids.
-
-    A lost executor then costs the tasks that read its part, never a second, different run
-    of what assigned the ids.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text"):
     """Null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
