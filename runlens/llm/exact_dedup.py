@@ -108,14 +108,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    table = durable(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"), "kept"), "dedup-table")
-    kept = table.filter("kept").select("_kid", "_ksha")
+    table = durable(exact_dedup(docs, id_col, text_col, **options).select(F.col(id_col).alias("__runlens_id"), F.col("text_sha256").alias("__runlens_sha"), "kept"), "dedup-table")
+    kept = table.filter("kept").select("__runlens_id", "__runlens_sha")
     sha = F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)
-    left = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("_kid")) & (sha == F.col("_ksha")), "left_semi")
-    if not table.groupBy("_kid", "_ksha").count().filter("count > 1").limit(1).count():
+    left = docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("__runlens_id")) & (sha == F.col("__runlens_sha")), "left_semi")
+    if not table.groupBy("__runlens_id", "__runlens_sha").count().filter("count > 1").limit(1).count():
         return left
     # some rows repeat both id and text: one of each stays
-    return left.withColumn("_ksha", sha).dropDuplicates([id_col, "_ksha"]).drop("_ksha")
+    return left.withColumn("__runlens_sha", sha).dropDuplicates([id_col, "__runlens_sha"]).drop("__runlens_sha")
 
 
 ORACLE = """

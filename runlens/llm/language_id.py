@@ -215,8 +215,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(langs, idf, weights.astype(np.float32), _temperature(logits, np.array([y for _, _, y in apart], dtype=np.int64)))
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score."""
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs with the prediction and its score, under the names `made`."""
     others = [c for c in keep if c != "text"]
     names = [f"_k{i}" for i in range(len(others))]
     source = docs.select(docs["text"].cast("string").alias("_text"), *[docs[c].alias(n) for c, n in zip(others, names, strict=True)])
@@ -237,11 +237,11 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
             if not model:
                 langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             kept = batch.columns if with_text else batch.columns[1:]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*["_text"] * with_text, *names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*["_text"] * with_text, *names, "_pred", "_score"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[0 if with_text else 1 :]]
-    out = source.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
-    return out.withColumnsRenamed(dict(zip([*names, "_text"], [*others, "text"], strict=True)))
+    out = source.mapInArrow(run, ", ".join([*kinds, "_pred string", "_score double"]))
+    return out.withColumnsRenamed(dict(zip([*names, "_text", "_pred", "_score"], [*others, "text", *made], strict=True)))
 
 
 def language_table(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -253,5 +253,5 @@ def language_table(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def known_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of docs whose language is told: not `und`, with a score of at least `least`."""
-    model = fit(docs)
-    return identify(docs, model, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    told = identify(docs, fit(docs), tuple(docs.columns), ("__runlens_lang", "__runlens_score"))
+    return told.filter((F.col("__runlens_lang") != UNKNOWN) & (F.col("__runlens_score") >= least)).select(*docs.columns)

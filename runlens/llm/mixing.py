@@ -68,13 +68,11 @@ def copies_of(rate: str = "rate", id_col: str = "doc_id"):
 
 
 def planned(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """docs with size, source_size, target, rate, copies."""
-    each = sized(docs)
+    """doc_id, source, size, source_size, target, rate, copies, and the whole row of docs as the struct _doc."""
+    each = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))).drop("text")
     # written first: its true size then decides, before the documents move, whether it is broadcast
     targets = durable(source_targets(each.select("source", "size"), weights, budget, cap).withColumnRenamed("source", "_source"), "mix-targets")
-    names = [c for c in each.columns if c not in ("source_size", "target", "rate", "copies")]
-    joined = each.select(*names).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("copies", copies_of())
+    return each.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("copies", copies_of())
 
 
 def mix_table(docs: DataFrame) -> DataFrame:
@@ -86,7 +84,7 @@ def mix_table(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as its plan says, with the columns of docs."""
-    return planned(docs).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return planned(docs).filter("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
 
 
 ORACLE = """
