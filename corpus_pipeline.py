@@ -21,9 +21,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least doc_id stays."""
-    kept = near_dedup.near_dedup(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_dedup.near_dedup(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("__runlens_kept")).distinct()
     kept = durable(kept, "near-kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__runlens_kept")), "left_semi")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
