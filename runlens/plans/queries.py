@@ -13,6 +13,7 @@ from runlens.functions.vector import nearest
 from runlens.operators import classify, knowledge, tables
 from runlens.sources import documents as D
 from runlens.sources.records import parsed
+from runlens.storage import durable, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +31,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work on their texts, which a single small file should not leave to one core."""
+    return spread(_docs(spark, sf_dir))
+
+
 def _doc_path():
     return F.concat(F.lit("/data/services/"), "source", F.lit("/"), "lang", F.lit(".md"))
 
@@ -82,7 +88,7 @@ def strict_vs_lenient_diff(spark, sf_dir):
 
 @query
 def record_rejects(spark, sf_dir):
-    lines = _docs(spark, sf_dir).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = _texts(spark, sf_dir).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     rows = parsed(lines).withColumn("reason", F.coalesce("reason", F.lit("ok")))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("reason") == "ok", F.length("snippet"))), F.lit(0)).cast("bigint").alias("snippet_chars"))
 
@@ -135,28 +141,36 @@ def record_ids(spark, sf_dir):
 
 @query
 def token_counts(spark, sf_dir):
-    return T.term_counts(_docs(spark, sf_dir), "doc_id", "text", 1).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    return T.term_counts(_texts(spark, sf_dir), "doc_id", "text", 1).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 @query
 def bigram_counts(spark, sf_dir):
-    words = _docs(spark, sf_dir).select(F.explode(T.bigrams(T.tokens(F.col("text")))).alias("term"))
+    words = _texts(spark, sf_dir).select(F.explode(T.bigrams(T.tokens(F.col("text")))).alias("term"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def idf_table(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _texts(spark, sf_dir)
     return T.idf(T.term_counts(docs, "doc_id", "text", 1), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _weights(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    counts = T.term_counts(docs, "doc_id", "text", 1)
-    idfs = T.idf(counts, docs.count())
+    docs = _texts(spark, sf_dir)
+    # counted once, for frequencies, weights and norms
+    counts = durable(T.term_counts(docs, "doc_id", "text", 1), "term-counts")
+    idfs = durable(T.idf(counts, docs.count()), "idf")
     return T.weights(counts, idfs, "doc_id"), idfs
 
 
+def _matched(spark, sf_dir):
+    """Items against documents; only the postings of the items' words move, as the items are written and so of known size."""
+    docs_w, idfs = _weights(spark, sf_dir)
+    items = durable(T.weights(T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text", 1), idfs, "item_id"), "item-weights")
+    return T.best_by_index(items, docs_w, "item_id", "doc_id")
+
+
 @query
 def tfidf_weights(spark, sf_dir):
     return _weights(spark, sf_dir)[0].select("doc_id", "term", F.round("w", 6).alias("w"))
@@ -164,14 +178,12 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def tfidf_top1(spark, sf_dir):
-    corpus, idfs = _weights(spark, sf_dir)
-    items = T.weights(T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text", 1), idfs, "item_id")
-    return T.best_by_index(items, corpus, "item_id", "doc_id").select("item_id", "doc_id", "score")
+    return _matched(spark, sf_dir).select("item_id", "doc_id", "score")
 
 
 @query
 def hashed_encode(spark, sf_dir):
-    return T.buckets_of(_docs(spark, sf_dir), "doc_id", "text")
+    return T.buckets_of(_texts(spark, sf_dir), "doc_id", "text")
 
 
 @query
@@ -348,10 +360,7 @@ def session_replay(spark, sf_dir):
 
 @query
 def batch_score(spark, sf_dir):
-    corpus, idfs = _weights(spark, sf_dir)
-    items = T.weights(T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text", 1), idfs, "item_id")
-    best = T.best_by_index(items, corpus, "item_id", "doc_id")
-    named = best.join(_docs(spark, sf_dir).select("doc_id", _doc_path().alias("doc_path")), "doc_id")
+    named = _matched(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", _doc_path().alias("doc_path")), "doc_id")
     c = F.round(F.col("score") * 100, 2)
     return named.select("item_id", "doc_path", c.alias("confidence"), C.band(c).alias("band"))
 
