@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runlens.llm import bpe, exact_dedup, fingerprint, html_extract, language_id, licenses, mixing, near_dedup, quality, warc
 from runlens.llm.common import table
+from runlens.storage import spread
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,15 +20,15 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")))
+    return licenses.scan(licenses.document_paths(spread(table(spark, sf_dir, "documents"))))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_dedup.near_dedup(spread(table(spark, sf_dir, "documents")), words=3, percent=85)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.language_table(table(spark, sf_dir, "documents"))
+    return language_id.language_table(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +40,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf_dir, "documents"))
+    return bpe.token_digests(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_table(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
