@@ -63,7 +63,7 @@ SQL = {
     "combined_features": f"""SELECT doc_id, md5(source || ' ' || lang || ' ' || text) AS query_md5, md5(source || ' ' || lang || ' ' || text || ' cause') AS training_md5,
         md5('Filename: ' || lang || '.md' || chr(10) || 'Content: ' || text) AS document_md5 FROM documents""",
     "confidence_parse": "SELECT vec_id, CASE WHEN label = 9 THEN 95.5 WHEN label < 3 THEN 95.0 WHEN label < 6 THEN 75.0 ELSE 50.0 END::DOUBLE AS confidence FROM embeddings",
-    "confidence_band": f"""WITH {COS}, c AS (SELECT qid AS query_id, round(score * 100, 2) AS confidence FROM b WHERE rank = 1)
+    "confidence_band": f"""WITH {COS}, c AS (SELECT qid AS query_id, floor((round(score * 1000000)::BIGINT + 50) / 100.0::DOUBLE) / 100.0::DOUBLE AS confidence FROM b WHERE rank = 1)
         SELECT *, CASE WHEN confidence >= 80 THEN 'success' WHEN confidence >= 60 THEN 'warning' ELSE 'error' END AS band, printf('%.2f%%', confidence) AS shown FROM c""",
     "record_ids": "SELECT event_id, 'err_' || (row_number() OVER (ORDER BY event_id) + 1)::VARCHAR AS id FROM events",
     "token_counts": f"WITH {TF} SELECT term, sum(tf)::BIGINT AS n, count(*) AS df FROM tf GROUP BY term",
@@ -100,7 +100,7 @@ SQL = {
     "feedback_append": f"WITH {FB} SELECT id, md5(text) AS text_md5, correct_doc_path, 'user' AS added_by, ts FROM c",
     "feedback_latest": f"WITH {FB} SELECT md5(text) AS text_md5, id, correct_doc_path FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY ts DESC, id DESC, correct_doc_path DESC) = 1",
     "session_replay": "SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after, lower(trim(text)) IN ('q', 'quit', 'exit') AS leaves FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "batch_score": f"""WITH {TOP}, c AS (SELECT item_id, {PATH} AS doc_path, round(score * 100, 2) AS confidence FROM best JOIN documents USING (doc_id))
+    "batch_score": f"""WITH {TOP}, c AS (SELECT item_id, {PATH} AS doc_path, floor((round(score * 1000000)::BIGINT + 50) / 100.0::DOUBLE) / 100.0::DOUBLE AS confidence FROM best JOIN documents USING (doc_id))
         SELECT *, CASE WHEN confidence >= 80 THEN 'success' WHEN confidence >= 60 THEN 'warning' ELSE 'error' END AS band FROM c""",
     "status_counts": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vector_db_records, (SELECT count(*) FROM conversations) AS learned_corrections, (SELECT count(*) FROM embeddings) > 0 AS healthy",
     "feedback_stream": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

@@ -130,7 +130,7 @@ def confidence_parse(spark, sf_dir):
 @query
 def confidence_band(spark, sf_dir):
     best = nearest(_requests(v := _vectors(spark, sf_dir)), v, 1, "cosine", but_itself=True)
-    c = F.round(F.col("value") * 100, 2)
+    c = _hundredths(F.col("value"))
     return best.select(F.col("qid").alias("query_id"), c.alias("confidence"), C.band(c).alias("band"), C.percent(c).alias("shown"))
 
 
@@ -239,6 +239,11 @@ def path_missing_anti(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
+def _hundredths(score):
+    """A score of 6 digits in per cent with 2, halves up: in whole numbers, so that no engine's rounding matters."""
+    return F.floor((F.round(score * 1_000_000).cast("bigint") + 50) / 100) / 100.0
+
+
 def _catalog(docs: DataFrame) -> DataFrame:
     """Folders that have documents in few languages: so each rung of the ladder is taken by some row."""
     return docs.filter("(source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'de')) OR (source = 'src4' AND lang = 'en')").select(_doc_path().alias("path")).distinct()
@@ -361,7 +366,7 @@ def session_replay(spark, sf_dir):
 @query
 def batch_score(spark, sf_dir):
     named = _matched(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", _doc_path().alias("doc_path")), "doc_id")
-    c = F.round(F.col("score") * 100, 2)
+    c = _hundredths(F.col("score"))
     return named.select("item_id", "doc_path", c.alias("confidence"), C.band(c).alias("band"))
 
 
