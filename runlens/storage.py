@@ -48,7 +48,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 #: A table of fewer bytes may be one Parquet row group, which one task reads however the file is split.
-SMALL = 32 << 20
+SMALL = 20 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
