@@ -28,9 +28,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 1, metric: str = "l2
     value is the squared distance ("l2", least first) or the cosine ("cosine", largest first),
     rounded to `digits`; ties go to the least id. Queries are broadcast in blocks of at most
     QUERY_BLOCK; every block is one pass over the corpus, in which each batch of rows sends its
-    k best per query and no more.
+    k best per query and no more. Rows without a vector are nobody's neighbour and find none;
+    nor does a vector of zeros by cosine.
     """
     spark = queries.sparkSession
+    queries, corpus = queries.filter("vector IS NOT NULL"), corpus.filter("vector IS NOT NULL")
     passes = -(-queries.count() // QUERY_BLOCK) or 1
     found = None
     for p in range(passes):
@@ -44,7 +46,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 1, metric: str = "l2
 
 def _one_pass(spark, rows, corpus: DataFrame, k: int, metric: str, but_itself: bool, digits: int) -> DataFrame:
     ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    held = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)))
+    vectors = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
+    held = spark.sparkContext.broadcast((ids, vectors))
 
     def run(batches):
         import pyarrow as pa
@@ -61,7 +64,8 @@ def _one_pass(spark, rows, corpus: DataFrame, k: int, metric: str, but_itself: b
                 if metric == "l2":
                     score = -(np.einsum("ij,ij->i", part, part)[:, None] + np.einsum("ij,ij->i", x, x) - 2 * score)
                 else:
-                    score = score / np.sqrt(np.einsum("ij,ij->i", part, part)[:, None] * np.einsum("ij,ij->i", x, x))
+                    with np.errstate(divide="ignore", invalid="ignore"):  # vectors of zeros
+                        score = score / np.sqrt(np.einsum("ij,ij->i", part, part)[:, None] * np.einsum("ij,ij->i", x, x))
                 score = np.round(score, digits)
                 if but_itself:
                     score[ids[at : at + 512][:, None] == own] = -np.inf
