@@ -23,12 +23,12 @@ def listed(docs: DataFrame, order: str = "path", name: str = "id") -> DataFrame:
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written first: the numbers of the ranges must be the same wherever they are read
-    ranged = durable(docs.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "listed")
-    at = Window.partitionBy("_part").orderBy(order)
-    local = ranged.withColumn("_at", F.row_number().over(at))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn(name, (F.col("_at") + F.col("_before") - 1).cast("bigint")).drop("_part", "_at", "_before")
+    ranged = durable(docs.repartitionByRange(n, order).withColumn("__runlens_part", F.spark_partition_id()), "listed")
+    at = Window.partitionBy("__runlens_part").orderBy(order)
+    local = ranged.withColumn("__runlens_at", F.row_number().over(at))
+    sizes = ranged.groupBy("__runlens_part").agg(F.count(F.lit(1)).alias("__runlens_n"))
+    before = sizes.select("__runlens_part", F.coalesce(F.sum("__runlens_n").over(Window.orderBy("__runlens_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__runlens_before"))
+    return local.join(F.broadcast(before), "__runlens_part").withColumn(name, (F.col("__runlens_at") + F.col("__runlens_before") - 1).cast("bigint")).drop("__runlens_part", "__runlens_at", "__runlens_before")
 
 
 def content_of(docs: DataFrame, path: str, root: str) -> DataFrame:
