@@ -56,3 +56,13 @@ def buckets_of(rows: DataFrame, id_col: str, text_col: str, buckets: int = 256)
     slot = F.pmod(F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
     words = rows.select(id_col, F.explode(tokens(F.col(text_col))).alias("_t"))
     return words.groupBy(id_col, slot.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hashed_vectors(rows: DataFrame, id_col: str, text_col: str, buckets: int = 256) -> DataFrame:
+    """(id, vector): the hashed word counts as one vector of length 1 per id; a text without words has zeros."""
+    entries = F.collect_list(F.struct(F.col("bucket"), F.col("n").cast("double")))  # one a bucket at most
+    counts = buckets_of(rows, id_col, text_col, buckets).groupBy(id_col).agg(F.map_from_entries(entries).alias("_m"))
+    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda s, x: s + x * x))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at(F.col("_m"), b.cast("bigint")), F.lit(0.0)) / norm)
+    found = counts.select(id_col, dense.alias("vector"))
+    return rows.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("vector", F.array_repeat(F.lit(0.0), buckets)).alias("vector"))
