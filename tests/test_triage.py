@@ -97,3 +97,25 @@ def test_batch(triage, tmp_path):
     (tmp_path / "in.json").write_text(json.dumps([{"Timestamp": "t", "Service": "s", "Error_Category": "e", "Raw_Input_Snippet": s, "Root_Cause": "r"} for s in ("height: 999 metres", "missing name")]))
     got = triage.batch(str(tmp_path / "in.json")).orderBy("qid").collect()
     assert [r["doc_path"].rsplit("/", 1)[1] for r in got] == ["BAD_VALUE.md", "NO_FIELD.md"] and got[0]["shown"] == "75.00%"
+
+
+def test_conversation(triage):
+    from runlens.shell import converse
+
+    path = f"{triage.docs_root}/beta/OTHER.md"
+    lines, said = iter(["", "missing name", "n", path, "missing name", "Y", "QUIT"]), []
+    assert converse(triage, lambda _: next(lines), said.append) == 1
+    assert said[0].endswith("gamma/NO_FIELD.md (OFFICIAL_KNOWLEDGE, 75.00%)") and said[-1] == f"{path} (LEARNED_MEMORY (Feedback), 95.00%)"
+
+
+def test_commands(spark, triage, tmp_path, capsys):
+    from runlens.__main__ import main
+
+    state = [f"{tmp_path}/other", triage.docs_root]
+    main([*state, "load", f"{tmp_path}/records.csv"])
+    main([*state, "teach", "odd words", f"{triage.docs_root}/alpha/BAD_VALUE.md"])
+    (tmp_path / "in.json").write_text(json.dumps([{"Raw_Input_Snippet": "odd words"}]))
+    main([*state, "batch", f"{tmp_path}/in.json"])
+    main([*state, "status"])
+    out = capsys.readouterr().out
+    assert "LEARNED_MEMORY" in out and "Semantic: Ready" in out
