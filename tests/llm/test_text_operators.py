@@ -60,6 +60,44 @@ def test_licence_cosine_by_hand():
     assert all(sum(x * x for x in v.values()) == pytest.approx(1) for _, _, v in vectors) and idf["under"] < idf["eclipse"]
 
 
+_GPL = """/* pad.c - left pad
+ * Copyright (C) 2020 Some Body <a@b.c>
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ */
+int main(void) { return 0; }"""
+_ISC = """Copyright (c) 2021, Some Body
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (_GPL, "GPL-3.0"), (_GPL.replace("version 3", "version 2"), "GPL-2.0"), (_GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), (_ISC, "ISC"),
+        ("# SPDX-License-Identifier: MIT\ncode = 1", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("x\n# SPDX-License-Identifier: GPL-3.0-or-later\ny", "GPL-3.0"),
+        ("# SPDX-License-Identifier: MIT-0", "MIT-0"),
+        ("Licensed under the MIT License. See LICENSE file in the project root for license information", "MIT"),
+        ("word " * 3000 + "\n// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except\n" + "more " * 3000, "Apache-2.0"),
+        ("Released under the Foo License.", None), ("All the words of a license that nobody knows, and more of the same kind.", None), ("copyright", None),
+    ],
+)
+def test_licence_headers(text, want):
+    assert licenses.licence_of(text, licenses.known_templates())[0] == want
+
+
+def test_whole_licence_texts():
+    known = licenses.known_templates()
+    for name, text, _ in licenses._templates():
+        assert licenses.licence_of("Copyright 2020 Some Body\n\n" + text + "\n\nThe end of the file.", known)[0] == name
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, words, percent):
     docs = awkward(spark)
