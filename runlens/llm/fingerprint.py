@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing (native DataFrame operations only).
 
-Tokens are runs of at most TOKEN characters without white space. Token hashes are combined
-into hashes of K tokens by doubling (2 tokens, then 4), which costs log2(K) steps a
-position whatever K. Of each window of W neighbouring K-gram hashes the least is chosen,
-the rightmost one on ties; chosen positions are kept. A passage of K + W - 1 tokens that
-two texts share is therefore always found in both fingerprints.
+A run of at most TOKEN characters without white space is one token; a longer run has a token of
+TOKEN characters at every character (code point), so that its tokens do not depend on where
+the run starts. Token hashes are combined into hashes of K tokens by doubling (2 tokens, then
+4) in place of a rolling hash over characters, which costs log2(K) steps a position whatever K.
+Of each window of W neighbouring K-gram hashes the least is chosen, the rightmost one on ties;
+chosen positions are kept. A passage of K + W - 1 tokens that two texts share is therefore
+always found in both fingerprints; inside a long run that is one of TOKEN + K + W - 2 characters.
 
 A hash and its position travel as one long, hash in the high 32 bits and reversed position
 in the low 31, so that the least long of a window is the rightmost least hash; windows are
@@ -32,6 +34,8 @@ from runlens.llm.common import text_of
 TOKEN = 8
 K = 4
 W = 4
+#: Group 1 is the token at a character: TOKEN characters of a run, or a whole shorter run.
+_TOKENS = rf"(?=(\S{{{TOKEN}}}|(?<!\S)\S{{1,{TOKEN - 1}}}(?!\S)))\S"
 _TOP = (1 << 31) - 1
 
 
@@ -46,7 +50,7 @@ def _head(a: Column, drop: int) -> Column:
 def winnow(df: DataFrame, text_col: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """df with `out`: the chosen hashes with their positions, packed, in the order of the text. k and w are powers of 2."""
     tokens, grams, packed = f"_{out}_t", f"_{out}_g", f"_{out}_p"
-    df = df.withColumn(tokens, F.transform(F.regexp_extract_all(F.col(text_col), F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)), lambda t: F.xxhash64(t)))
+    df = df.withColumn(tokens, F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_TOKENS), F.lit(1)), lambda t: F.xxhash64(t)))
     width, col = 1, tokens
     while width < k:
         df = df.withColumn(f"{grams}{width}", F.zip_with(_head(F.col(col), width), _tail(F.col(col), width), lambda a, b: F.xxhash64(a, b)))

@@ -117,6 +117,20 @@ def test_fingerprints_against_definition(spark):
                 assert start + max(j for j, h in enumerate(window) if h == least) in places
 
 
+def test_fingerprints_of_texts_without_spaces(spark):
+    """A passage without spaces is found at every offset, and tokens are taken at whole code points."""
+    rng = random.Random(5)
+    for signs in ("0123456789abcdef", "的一是不了人我在有他这中大来上个国", "😀😁😂🤣😃😄😅😆a"):
+        passage = "".join(rng.choices(signs, k=400))
+        docs = awkward(spark, [(i, '"' * i + passage, "en", "s") for i in range(9)])
+        got = {r["doc_id"]: (set(r["hashes"]), r["positions"]) for r in fingerprint.fingerprints(docs).collect()}
+        for i in range(9):
+            assert len(got[0][0] & got[i][0]) >= 0.9 * len(got[0][0])
+            assert got[i][1][-1] < 400 + i - 7 - 3  # 8 code points a token, 4 tokens a gram
+        table = {r["doc_id"]: r["near_next"] for r in fingerprint.fingerprint_table(docs).collect()}
+        assert all(table[i] > 0.8 for i in range(8))
+
+
 def test_edited_texts_and_next_documents(spark):
     docs = awkward(spark).filter("doc_id <> 2")
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0]))
