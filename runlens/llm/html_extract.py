@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -69,6 +70,74 @@ def _is_notice(name: str, attributes: str) -> bool:
     return False
 
 
+#: An open element that a new one ends, up to the element it may not leave (HTML's optional end tags).
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table"))),
+    "tr": (("tr", "td", "th", "caption"), ("table",)),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), ("table",))),
+    "option": (("option",), ("select", "datalist", "optgroup")),
+    "optgroup": (("optgroup", "option"), ("select",)),
+}
+#: Items and cells hold whatever their list or table holds; a paragraph ends at any other block.
+_CLOSES_P = BLOCK - {"caption", "dd", "dt", "head", "html", "body", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "li"} | {"li", "dd", "dt"}
+_HOLDS = ("table", "td", "th", "caption", "article", "main", "aside", "section", "div", "blockquote", "li", "dd", "dt")
+
+
+class _Open:
+    """The open elements, the innermost last: name, whether it drops its text, its kind. Every step is O(1) an element."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, str]] = []
+        self.at: dict[str, list[int]] = {}  # positions in the stack by name
+        self.counts = {True: 0, "article": 0, "main": 0, "a": 0}
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def push(self, name: str, drop: bool, kind: str) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, drop, kind))
+        self._count(drop, kind, 1)
+
+    def _count(self, drop: bool, kind: str, n: int) -> None:
+        self.counts[True] += n * drop
+        if kind:
+            self.counts[kind] += n
+
+    def cut(self, i: int) -> None:
+        """Ends the element at i and all inside."""
+        while len(self.stack) > i:
+            name, drop, kind = self.stack.pop()
+            self.at[name].pop()
+            self._count(drop, kind, -1)
+
+    def end(self, name: str) -> None:
+        """An end tag."""
+        i = self.last((name,))
+        if i >= 0 and (name != "p" or i > self.last(_HOLDS)) and (name not in _ENDS or i > self.last(_ENDS[name][1])):
+            self.cut(i)
+
+    def begin(self, name: str) -> None:
+        """What the start tag ends without an end tag."""
+        if name in _CLOSES_P:
+            i = self.last(("p",))
+            if i > self.last(_HOLDS):
+                self.cut(i)
+        if name in _ENDS:
+            ended, limits = _ENDS[name]
+            edge = self.last(limits)
+            found = [self.at[x][bisect_right(self.at[x], edge)] for x in ended if self.at.get(x) and self.at[x][-1] > edge]
+            if found and (name not in ("li", "dt", "dd") or min(found) > self.last(("table", "article", "main"))):
+                self.cut(min(found))
+
+    def forgive(self) -> None:
+        """None of the open elements drops its text any more."""
+        self.stack = [(name, False, kind) for name, _, kind in self.stack]
+        self.counts[True] = 0
+
+
 class _Lines:
     """Lines of a page with what is known of each."""
 
@@ -87,8 +156,8 @@ class _Lines:
 
 def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
     """The lines of a page in order: (text, beside, in article, in main, share of linked text)."""
-    lines, stack, at, n = _Lines(), [], 0, len(page)
-    beside = article = main = links = 0  # open elements of each kind
+    lines, open_, at, n = _Lines(), _Open(), 0, len(page)
+    counts = open_.counts
     while at < n:
         cut = page.find("<", at)
         if cut < 0:
@@ -96,7 +165,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
         if cut > at:
             text = _html.unescape(page[at:cut])
             lines.parts.append(text)
-            if links:
+            if counts["a"]:
                 lines.linked += len(text)
         if cut == n:
             break
@@ -118,7 +187,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
                 at = n if end is None else (page.find(">", end.start()) + 1 or n)
             continue
         if name in BLOCK:
-            lines.end(beside > 0, article > 0, main > 0)
+            lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0)
         elif name == "br":
             lines.parts.append(" ")
         if name in VOID:
@@ -126,39 +195,21 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
         if not closing:
             if attributes.endswith("/") and name not in BLOCK:
                 continue
-            if name in ("article", "main") and beside and not any(b and e not in ("nav", "header", "form", "menu") for e, b, _ in stack):
+            open_.begin(name)
+            beside, article = counts[True], counts["article"]
+            if name in ("article", "main") and beside and not any(b and e not in ("nav", "header", "form", "menu") for e, b, _ in open_.stack):
                 # an unclosed menu, header or form, or a form around the whole page
-                stack = [(e, False, k) for e, _, k in stack]
+                open_.forgive()
                 beside = 0
             drop = (name in DROPPED and not (name == "header" and article and not beside)) or _is_notice(name, attributes)
             kind = "article" if name == "article" and not drop and not beside else "main" if (name == "main" or "role=\"main\"" in attributes) and not drop else "a" if name == "a" else ""
-            stack.append((name, drop, kind))
-            beside += drop
-            article += kind == "article"
-            main += kind == "main"
-            links += kind == "a"
-            if name == "p" or name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                _imply(stack, name)
+            open_.push(name, drop, kind)
         else:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == name:
-                    for _, drop, kind in stack[i:]:
-                        beside -= drop
-                        article -= kind == "article"
-                        main -= kind == "main"
-                        links -= kind == "a"
-                    del stack[i:]
-                    break
-    lines.end(beside > 0, article > 0, main > 0)
+            open_.end(name)
+    lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0)
     return lines.rows
 
 
-def _imply(stack: list, name: str) -> None:
-    """A plain paragraph or item that follows an unclosed one of its kind replaces it."""
-    if len(stack) > 1 and stack[-2][0] == name and not stack[-2][1] and not stack[-2][2]:
-        del stack[-2]
-
-
 def surges_and_dives(weights: list[int], window: int = WINDOW, least: int = 1) -> list[tuple[int, int]]:
     """Stretches [surge, dive) of lines: runs of windows with some weight that reach `least` in one window."""
     n, found, start, top = len(weights), [], -1, 0

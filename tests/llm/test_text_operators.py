@@ -27,6 +27,26 @@ def test_html_without_marks():
     assert text.startswith("Title\nword word") and "Short." in text and "Home" not in text and "great" not in text and "Side" not in text
 
 
+_ROWS = {"table": "<tr><td>k<td>v", "dl": "<dt>k<dd>v", "ul": "<li>k<p>v"}
+
+
+@pytest.mark.parametrize("kind", sorted(_ROWS))
+@pytest.mark.parametrize("rows", [1, 100, 3000])
+def test_html_end_tags_left_out(kind, rows):
+    """Rows and items without end tags end at the next one, and their list, table or aside at its own."""
+    listed = f"<{kind}>{_ROWS[kind] * rows}</{kind}>"
+    assert html_extract.main_text(f"<body><aside>{listed}</aside><article><p>The text.</p></article>") == "The text."
+    assert html_extract.main_text(f"<body><article><p>The text.</p>{listed}</article><p>After it.").startswith("The text.\n")
+    assert "After" not in html_extract.main_text(f"<body><article><p>The text.</p>{listed}</article><p>After it.")
+    deep = "<div>" * rows
+    assert html_extract.main_text(f"<body><aside>{deep}x</aside><article><p>The text.</p></article>") == "The text."
+
+
+def test_html_nested_lists_and_tables():
+    page = "<article><ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><table><tr><td>f<table><tr><td>g</table>h<td>i</table><p>j<div>k</p>l</div></article>m"
+    assert html_extract.main_text(page).split() == list("abcdefghijkl")
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "<p>" * 3000, "<div>" * 30000 + "x", "&#0;&bogus;", "<a b='", "<![CDATA[x"])
 def test_html_never_fails(page):
     assert isinstance(html_extract.main_text(page), str)
