@@ -4,15 +4,19 @@
    references are decoded and white space inside a line becomes one space. A line's weight is
    its length in code points. Lines inside menus, page headers, footers, sidebars, notices,
    adverts, forms and reader comments weigh 0, as do lines outside of the article element (or
-   the main element) where a page marks one, and short lines made of links where it doesn't.
+   the main element) where a page marks one, and short lines made of links where it doesn't,
+   but for first-rank headings. Inside an article or main element a word that may as well name
+   a part of the text (WEAK, or the id of a section) marks a notice only if the element holds
+   mostly links, or form fields; ids of headings mark nothing.
 2. Sum the weights over a sliding window of WINDOW lines. A surge point is where the sums rise
    from nothing to the threshold, a dive point where they fall to nothing again.
-3. The text lies between surge and dive points: every line with weight there is kept. Where a
-   page marks its article, any weight is a surge; elsewhere a stretch must hold THRESHOLD
-   characters and a quarter of the largest stretch.
+3. The text lies between the first surge and the last dive point: every line with weight there
+   is kept. Where a page marks its article, any weight is a surge; elsewhere the sums must reach
+   THRESHOLD characters.
 
 Defined results: null, empty and text-free pages give the empty text; broken or unclosed
-markup never fails (an open script, style or comment reaches to the end of the page; an
+markup never fails (an open script, style or comment reaches to the end of the page, an open
+button, video or the like to the end of its parent or the next block; an
 article or main element ends an unclosed menu, header or form around it). Rows are
 independent; extra columns are ignored. Memory: one page at a time within a batch.
 """
@@ -36,7 +40,7 @@ BLOCK = frozenset(
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select button canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg object select button canvas audio video annotation annotation-xml".split())
 DROPPED = frozenset("nav header footer aside form menu dialog search".split())
 NOTICE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay"
@@ -44,6 +48,16 @@ NOTICE = frozenset(
     " comment comments commentlist disqus respond discussion replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip"
     " complementary contentinfo search".split()
 )
+#: Words that name parts of a text as well as notices.
+WEAK = frozenset(
+    "header footer notice notification alert banner promotion discussion replies respond related recommended search menu navigation nav aside share sharing social cookie cookies consent gdpr"
+    " subscription subscribe newsletter login signup complementary rail skip overlay modal popup widget widgets pagination".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_OF_TEXT = frozenset("entry post article story content section chapter".split())
+_FIELDS = frozenset("form input textarea select".split())
+_RAW_START = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in RAW}
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S
@@ -53,21 +67,30 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _is_notice(name: str, attributes: str) -> bool:
-    """Whether an element's own attributes mark it as something beside the text."""
+def _is_notice(name: str, attributes: str, inside: bool = False) -> bool | None:
+    """Whether an element's own attributes mark it as something beside the text; None inside an article: what it holds decides."""
     if not attributes or name in ("html", "body", "main") or (name == "article" and "comment" not in attributes.lower()):
         return False
+    doubt = False
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key in ("class", "id", "role"):
-            words = [w for part in value.split() for w in _SPLIT.split(_CAMEL.sub("-", part).lower()) if w]
+            if key == "id" and name in _HEADINGS:
+                continue
+            words = []
+            for part in value.split():
+                own = [w for w in _SPLIT.split(_CAMEL.sub("-", part).lower()) if w]
+                words += [w for w in own if w != "header" or _OF_TEXT.isdisjoint(own)]
             if key != "role" and name == "article":
                 words = [w for w in words if w.startswith("comment")]
-            if any(w in NOTICE for w in words):
-                return True
-    return False
+            marks = [w for w in words if w in NOTICE]
+            if marks:
+                if not inside or key == "role" or not all(w in WEAK or (key == "id" and name == "section" and w not in _COMMENTS) for w in marks):
+                    return True
+                doubt = True
+    return None if doubt else False
 
 
 #: An open element that a new one ends, up to the element it may not leave (HTML's optional end tags).
@@ -88,10 +111,12 @@ _HOLDS = ("table", "td", "th", "caption", "article", "main", "aside", "section",
 class _Open:
     """The open elements, the innermost last: name, whether it drops its text, its kind. Every step is O(1) an element."""
 
-    def __init__(self) -> None:
+    def __init__(self, lines: _Lines) -> None:
+        self.lines = lines
+        self.doubt: tuple[int, int, int] | None = None  # place of the outermost doubtful element, lines and fields before it
         self.stack: list[tuple[str, bool, str]] = []
         self.at: dict[str, list[int]] = {}  # positions in the stack by name
-        self.counts = {True: 0, "article": 0, "main": 0, "a": 0}
+        self.counts = {True: 0, "article": 0, "main": 0, "a": 0, "gone": 0}
 
     def last(self, names: tuple[str, ...]) -> int:
         return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
@@ -112,6 +137,9 @@ class _Open:
             name, drop, kind = self.stack.pop()
             self.at[name].pop()
             self._count(drop, kind, -1)
+        if self.doubt and self.doubt[0] >= i:
+            self.lines.judge(*self.doubt[1:])
+            self.doubt = None
 
     def end(self, name: str) -> None:
         """An end tag."""
@@ -145,24 +173,32 @@ class _Lines:
         self.rows: list[tuple[str, bool, bool, bool, float]] = []  # text, beside the article, in article, in main, share of links
         self.parts: list[str] = []
         self.linked = 0
+        self.fields = 0  # form fields so far
 
-    def end(self, beside: bool, article: bool, main: bool) -> None:
+    def end(self, beside: bool, article: bool, main: bool, headline: bool = False) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.rows.append((text, beside, article, main, self.linked / len(text)))
+                self.rows.append((text, beside, article, main, 0.0 if headline else self.linked / len(text)))
             self.parts, self.linked = [], 0
 
+    def judge(self, first: int, fields: int) -> None:
+        """The lines from `first` on lie beside the text if they are mostly links or come with form fields."""
+        size = sum(len(row[0]) for row in self.rows[first:])
+        if self.fields > fields or 2 * sum(len(row[0]) * row[4] for row in self.rows[first:]) > size:
+            self.rows[first:] = [(text, True, *rest) for text, _, *rest in self.rows[first:]]
+
 
 def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
     """The lines of a page in order: (text, beside, in article, in main, share of linked text)."""
-    lines, open_, at, n = _Lines(), _Open(), 0, len(page)
+    lines, at, n = _Lines(), 0, len(page)
+    open_, ends = _Open(lines), {}
     counts = open_.counts
     while at < n:
         cut = page.find("<", at)
         if cut < 0:
             cut = n
-        if cut > at:
+        if cut > at and not counts["gone"]:
             text = _html.unescape(page[at:cut])
             lines.parts.append(text)
             if counts["a"]:
@@ -181,13 +217,26 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
                 lines.parts.append(found.group()[9:].removesuffix("]]>"))
             continue
         name = name.lower()
+        lines.fields += not closing and name in _FIELDS and "hidden" not in attributes
         if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = _RAW_END[name].search(page, at)
-                at = n if end is None else (page.find(">", end.start()) + 1 or n)
+            if closing:
+                open_.end(name)
+            elif not attributes.endswith("/"):
+                if ends.get(name, -1) < at:  # the next end tag
+                    end = _RAW_END[name].search(page, at)
+                    ends[name] = n + 1 if end is None else end.start()
+                if ends[name] > n and name in ("script", "style"):
+                    at = n
+                elif ends[name] > n or (name not in ("script", "style") and _RAW_START[name].search(page, at, ends[name])):
+                    open_.push(name, False, "gone")  # not closed, or others of its name in it or after it
+                else:
+                    at = page.find(">", ends[name]) + 1 or n
             continue
+        if not closing and name in BLOCK and counts["gone"]:
+            while open_.stack and open_.stack[-1][2] == "gone" and ends.get(open_.stack[-1][0], 0) > n:  # never closed: ends here
+                open_.cut(len(open_.stack) - 1)
         if name in BLOCK:
-            lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0)
+            lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, bool(open_.at.get("h1")))
         elif name == "br":
             lines.parts.append(" ")
         if name in VOID:
@@ -201,12 +250,16 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
                 # an unclosed menu, header or form, or a form around the whole page
                 open_.forgive()
                 beside = 0
-            drop = (name in DROPPED and not (name == "header" and article and not beside)) or _is_notice(name, attributes)
+            notice = _is_notice(name, attributes, (article > 0 or counts["main"] > 0) and not beside)
+            if notice is None and not open_.doubt:
+                open_.doubt = (len(open_.stack), len(lines.rows), lines.fields)
+            drop = (name in DROPPED and not (name == "header" and article and not beside)) or bool(notice)
             kind = "article" if name == "article" and not drop and not beside else "main" if (name == "main" or "role=\"main\"" in attributes) and not drop else "a" if name == "a" else ""
             open_.push(name, drop, kind)
         else:
             open_.end(name)
-    lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0)
+    lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, bool(open_.at.get("h1")))
+    open_.cut(0)
     return lines.rows
 
 
@@ -243,8 +296,7 @@ def main_text(page: str | None) -> str:
         stretches = surges_and_dives(weights)
     else:
         stretches = surges_and_dives(weights, least=THRESHOLD) or surges_and_dives(weights)
-        sums = [sum(weights[a:b]) for a, b in stretches]
-        stretches = [s for s, total in zip(stretches, sums, strict=True) if 4 * total >= max(sums)]
+        stretches = [(stretches[0][0], stretches[-1][1])] if stretches else []
     return "\n".join(rows[i][0] for a, b in stretches for i in range(a, b) if weights[i])
 
 

@@ -47,6 +47,30 @@ def test_html_nested_lists_and_tables():
     assert html_extract.main_text(page).split() == list("abcdefghijkl")
 
 
+def test_html_keeps_closing_parts_and_linked_headlines():
+    page = "<body><div id=menu><a href=1>Home</a></div><h1><a href=/x>A headline</a></h1><p>" + "body " * 400 + "</p><div class=ad><p>Buy<p>this<p>now</div><p>" + "closing " * 56 + "</p>"
+    text = html_extract.main_text(page)
+    assert text.startswith("A headline\nbody") and text.endswith("closing") and "Buy" not in text and "Home" not in text
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion"><h2>D</h2><p>kept</p></section>', '<h2 id="search">kept</h2>', '<h2 id="related-work">kept</h2>', '<div class="entry-header"><h1>kept</h1></div>'])
+def test_html_sections_named_like_notices(part):
+    assert "kept" in html_extract.main_text(f"<article><p>First.</p>{part}<p>Last.</p></article>")
+
+
+@pytest.mark.parametrize("part", ['<section id="related"><h2>See</h2><a href=1>dropped one</a> <a href=2>two</a></section>', '<div class="newsletter"><p>dropped</p><input name=mail></div>', '<div id="comments"><p>dropped</p></div>'])
+def test_html_notices_in_articles(part):
+    assert html_extract.main_text(f"<article><p>First.</p>{part}<p>Last.</p></article>") == "First.\nLast."
+
+
+def test_html_math_and_unclosed_elements():
+    assert html_extract.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>") == "So x=2 holds."
+    for name in ("button", "select", "object", "video", "svg", "textarea"):
+        assert html_extract.main_text(f"<article><p>One <{name}>gone</p><p>Two.</p></article>") == "One\nTwo."
+        assert html_extract.main_text(f"<article><div>One <{name}>gone</div><p>Two.</p><p>a<{name}>gone</{name}>b</p></article>") == "One\nTwo.\nab"
+        assert isinstance(html_extract.main_text(f"<{name}>" * 30000), str)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "<p>" * 3000, "<div>" * 30000 + "x", "&#0;&bogus;", "<a b='", "<![CDATA[x"])
 def test_html_never_fails(page):
     assert isinstance(html_extract.main_text(page), str)
