@@ -4,12 +4,16 @@ Features. Letters in lower case, every run of other signs as one boundary; grams
 three of these signs are hashed to BUCKETS; weight log(1 + count) * idf, scaled to length 1.
 Training. The document frequencies come from all learning rows. The weights are fitted with
 follow-the-regularised-leader (per-coordinate FTRL-Proximal, L1 and L2 penalties) on a sample
-of about SAMPLE learning rows, chosen by a hash of doc_id, whatever the table's size; a fifth
-of the sample is set aside to fit the temperature that calibrates the scores.
+with a share for each language: the rows of least hash of id and text, in proportion to the
+language's rows but at least LEAST of each, and all of a language that has fewer. Rows
+without a letter do not count. So every language with a learning row that has a letter is in
+the model, whatever the table's size. Of each language every fifth row of the sample is set
+aside to fit the temperature that calibrates the scores, none where there are under five.
 Prediction sees nothing but the text, all of it.
 
-What moves: one row per bucket and task for the frequencies; the sample's grams and the model
-(BUCKETS x languages floats) through the driver, both bounded by parameters.
+What moves: one row per bucket and task for the frequencies, one per language and task for their
+counts; the sample's grams and the model (BUCKETS x languages floats) through the driver,
+bounded by parameters and the number of languages.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every row
 if no learning row has a language. Rows are independent; repeated rows repeat their result.
@@ -20,15 +24,18 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import chunks, code_points, text_bytes
 
 BUCKETS = 1 << 13
 SAMPLE = 4000
+#: Sampled rows a language has at least, if it has as many.
+LEAST = 50
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 CHUNK, CHUNK_ROWS = 1 << 18, 128
@@ -99,34 +106,40 @@ def learning(docs: DataFrame) -> Column:
     return F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
-def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """(rows with a letter, rows that have each bucket) over all rows with _text."""
+def document_frequencies(rows: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """(rows with a letter by language, rows that have each bucket) over all rows with lang and _text."""
 
     def run(batches):
         import pyarrow as pa
 
-        total, df = 0, np.zeros(BUCKETS, dtype=np.int64)
+        langs, df = Counter(), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, _, counts, has in _parts(batch.column(0)):
-                total += int(has.sum())
+            names = batch.column(1)
+            for a, b, counts, has in _parts(batch.column(0)):
+                langs.update(lang for lang, ok in zip(names.slice(a, b - a).to_pylist(), has.tolist(), strict=True) if ok)
                 df += (counts > 0).sum(axis=0)
         some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], ["bucket", "n"])
+        kinds = [pa.array([None] * len(some) + list(langs), pa.string()), pa.array([*some.tolist(), *[-1] * len(langs)], pa.int64()), pa.array([*df[some].tolist(), *langs.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(kinds, ["lang", "bucket", "n"])
 
-    sums = rows.select("_text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(BUCKETS, dtype=np.int64), 0
+    sums = rows.select("_text", "lang").mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    df, langs = np.zeros(BUCKETS, dtype=np.int64), {}
     for r in sums:
         if r["bucket"] < 0:
-            total = r["n"]
+            langs[r["lang"]] = r["n"]
         else:
             df[r["bucket"]] = r["n"]
-    return total, df
+    return langs, df
 
 
-def _sampled(rows: DataFrame, count: int, sample: int):
-    """[(lang, bucket ids, counts)] of about `sample` rows; the draw depends on doc_id alone."""
-    if count > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * sample / count))
+def shares(langs: dict[str, int], sample: int) -> dict[str, int]:
+    """Sampled rows of each language at most: its part of the sample, but LEAST at least."""
+    total = sum(langs.values())
+    return {lang: max(LEAST, -(-sample * n // total)) for lang, n in langs.items()}
+
+
+def _grams_of(picked: DataFrame) -> list:
+    """[(draw, lang, bucket ids, counts)] of rows of lang, _text and draw, without those that have no letter."""
 
     def run(batches):
         import pyarrow as pa
@@ -140,9 +153,26 @@ def _sampled(rows: DataFrame, count: int, sample: int):
                     values.append(row[at])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], ["lang", "draw", "ids", "counts"])
 
-    picked = rows.select("lang", "_text", F.xxhash64(F.lit("part"), "doc_id").alias("draw"))
-    made = picked.mapInArrow(run, "lang string, draw bigint, ids array<bigint>, counts array<bigint>").limit(2 * sample).collect()
-    return sorted(((r["draw"], r["lang"], np.array(r["ids"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in made if r["ids"]), key=lambda r: (r[0], r[1], len(r[2])))
+    made = picked.select("lang", "_text", "draw").mapInArrow(run, "lang string, draw bigint, ids array<bigint>, counts array<bigint>").collect()
+    return [(r["draw"], r["lang"], np.array(r["ids"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in made if r["ids"]]
+
+
+def _sampled(rows: DataFrame, langs: dict[str, int], sample: int):
+    """[(draw, lang, bucket ids, counts)]: of each language the rows of least draw; the draw depends on doc_id and text alone."""
+    share, top = shares(langs, sample), 1 << 62
+    # a language of few rows is taken whole; of others twice the share is drawn, and the least of it kept
+    bounds = [(lang, top if n <= 4 * share[lang] else int(top * 2 * share[lang] / n), share[lang]) for lang, n in sorted(langs.items())]
+    limits = rows.sparkSession.createDataFrame(bounds, "_lang string, _bound bigint, _share int")
+    drawn = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("part"), "doc_id", "_text"), 2))
+    drawn = drawn.join(F.broadcast(limits), F.col("lang") == F.col("_lang")).select("lang", "_text", "draw", "_bound", "_share")
+    lettered = F.col("_text").rlike(r"\p{L}")
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    found = _grams_of(drawn.filter("draw < _bound").filter(lettered).dropDuplicates(["lang", "draw"]).withColumn("_at", least).filter("_at <= _share"))
+    missing = sorted(set(langs) - {lang for _, lang, _, _ in found})
+    if missing:  # many copies of few rows, none of them drawn: one row of each such language
+        few = drawn.filter(F.col("lang").isin(missing) & lettered)
+        found += _grams_of(few.groupBy("lang").agg(F.min("draw").alias("draw"), F.min_by("_text", "draw").alias("_text")))
+    return sorted(found, key=lambda r: (r[0], r[1]))
 
 
 class Model:
@@ -197,19 +227,21 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model of a documents table; None if nothing can be learnt."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).filter(learning(docs))
-    total, df = document_frequencies(rows)
-    drawn = _sampled(rows, total, sample) if total else []
-    langs = sorted({lang for _, lang, _, _ in drawn})
-    if not langs:
+    counted, df = document_frequencies(rows)
+    if not counted:
         return None
+    total, drawn = sum(counted.values()), _sampled(rows, counted, sample)
+    langs = sorted({lang for _, lang, _, _ in drawn})
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     index, samples = {lang: i for i, lang in enumerate(langs)}, []
     for _, lang, at, counts in drawn:
         x = np.log1p(counts) * idf[at]
         x /= np.sqrt((x * x).sum())
         samples.append((np.append(at, BUCKETS), np.append(x, 1.0), index[lang]))
-    apart = samples[::5] if len(samples) >= 50 else []
-    fitted = [s for i, s in enumerate(samples) if i % 5 or not apart]
+    apart, fitted, met = [], [], Counter()
+    for s in samples:
+        met[s[2]] += 1
+        (apart if met[s[2]] % 5 == 0 and len(samples) >= 50 else fitted).append(s)
     weights = ftrl(fitted, len(langs))
     logits = np.array([x @ weights[at] for at, x, _ in apart]).reshape(len(apart), len(langs))
     return Model(langs, idf, weights.astype(np.float32), _temperature(logits, np.array([y for _, _, y in apart], dtype=np.int64)))

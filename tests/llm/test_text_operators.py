@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -206,6 +207,22 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_id_learns_every_language(spark):
+    """A language with few rows beside a hot one is learnt, and its documents are kept."""
+    rng = random.Random(7)
+    rare = [(5000 + i, "".join(rng.choices("αβγδεζηθικλμνξοπ ", k=60)), "el", "s") for i in range(6)]
+    lone = [(i, "".join(rng.choices("абвгдежзиклмнопр ", k=60)), "ru", "s") for i in range(6000, 6010) if zlib.crc32(str(i).encode()) % 3 != 1][:1]
+    bare = [(7000 + i, "12 !?", "xx", "s") for i in range(300)]
+    docs = awkward(spark, [*_tongues(1500), *rare, *lone, *bare])
+    model = language_id.fit(docs, sample=40)
+    assert model.langs == ["de", "el", "en", "fr", "ru"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_table(docs, sample=40).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rare + lone)
+    learnt = next(i for i in range(8000, 8100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    copies = awkward(spark, [*_tongues(300), *[(learnt, "ωψχφυ τσρ", "el", "s")] * 900])
+    assert "el" in language_id.fit(copies, sample=40).langs
+
+
 def test_language_id_of_awkward_tables(spark):
     assert language_id.language_table(empty(spark)).count() == 0
     assert {r["lang_pred"] for r in language_id.language_table(awkward(spark, [(3, "abc", None, "s")])).collect()} == {"und"}
