@@ -5,27 +5,67 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: a private one, if all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="runlens-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove, spark, found)
     return found.rstrip("/")
 
 
+#: Folders of the open scratch blocks, the innermost last.
+_scratch: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's Python ends."""
+    """A fresh path below the shared folder, removed at the end of the scratch block or else of the driver's Python."""
     path = f"{shared_dir(spark)}/runlens-{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose written tables are removed when it ends, but those written by the function it gives.
+
+    What leaves the block must rest on such kept tables alone.
+    """
+    own: list[str] = []
+    _scratch.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inner = _scratch.pop()
+        try:
+            return durable(df, name)
+        finally:
+            _scratch.append(inner)
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the written table behind a DataFrame of durable(); of others nothing."""
+    if path := getattr(df, "_runlens_path", None):
+        _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -44,14 +84,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: A table of fewer bytes may be one Parquet row group, which one task reads however the file is split.
-SMALL = 20 << 20
+    written = spark.read.schema(df.schema).parquet(path)
+    written._runlens_path = path
+    return written
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if its files are small; larger tables stay as they are read."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    """df on all cores: dealt out where its scan has fewer tasks than the session has cores, as it is read where it has enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
