@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.storage import durable, new_folder, shared_dir
+from runlens.storage import drop, durable, new_folder, scratch, shared_dir
 
-__all__ = ["Rolling", "chunks", "code_points", "durable", "mix64", "new_folder", "shared_dir", "stream64", "table", "text_bytes", "text_of"]
+__all__ = ["Rolling", "chunks", "code_points", "drop", "durable", "in_arrow", "mix64", "new_folder", "scratch", "shared_dir", "stream64", "table", "text_bytes", "text_of"]
 
 #: A word of the contracts: a run without space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +27,32 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema); what a task has freed goes back to the system when it ends.
+
+    Workers are used again by later stages; kept memory would add up with what those need.
+    """
+
+    def whole(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return df.mapInArrow(whole, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64, in place on a copy."""
     x = x.astype(np.uint64, copy=True)

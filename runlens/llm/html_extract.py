@@ -29,7 +29,7 @@ from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
-from runlens.llm.common import text_of
+from runlens.llm.common import in_arrow, text_of
 
 WINDOW = 3
 THRESHOLD = 80
@@ -313,5 +313,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["_id", "_url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    out = source.mapInArrow(run, f"_id {kinds['_id']}, _url {kinds['_url']}, text string, n_chars bigint")
+    out = in_arrow(source, run, f"_id {kinds['_id']}, _url {kinds['_url']}, text string, n_chars bigint")
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_url", url_col)

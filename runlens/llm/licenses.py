@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable, text_of
+from runlens.llm.common import durable, in_arrow, text_of
 
 LEAST, LEAST_LONG, LONG = 0.6, 0.8, 30
 #: Lengths of the compared spans, as shares of a template's length.
@@ -222,7 +222,7 @@ def own_licences(files: DataFrame) -> DataFrame:
             )
 
     speaking = files.filter(F.col("_text").rlike(MENTION) | F.col("_path").rlike(LICENCE_FILE)).select("_fid", "_text")
-    return speaking.mapInArrow(run, "_fid string, own_license string, own_score double").filter("own_license IS NOT NULL").dropDuplicates(["_fid"])
+    return in_arrow(speaking, run, "_fid string, own_license string, own_score double").filter("own_license IS NOT NULL").dropDuplicates(["_fid"])
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.bpe import LETTER, NUMBER
-from runlens.llm.common import Rolling, chunks, code_points, durable, text_bytes, text_of
+from runlens.llm.common import Rolling, chunks, code_points, durable, in_arrow, text_bytes, text_of
 
 POOLED, RIDGE = 0.1, 0.02
 #: Pseudo-counts: a share of n things counts as if PRIOR typical ones came with them.
@@ -126,7 +126,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, j - i), lists], ["_id", "stats"])
                 at += j - i
 
-    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, stats array<double>")
+    return in_arrow(source, run, f"_id {source.schema['_id'].dataType.simpleString()}, stats array<double>")
 
 
 class Discriminant:
@@ -181,7 +181,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums.ravel())], ["at", "value"])
 
     flat = np.zeros(2 * (1 + d + d * d))
-    for r in labelled.select(F.col("quality").cast("int").alias("quality"), "stats").mapInArrow(run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+    for r in in_arrow(labelled.select(F.col("quality").cast("int").alias("quality"), "stats"), run, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
         flat[r["at"]] = r["value"]
     out = {}
     for k, row in enumerate(flat.reshape(2, -1)):
@@ -202,7 +202,7 @@ def scored(described_docs: DataFrame, model: Discriminant) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], ["_id", "score"])
 
     kind = described_docs.schema["_id"].dataType.simpleString()
-    return described_docs.select("_id", "stats").mapInArrow(run, f"_id {kind}, score double")
+    return in_arrow(described_docs.select("_id", "stats"), run, f"_id {kind}, score double")
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:

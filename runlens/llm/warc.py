@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable, new_folder, text_of
+from runlens.llm.common import durable, in_arrow, new_folder, text_of
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -311,7 +311,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
             [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"]
         )
 
-    return durable(planned(pages).mapInArrow(run, "path string, records bigint, bytes bigint"), "warc-list")
+    return durable(in_arrow(planned(pages), run, "path string, records bigint, bytes bigint"), "warc-list")
 
 
 def archive_records(path: str):
@@ -356,7 +356,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield flush(rows)
 
-    return archives.select("path").repartition(tasks).mapInArrow(run, READ_SCHEMA + ", payload binary" * with_payload)
+    return in_arrow(archives.select("path").repartition(tasks), run, READ_SCHEMA + ", payload binary" * with_payload)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
