@@ -9,8 +9,9 @@ for one thing only: whether an apostrophe begins a match, so that a contraction
 
 The pieces' byte slices are hashed; distinct pieces not met before by this worker are merged,
 all of them at once, one lowest-rank pair each per round, as the rank file orders. Results
-are cached by the piece's 64-bit hash; the cache is emptied when it is full. Memory: one
-chunk of CHUNK bytes of text (a longer text stands alone) and the cache.
+are cached by the piece's 64-bit hash; the cache is emptied when it holds CACHE pieces or
+CACHE_IDS ids. Memory: the arrays of one chunk of CHUNK bytes of text (a longer text stands
+alone), the cache, and for a single piece of more than WIDE bytes about 100 bytes each.
 
 Defined results: null is the empty text, which has no tokens; whole texts are encoded; rows
 are independent, so repeated rows repeat their result. Extra columns are ignored.
@@ -23,14 +24,16 @@ import functools
 import hashlib
 import heapq
 import unicodedata
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from runlens.llm.common import Rolling, chunks, code_points, mix64, text_bytes, text_of
+from runlens.llm.common import Rolling, chunks, code_points, in_arrow, mix64, text_bytes, text_of
 
-CHUNK = 1 << 20
-CACHE = 250_000
+CHUNK = 1 << 18
+CACHE = 100_000
+CACHE_IDS = 1 << 20
 #: Pieces of more bytes than this are merged one by one with a heap.
 WIDE = 48
 
@@ -256,33 +259,30 @@ class Vocabulary:
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same for one long piece, in n log n, by a heap over linked parts."""
-        rank = self.ranks
-        ends = list(range(1, len(piece) + 1))
-        begin = list(range(len(piece)))
-        after = list(range(1, len(piece) + 1))
-        ahead = [i - 1 for i in range(len(piece))]
-        alive = [True] * len(piece)
-        heap = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and after[i] < len(piece):
-                j = after[i]
-                if (r := rank.get(piece[begin[i] : ends[j]])) is not None:
-                    heapq.heappush(heap, (r, i, ends[i], ends[j]))
-
-        for i in range(len(piece)):
-            offer(i)
+        rank, n = self.ranks, len(piece)
+        ends, after = array("q", range(1, n + 1)), array("q", range(1, n + 1))
+        ahead, alive = array("q", range(-1, n - 1)), bytearray(b"\1" * n)
+        heap: list[int] = []  # rank and first byte of a part that joins with the one after it
+
+        def joined(i: int) -> int | None:
+            return rank.get(piece[i : ends[after[i]]]) if after[i] < n else None
+
+        for i in range(n):
+            if (r := joined(i)) is not None:
+                heap.append(r << 40 | i)
+        heapq.heapify(heap)
         while heap:
-            _, i, mid, end = heapq.heappop(heap)
-            if not alive[i] or ends[i] != mid or after[i] >= len(piece) or ends[after[i]] != end:
+            r, i = divmod(heapq.heappop(heap), 1 << 40)
+            if not alive[i] or joined(i) != r:  # one of the two has been merged meanwhile
                 continue
             j = after[i]
-            alive[j], ends[i], after[i] = False, end, after[j]
-            if after[i] < len(piece):
+            alive[j], ends[i], after[i] = 0, ends[j], after[j]
+            if after[i] < n:
                 ahead[after[i]] = i
-            offer(i)
-            offer(ahead[i])
-        return [rank[piece[begin[i] : ends[i]]] for i in range(len(piece)) if alive[i]]
+            for k in (i, ahead[i]):
+                if k >= 0 and (r := joined(k)) is not None:
+                    heapq.heappush(heap, r << 40 | k)
+        return [rank[piece[i : ends[i]]] for i in range(n) if alive[i]]
 
     def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
         for key, ids in zip(keys, self.merge(pieces), strict=True):
@@ -301,10 +301,10 @@ class Vocabulary:
         begin = np.flatnonzero((raw & 0xC0) != 0x80)[piece_starts(cps, at)]
         end = np.append(begin[1:], len(raw))
         keys, first, inverse = np.unique(self.rolling.spans(raw, begin, end), return_index=True, return_inverse=True)
-        if len(keys) > CACHE:  # very many distinct pieces: in halves of the texts, or as room for this chunk
+        if len(keys) > CACHE:  # very many distinct pieces: room for this chunk
             self.start, self.size = np.zeros(len(keys) + 1, dtype=np.int64), np.zeros(len(keys) + 1, dtype=np.int64)
             self.known, self.used = {}, 0
-        elif len(self.known) + len(keys) > len(self.start) - 1:
+        elif len(self.known) + len(keys) > len(self.start) - 1 or self.used > CACHE_IDS:
             self.forget()
         names = keys.tolist()
         new = [i for i, key in enumerate(names) if key not in self.known]
@@ -364,7 +364,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 row += n
 
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, ids array<int>, offsets array<int>").withColumnRenamed("_id", id_col)
+    return in_arrow(source, run, f"_id {kind}, ids array<int>, offsets array<int>").withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -381,7 +381,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "text"])
 
     kind = source.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
+    return in_arrow(source, run, f"_id {kind}, text string").withColumnRenamed("_id", id_col)
 
 
 def token_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -408,7 +408,7 @@ def token_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([*others, *made], [*[f.name for f in kept], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "n_tokens bigint, ids_sha256 string, decoded_sha256 string"])
-    out = source.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    out = in_arrow(source, run, schema).withColumnRenamed("_id", id_col)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"_c{i}", c)
     return out
