@@ -2,6 +2,7 @@
 
 Features. Letters in lower case, every run of other signs as one boundary; grams of one to
 three of these signs are hashed to BUCKETS; weight log(1 + count) * idf, scaled to length 1.
+Features are sparse throughout: a text costs what its grams are, not BUCKETS.
 Training. The document frequencies come from all learning rows. The weights are fitted with
 follow-the-regularised-leader (per-coordinate FTRL-Proximal, L1 and L2 penalties) on a sample
 with a share for each language: the rows of least hash of id and text, in proportion to the
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import chunks, code_points, text_bytes
+from runlens.llm.common import chunks, code_points, in_arrow, text_bytes
 
 BUCKETS = 1 << 13
 SAMPLE = 4000
@@ -38,7 +39,7 @@ SAMPLE = 4000
 LEAST = 50
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
-CHUNK, CHUNK_ROWS = 1 << 18, 128
+CHUNK = 1 << 15
 UNKNOWN = "und"
 
 
@@ -53,8 +54,8 @@ def _letters() -> np.ndarray:
     return table
 
 
-def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x BUCKETS counts, whether a text has a letter)."""
+def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse counts (text, bucket, count), ascending by text and bucket, and whether each text has a letter."""
     n = len(offsets) - 1
     cps, at = code_points(raw, offsets)
     signs = np.zeros(len(cps) + n + 1, dtype=np.uint64)
@@ -67,38 +68,33 @@ def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[1:] |= letter[:-1]  # of several boundaries in a row the first
     keep[0] = True
     signs, owner, letter = signs[keep], owner[keep], letter[keep]
-    counts = np.zeros(n * BUCKETS, dtype=np.int64)
 
-    def add(h: np.ndarray, own: np.ndarray) -> None:
-        bucket = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-        np.add(counts, np.bincount(own * BUCKETS + bucket, minlength=len(counts)), out=counts)
+    kind = np.uint32 if n * BUCKETS < 1 << 32 else np.uint64
+    owner = owner.astype(kind)
+
+    def cells(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return own * kind(BUCKETS) + ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(kind)
 
     a, b, c = signs, signs[1:], signs[2:]
     k1, k2 = np.uint64(0x100000001B3), np.uint64(0xD6E8FEB86659FD93)
-    add(a[letter] * k1 + np.uint64(1), owner[letter])
     pairs = a[:-1] * k1 * k1 + b * k1 + np.uint64(2)
-    add(pairs[letter[1:]], owner[1:][letter[1:]])
     triples = a[:-2] * k2 + b[:-1] * k1 * k1 + c * k1 + np.uint64(3)
     middle = letter[1:-1]
-    add(triples[middle], owner[1:-1][middle])
+    found = [cells(a[letter] * k1 + np.uint64(1), owner[letter]), cells(pairs[letter[1:]], owner[1:][letter[1:]]), cells(triples[middle], owner[1:-1][middle])]
+    cell = np.sort(np.concatenate(found))
+    new = np.flatnonzero(np.diff(cell, prepend=cell[:1] + kind(1)))
+    count = np.diff(new, append=len(cell))
+    cell = cell[new].astype(np.int64)
     has = np.zeros(n, dtype=bool)
     has[owner[letter]] = True
-    return counts.reshape(n, BUCKETS), has
+    return cell // BUCKETS, cell % BUCKETS, count, has
 
 
 def _parts(column):
-    """(first row, end row, counts, has a letter) of the chunks of a text column."""
+    """(first row, end row, texts, buckets, counts, has a letter) of the chunks of a text column."""
     raw, offsets = text_bytes(column)
     for i, j in chunks(offsets, CHUNK):
-        for a in range(i, j, CHUNK_ROWS):
-            b = min(j, a + CHUNK_ROWS)
-            yield a, b, *gram_counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-
-
-def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts.astype(np.float32)) * idf
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1)
+        yield i, j, *gram_counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def learning(docs: DataFrame) -> Column:
@@ -115,14 +111,14 @@ def document_frequencies(rows: DataFrame) -> tuple[dict[str, int], np.ndarray]:
         langs, df = Counter(), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             names = batch.column(1)
-            for a, b, counts, has in _parts(batch.column(0)):
+            for a, b, _, buckets, _, has in _parts(batch.column(0)):
                 langs.update(lang for lang, ok in zip(names.slice(a, b - a).to_pylist(), has.tolist(), strict=True) if ok)
-                df += (counts > 0).sum(axis=0)
+                df += np.bincount(buckets, minlength=BUCKETS)
         some = np.flatnonzero(df)
         kinds = [pa.array([None] * len(some) + list(langs), pa.string()), pa.array([*some.tolist(), *[-1] * len(langs)], pa.int64()), pa.array([*df[some].tolist(), *langs.values()], pa.int64())]
         yield pa.RecordBatch.from_arrays(kinds, ["lang", "bucket", "n"])
 
-    sums = rows.select("_text", "lang").mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    sums = in_arrow(rows.select("_text", "lang"), run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     df, langs = np.zeros(BUCKETS, dtype=np.int64), {}
     for r in sums:
         if r["bucket"] < 0:
@@ -146,14 +142,13 @@ def _grams_of(picked: DataFrame) -> list:
 
         for batch in batches:
             ids, values = [], []
-            for _, _, counts, _ in _parts(batch.column(1)):
-                for row in counts:
-                    at = np.flatnonzero(row)
-                    ids.append(at)
-                    values.append(row[at])
+            for a, b, texts, buckets, counts, _ in _parts(batch.column(1)):
+                limits = np.searchsorted(texts, np.arange(1, b - a))
+                ids += np.split(buckets, limits)
+                values += np.split(counts, limits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int64()))], ["lang", "draw", "ids", "counts"])
 
-    made = picked.select("lang", "_text", "draw").mapInArrow(run, "lang string, draw bigint, ids array<bigint>, counts array<bigint>").collect()
+    made = in_arrow(picked.select("lang", "_text", "draw"), run, "lang string, draw bigint, ids array<bigint>, counts array<bigint>").collect()
     return [(r["draw"], r["lang"], np.array(r["ids"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in made if r["ids"]]
 
 
@@ -181,10 +176,13 @@ class Model:
     def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
         self.langs, self.idf, self.weights, self.temperature = langs, idf, weights, temperature
 
-    def scores(self, counts: np.ndarray) -> np.ndarray:
-        z = (_weighted(counts, self.idf) @ self.weights[:-1] + self.weights[-1]).astype(np.float64) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+    def scores(self, texts: np.ndarray, buckets: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities (n x languages) of texts with sparse counts: one product a language over the non-zero features."""
+        x = np.log1p(counts) * self.idf[buckets]
+        norm = np.sqrt(np.bincount(texts, x * x, minlength=n))
+        x /= norm[texts]
+        z = np.stack([np.bincount(texts, x * w[buckets], minlength=n) + w[-1] for w in self.weights.T.astype(np.float64)], axis=1)
+        return _softmax(z / self.temperature)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -261,8 +259,8 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), m
         model = shared.value
         for batch in batches:
             langs, scores = [], []
-            for a, b, counts, has in _parts(batch.column(0).fill_null("")) if model else ():
-                p = model.scores(counts)
+            for a, b, texts, buckets, counts, has in _parts(batch.column(0).fill_null("")) if model else ():
+                p = model.scores(texts, buckets, counts, b - a)
                 best = p.argmax(axis=1)
                 langs += [model.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist(), strict=True)]
                 scores += np.where(has, p[np.arange(b - a), best], 0.0).tolist()
@@ -272,7 +270,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), m
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*["_text"] * with_text, *names, "_pred", "_score"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[0 if with_text else 1 :]]
-    out = source.mapInArrow(run, ", ".join([*kinds, "_pred string", "_score double"]))
+    out = in_arrow(source, run, ", ".join([*kinds, "_pred string", "_score double"]))
     return out.withColumnsRenamed(dict(zip([*names, "_text", "_pred", "_score"], [*others, "text", *made], strict=True)))
 
 
