@@ -2,8 +2,9 @@
 
 Each task first joins the links it reads with union-find and passes on a forest: at most
 one link a node. Then rounds of large-star and small-star (Kiveris et al. 2014) pull every
-node to the least node of its component; each round is one aggregation and one join by node,
-written to the shared folder. Nothing of it comes to the driver but two sums a round.
+node to the least node of its component, until no node has both a parent and a child, nor two
+parents; each round is one aggregation and one join by node, written to the shared folder.
+Nothing of it comes to the driver but whether such a node is left.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable
+from runlens.llm.common import durable, in_arrow
 
 
 def _forest(batches):
@@ -36,7 +37,7 @@ def _forest(batches):
                 a, b = min(a, b), max(a, b)
                 up[b] = a
                 up.setdefault(a, a)
-        if len(up) > 2_000_000:  # pass the forest on and begin again: memory stays bounded
+        if len(up) > 250_000:  # pass the forest on and begin again: memory stays bounded
             yield _links(up, root, np, pa)
             up.clear()
     yield _links(up, root, np, pa)
@@ -48,11 +49,16 @@ def _links(up, root, np, pa):
     return pa.RecordBatch.from_arrays([pa.array(parent), pa.array(child)], ["a", "b"])
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a least node or has one link, to a least node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.max("up").alias("up"), F.sum("down").alias("down")).filter("down > 1 OR (up > 0 AND down > 0)").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a bigint, b bigint), component being its least node."""
-    edges = durable(links.select("a", "b").mapInArrow(_forest, "a bigint, b bigint").distinct(), "cc-forest")
-    seen = None
-    while True:
+    edges = durable(in_arrow(links.select("a", "b"), _forest, "a bigint, b bigint").distinct(), "cc-forest")
+    while not _stars(edges):
         # large-star: what is larger than u goes to the least around u
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
@@ -62,8 +68,4 @@ def components(links: DataFrame) -> DataFrame:
         edges = durable(
             large.join(down, "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(down.select(F.col("m").alias("a"), "b")).distinct(), "cc-edges"
         )
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == seen:
-            break
-        seen = state
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

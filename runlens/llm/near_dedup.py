@@ -11,21 +11,27 @@ are candidates. At similarity 0.85 a pair is missed with probability (1 - 0.85**
 at 0.8 with 5e-5.
 
 Links, without all pairs of a group:
-1. Documents with the same shingle set are one class (its least doc_id stands for it).
+1. Documents with the same shingle set are one class, whatever the number of their rows; from
+   here on everything has one row a class.
 2. In every bucket the least class is the pivot; only (pivot, member) pairs are confirmed on
    the full sets of both texts, and the confirmed ones joined to components.
-3. Buckets that then hold more than one component are searched for pairs between components.
-   Pairs whose signatures agree in too few places for the threshold by seven standard
-   deviations go, the others are confirmed on the full sets in the same task, and only links
-   leave it. A bucket larger than BLOCK is compared as pairs of blocks, each its own group,
-   so that no task holds a bucket; a pair that meets in several buckets is compared in the
-   first of them. Near copies that step 2 has joined cost nothing here. No cap, no drop.
-
-What moves: per class BANDS integers; texts only of classes in a candidate pair.
+3. Classes of buckets whose other members then lie in more than one component are joined by
+   prefix filtering, which is exact (Chaudhuri et al. 2006; Xiao et al. 2008): the shingles of
+   each are put in one order, rarest first, and of two linked sets the first few of the smaller
+   one and the first few of the larger one must meet. A set sends 1 - t of its shingles, and
+   what many unlinked texts share stands last in that order and isn't sent. Pairs that meet,
+   lie in different components and can still reach the threshold by their sizes, positions and
+   256-bit parity maps (no two sets differ less than their maps) are confirmed on the full sets. Near copies that step 2 has joined cost nothing here. The order
+   comes from counts in a table of COUNTERS slots; it decides only how few pairs meet, never
+   which are found. No cap, no drop.
+
+What moves: per class BANDS integers; texts only of classes in a candidate pair; the first
+shingles of classes in step 3.
 
 Defined results: null, empty and blank texts have no shingles and stand alone; a text with
 fewer words than a shingle is one shingle of all its words; repeated rows are linked by
-their equal sets; a null doc_id is kept as its own component. Extra columns are ignored.
+their equal sets; rows that repeat a doc_id with other texts are documents of their own; a
+row without doc_id has no component and stays. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +40,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import Rolling, chunks, durable, mix64, text_bytes, text_of
+from runlens.llm.common import Rolling, chunks, durable, in_arrow, mix64, scratch, text_bytes, text_of
 from runlens.llm.components import components
 
 ROWS, BANDS = 5, 25
 PLACES = ROWS * BANDS
 CHUNK = 1 << 19
-BLOCK = 512
-BLOCK_SHINGLES = 200_000
+#: Slots of the counts that order shingles, the rarest first.
+COUNTERS = 1 << 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, PLACES + 1, dtype=np.uint64) * _GOLD
 
@@ -142,23 +148,17 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _short(signatures: np.ndarray) -> np.ndarray:
-    """One byte a place, for counting places that agree; a chance agreement only keeps a pair."""
-    return (mix64(signatures.ravel()) >> np.uint64(56)).astype(np.uint8).reshape(signatures.shape)
-
-
-_SIGNED = "_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, places binary"
+_SIGNED = "_id bigint, _hash bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
 def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: _id, n_shingles, a 128-bit key of the shingle set, band keys, short signature."""
+    """Per row: _id, a hash of the text, n_shingles, a 128-bit key of the shingle set, band keys."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            at = 0
+            raw, offsets = text_bytes(batch.column(2))
             for i, j in chunks(offsets, CHUNK):
                 grams, limits = shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 signatures = super_minhash(grams, limits)
@@ -168,14 +168,16 @@ def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 np.cumsum(mix64(grams ^ _GOLD), out=sums[1, 1:])
                 sets = (sums[:, limits[1:]] - sums[:, limits[:-1]]).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(band_keys(signatures).ravel()))
-                places = [row.tobytes() for row in _short(signatures)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.diff(limits)), pa.array(sets[0]), pa.array(sets[1]), bands, pa.array(places, pa.binary())],
-                    ["_id", "n_shingles", "set_a", "set_b", "bands", "places"],
+                    [batch.column(0).slice(i, n), batch.column(1).slice(i, n), pa.array(np.diff(limits)), pa.array(sets[0]), pa.array(sets[1]), bands],
+                    ["_id", "_hash", "n_shingles", "set_a", "set_b", "bands"],
                 )
-                at += n
 
-    return docs.select(docs[id_col].cast("bigint").alias("_id"), text_of(text_col).alias("_text")).mapInArrow(run, _SIGNED)
+    return in_arrow(_source(docs, id_col, text_col), run, _SIGNED)
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("bigint").alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"), text_of(text_col).alias("_text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -205,115 +207,145 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
 
     # joins by merging at every size: the plan, and what it moves, grows in proportion to the input
-    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_left"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_right"))
+    left = texts.select(F.col("_class").alias("a"), F.col("_text").alias("_left"))
+    right = texts.select(F.col("_class").alias("b"), F.col("_text").alias("_right"))
     both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return both.select("a", "b", "_left", "_right").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    return in_arrow(both.select("a", "b", "_left", "_right"), run, "a bigint, b bigint, linked boolean")
 
 
-def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(_id, grams binary): the full shingle sets of the documents in ids."""
+def _counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of the texts fall in each of COUNTERS slots."""
 
     def run(batches):
         import pyarrow as pa
 
+        counts = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            at = 0
+            raw, offsets = text_bytes(batch.column(0))
             for i, j in chunks(offsets, CHUNK):
-                grams, limits = shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                made = [grams[x:y].tobytes() for x, y in zip(limits, limits[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, j - i), pa.array(made, pa.binary())], ["_id", "grams"])
-                at += j - i
+                grams = shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)[0]
+                counts += np.bincount((grams % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
 
-    return texts.join(ids.hint("merge"), "_id", "left_semi").mapInArrow(run, "_id bigint, grams binary")
+    found = in_arrow(texts.select("_text"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of the same bucket, confirmed on the full sets.
+def prefix_lengths(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that a set sends, those of them that are met as the smaller of two sets)."""
+    probe = sizes - -(-percent * sizes // 100) + 1
+    return probe, np.minimum(probe, sizes - -(-2 * percent * sizes // (100 + percent)) + 1)
 
-    members: band, key, _id, n_shingles, bands, places, component.
+
+_MAPS = ("m0", "m1", "m2", "m3")
+
+
+def _prefixes(texts: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(gram, _class, component, n, at, small, maps): the first shingles of each text in the order of counts.
+
+    The row of the first one has the map of the whole set: bit k is the parity of the shingles whose top byte is k.
     """
-    size = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
-    blocks = durable(members.groupBy("band", "key").agg(F.ceil(size).cast("int").alias("_blocks")), "near-blocks")
-    dealt = members.join(blocks, ["band", "key"]).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    # a row meets every block once: as the earlier or the later one of the pair of blocks
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
-    dealt = dealt.join(sets.hint("merge"), "_id")
-    s = percent / 100
-    least = int(np.floor(PLACES * s - 7 * np.sqrt(PLACES * s * (1 - s))))
-
-    def compare(pdf):
-        import pandas as pd
-
-        pdf = pdf[pdf["grams"].str.len() > 0].sort_values("_id", kind="stable", ignore_index=True)
-        if not len(pdf):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        band, same = pdf["band"].iat[0], pdf["_low"].iat[0] == pdf["_high"].iat[0]
-        ids, comps = (pdf[c].to_numpy(np.int64) for c in ("_id", "component"))
-        places = np.frombuffer(b"".join(pdf["places"]), dtype=np.uint8).reshape(len(pdf), PLACES)
-        bands = np.stack(pdf["bands"].to_numpy())
-        grams = [np.frombuffer(g, dtype=np.uint64) for g in pdf["grams"]]
-        sizes = np.array([len(g) for g in grams])
-        high = np.ones(len(pdf), dtype=bool) if same else (pdf["_block"] == pdf["_high"]).to_numpy()
-        found = []
-        for i in range(len(pdf)):
-            if high[i] and not same:
-                continue
-            ok = high & (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            if same:
-                ok[: i + 1] = False
-            at = np.flatnonzero(ok)
-            at = at[(places[at] == places[i]).sum(axis=1) >= least]
-            at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]  # such a pair met in an earlier band
-            if not len(at):
-                continue
-            own, other = grams[i], np.concatenate([grams[k] for k in at])
-            where = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            limits = np.concatenate([[0], np.cumsum(sizes[at])])
-            hits = np.concatenate([[0], np.cumsum(own[where] == other)])
-            shared = hits[limits[1:]] - hits[limits[:-1]]
-            for k in at[100 * shared >= percent * (sizes[at] + sizes[i] - shared)]:
-                found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("band", "key", "_low", "_high").applyInPandas(compare, "a bigint, b bigint")
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = shared.value
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(2))
+            for i, j in chunks(offsets, CHUNK):
+                grams, limits = shingle_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                sizes = np.diff(limits)
+                owner = np.repeat(np.arange(j - i), sizes)
+                tops = (mix64(grams) >> np.uint64(56)).astype(np.int64)
+                order = np.lexsort((grams, counts[(grams % np.uint64(COUNTERS)).astype(np.int64)], owner))
+                at = np.arange(len(grams)) - limits[:-1][owner]
+                probe, small = prefix_lengths(sizes, percent)
+                sent = at < probe[owner]
+                grams, owner, at = grams[order][sent], owner[sent], at[sent]
+                flips = np.bincount(np.repeat(np.arange(j - i), sizes) * 256 + tops, minlength=(j - i) * 256) & 1
+                maps = np.packbits(flips.astype(np.uint8)).view(np.int64).reshape(j - i, 4)[owner]
+                who, parts = (batch.column(k).slice(i, j - i).to_numpy(zero_copy_only=False)[owner] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams.view(np.int64)), pa.array(who), pa.array(parts), pa.array(sizes[owner]), pa.array(at), pa.array(at < small[owner]), *[pa.array(maps[:, k], mask=at > 0) for k in range(4)]],
+                    ["gram", "_class", "component", "n", "at", "small", *_MAPS],
+                )
+
+    return in_arrow(texts.select("_class", "component", "_text"), run, "gram bigint, _class bigint, component bigint, n bigint, at bigint, small boolean, " + ", ".join(f"{m} bigint" for m in _MAPS))
+
+
+def _across(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, by the first shingles of texts (_class, component, _text)."""
+    sent = durable(_prefixes(texts, _counts(texts, words), words, percent), "near-prefixes")
+    # shingles that more than one component sent, one of its sets as the smaller of two
+    open_ = durable(sent.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("small").alias("any")).filter("lo < hi AND any").select("gram"), "near-shared")
+    met = durable(sent.drop(*_MAPS).join(open_.hint("merge"), "gram"), "near-met")
+    met = durable(met.join(sent.filter("at = 0").select("_class", *_MAPS).hint("merge"), "_class"), "near-mapped")
+    sides = ("_class", "component", "n", "at", *_MAPS)
+    x = met.select("gram", *[F.col(c).alias("x_" + c) for c in sides])
+    y = met.filter("small").select("gram", *[F.col(c).alias("y_" + c) for c in sides])
+    larger = "(x_n > y_n OR (x_n = y_n AND x__class > y__class))"
+    # from this shingle on at most so many can be common
+    enough = f"{100 + percent} * least(x_n - x_at, y_n - y_at) >= {percent} * (x_n + y_n)"
+    # so many at least are not common
+    differ = " + ".join(f"bit_count(x_{m} ^ y_{m})" for m in _MAPS)
+    close = f"{100 + percent} * ({differ}) <= {100 - percent} * (x_n + y_n)"
+    fits = f"x_component <> y_component AND {larger} AND 100 * y_n >= {percent} * x_n AND {enough} AND {close}"
+    both = x.join(y.hint("merge"), (x["gram"] == y["gram"]) & F.expr(fits))
+    return both.select(F.least("x__class", "y__class").alias("a"), F.greatest("x__class", "y__class").alias("b")).distinct()
+
+
+def _one_text_a_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_class, _text) of the classes in wanted (_class, rep, rep_hash)."""
+    found = _source(docs, id_col, text_col).join(wanted.hint("merge"), (F.col("_id") == F.col("rep")) & (F.col("_hash") == F.col("rep_hash")))
+    texts = durable(found.select("_class", "_text"), "near-texts")
+    if texts.count() > wanted.count():  # rows that repeat doc_id and text: one of them, the others going before the exchange
+        texts = durable(texts.groupBy("_class").agg(F.first("_text").alias("_text")), "near-text")
+    return texts
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the shingle sets."""
-    rows = durable(signed(docs, words, id_col, text_col), "near-signed")
-    classes = durable(rows.filter("n_shingles > 0 AND _id IS NOT NULL").groupBy("set_a", "set_b", "n_shingles").agg(F.min("_id").alias("rep")), "near-classes")
-    # one row a class; a doc_id of several rows may stand for several classes, its first row is enough for equal sets
-    reps = durable(
-        rows.join(classes.withColumnRenamed("rep", "_id"), ["_id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["_id", "set_a", "set_b", "n_shingles"])
-        .select("_id", "n_shingles", "bands", "places"), "near-reps"
-    )
-    flat = reps.select("_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    with scratch(docs.sparkSession) as keep:
+        return _near_dedup(docs, words, percent, id_col, text_col, keep)
+
+
+def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keep) -> DataFrame:
+    rows = keep(signed(docs, words, id_col, text_col), "near-signed")
+    key = ["set_a", "set_b", "n_shingles"]
+    classes = rows.filter("n_shingles > 0 AND _id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("_id", "_hash")).alias("_least"), F.first("bands").alias("bands"))
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("_class"), *key, F.col("_least._id").alias("rep"), F.col("_least._hash").alias("rep_hash"), "bands"), "near-classes")
+    flat = classes.select("_class", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = durable(
-        flat.groupBy("band", "key").agg(F.min(F.struct("_id", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("band", "key", F.col("pivot._id").alias("pivot"), F.col("pivot.n_shingles").alias("size")), "near-buckets"
+        flat.groupBy("band", "key").agg(F.min(F.struct("_class", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select("band", "key", F.col("pivot._class").alias("pivot"), F.col("pivot.n_shingles").alias("size")), "near-buckets"
     )
     members = durable(flat.join(buckets.hint("merge"), ["band", "key"]), "near-members")
     # the texts of all that has a candidate, taken once; everything after this works on them alone
-    wanted = durable(members.select("_id").distinct(), "near-wanted")
-    rows_of = docs.select(docs[id_col].cast("bigint").alias("_id"), text_of(text_col).alias("_text"))
-    texts = durable(rows_of.join(wanted.hint("merge"), "_id", "left_semi"), "near-texts")
-    fits = f"_id <> pivot AND 100 * least(n_shingles, size) >= {percent} * greatest(n_shingles, size)"
-    pairs = durable(members.filter(fits).select(F.col("pivot").alias("a"), F.col("_id").alias("b")).distinct(), "near-stars")
-    tried = durable(confirmed(pairs, texts, words, percent), "near-confirmed")
-    labels = durable(components(tried.filter("linked").select("a", "b")), "near-labels")
-    placed = members.select("_id", "band", "key").join(labels, F.col("_id") == F.col("node"), "left")
-    placed = durable(placed.select("_id", "band", "key", F.coalesce("component", "_id").alias("component")), "near-placed")
+    wanted = durable(classes.join(members.select("_class").distinct().hint("merge"), "_class", "left_semi").select("_class", "rep", "rep_hash"), "near-wanted")
+    texts = _one_text_a_class(docs, wanted, id_col, text_col)
+    fits = f"_class <> pivot AND 100 * least(n_shingles, size) >= {percent} * greatest(n_shingles, size)"
+    pairs = durable(members.filter(fits).select(F.col("pivot").alias("a"), F.col("_class").alias("b")).distinct(), "near-stars")
+    linked = durable(confirmed(pairs, texts, words, percent).filter("linked").select("a", "b"), "near-confirmed")
+    labels = durable(components(linked), "near-labels")
+    # what a pivot could not join: buckets whose other members lie in several components
+    placed = members.filter("_class <> pivot").select("_class", "band", "key").join(labels.hint("merge"), F.col("_class") == F.col("node"), "left")
+    placed = durable(placed.select("_class", "band", "key", F.coalesce("component", "_class").alias("component")), "near-placed")
     mixed = durable(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "near-mixed")
-    open_ = durable(placed.join(mixed, ["band", "key"]), "near-open")
-    sets = durable(_sets(texts, durable(open_.select("_id").distinct(), "near-open-ids"), words), "near-sets")
-    across = durable(_across(open_.join(reps.hint("merge"), "_id"), sets, percent), "near-across")
-    if across.limit(1).count():
-        labels = durable(components(tried.filter("linked").select("a", "b").union(across)), "near-labels")
-    final = classes.join(labels, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    final = durable(final, "near-final")
-    out = rows.join(final, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "_id")).otherwise(F.col("_id"))
+    open_ = durable(placed.join(mixed.hint("merge"), ["band", "key"], "left_semi").select("_class", "component").distinct(), "near-open")
+    open_texts = durable(texts.join(open_.hint("merge"), "_class"), "near-open-texts")
+    across = durable(_across(open_texts, words, percent), "near-across")
+    more = durable(confirmed(across, texts, words, percent).filter("linked").select("a", "b"), "near-more")
+    if more.limit(1).count():
+        labels = durable(components(linked.union(more)), "near-labels")
+    # the least doc_id of each component
+    named = durable(labels.join(classes.select("_class", "rep").hint("merge"), F.col("node") == F.col("_class")).select("component", "node", "rep"), "near-named")
+    least = durable(named.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least")
+    of_class = durable(named.select("component", "node").join(least.hint("merge"), "component").select(F.col("node").alias("_class"), "component_id"), "near-of-class")
+    final = classes.select("_class", "rep", *key).join(of_class.hint("merge"), "_class", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
+    out = rows.drop("bands", "_hash").join(keep(final, "near-final").hint("merge"), key, "left")
+    component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

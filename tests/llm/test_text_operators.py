@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import awkward, empty, near_components
+from helpers import awkward, empty, near_components, shingles
 
 from runlens.llm import bpe, components, html_extract, language_id, licenses, near_dedup, quality, warc
 
@@ -156,9 +156,8 @@ def test_near_dedup(spark, words, percent):
     assert near_dedup.near_dedup(empty(spark), words, percent).count() == 0
 
 
-def test_near_dedup_of_a_hot_group(spark, monkeypatch):
-    """Chains of near copies in buckets that are compared in blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+def test_near_dedup_of_a_hot_group(spark):
+    """Chains of near copies, many of which meet in buckets without being linked to the pivot."""
     rng = random.Random(9)
     text, rows = [f"w{rng.randint(0, 400)}" for _ in range(90)], []
     for i in range(120):
@@ -173,6 +172,37 @@ def test_near_dedup_of_a_hot_group(spark, monkeypatch):
     assert got == near_components([r[:2] for r in rows], 3, 85)
 
 
+def test_near_dedup_of_repeated_rows(spark):
+    """Many rows of two near copies are two classes and one pair; a doc_id with two texts is two documents."""
+    base = [f"w{i}" for i in range(90)]
+    near = [*base[:40], "other", *base[41:]]
+    rows = [(7, " ".join(base), "en", "s")] * 400 + [(8, " ".join(near), "en", "s")] * 400 + [(9, "a b c d", "en", "s"), (9, " ".join(near), "en", "s"), (None, " ".join(base), "en", "s")]
+    got = near_dedup.near_dedup(awkward(spark, rows), 3, 85).collect()
+    assert sorted({(str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in got}) == [
+        ("7", 88, "7", True), ("8", 88, "7", False), ("9", 2, "9", True), ("9", 88, "7", False), ("None", 88, "None", True)
+    ] and len(got) == len(rows)
+
+
+@pytest.mark.parametrize(("words", "percent", "counters"), [(3, 85, 1 << 16), (5, 80, 8)])
+def test_prefixes_meet(spark, monkeypatch, words, percent, counters):
+    """Every linked pair meets in its first shingles, whatever the order, and unlinked texts with a common passage do not."""
+    monkeypatch.setattr(near_dedup, "COUNTERS", counters)
+    rng = random.Random(words)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        own = [f"x{i}_{k}" for k in range(rng.randint(20, 60))]
+        texts.append(passage + own)
+        if i % 5 == 0:
+            texts += [[w if rng.random() > 0.02 else f"y{i}" for w in texts[-1]] for _ in range(3)]
+    rows = [(i, i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "_class bigint, component bigint, _text string")
+    got = {(r["a"], r["b"]) for r in near_dedup._across(df, words, percent).collect()}
+    sets = [shingles(" ".join(t), words) for t in texts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 40 and (len(got) < 8 * len(want) or counters < 100)
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -198,6 +228,34 @@ def _tongues(n=300):
     return rows
 
 
+def test_language_features_and_ftrl_by_hand():
+    """Sparse counts against a count of grams; FTRL step by step; its L1 penalty empties weights."""
+    texts = ["", "Ab, ab!", "12 34", "é" * 3, "the end of the\n end"]
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    rows, buckets, counts, has = language_id.gram_counts(raw, offsets)
+    for i, t in enumerate(texts):
+        words = [w for w in "".join(c.lower() if c.isalpha() else " " for c in t).split() if w]
+        assert counts[rows == i].sum() == sum(3 * len(w) for w in words)  # of each letter: itself, the pair that it ends, the triple around it
+        assert has[i] == bool(words) and len(set(buckets[rows == i].tolist())) == (rows == i).sum()
+    rng = np.random.default_rng(0)
+    samples = [(np.append(rng.choice(40, 6, replace=False), language_id.BUCKETS), np.append(rng.random(6), 1.0), int(k % 3)) for k in range(60)]
+    for l1 in (0.0, 0.5):
+        z, n = np.zeros((language_id.BUCKETS + 1, 3)), np.zeros((language_id.BUCKETS + 1, 3))
+        weight = lambda i, c: 0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((1 + n[i, c] ** 0.5) / 0.5 + 0.1)  # noqa: B023, E731
+        for at, x, y in samples:
+            w = np.array([[weight(i, c) for c in range(3)] for i in at])
+            p = np.exp(x @ w) / np.exp(x @ w).sum()
+            for k, i in enumerate(at):
+                for c in range(3):
+                    g = x[k] * (p[c] - (c == y))
+                    z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / 0.5 * w[k, c]
+                    n[i, c] += g * g
+        want = np.array([[weight(i, c) for c in range(3)] for i in range(40)])
+        got = language_id.ftrl(samples, 3, epochs=1, alpha=0.5, beta=1.0, l1=l1, l2=0.1)
+        assert np.allclose(got[:40], want) and (l1 == 0 or (got[:40] == 0).mean() > 0.1)
+
+
 def test_language_id(spark):
     rows = _tongues()
     got = {r["doc_id"]: r for r in language_id.language_table(awkward(spark, [*rows, (900, None, "en", "s"), (901, "12 !?", "en", "s"), (902, "", None, "s")])).collect()}
