@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import durable, text_of
+from runlens.llm.common import durable, scratch, text_of
 
 BLOCK_BYTES = 8192
 
@@ -56,7 +56,7 @@ def text_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = rows.select("_row", F.size("_hashes").alias("_size"), F.posexplode("_hashes").alias("_at", "_hash"))
     level = flat.join(shared, "_hash")
     if shared.filter("_blocks > 1").limit(1).count():
-        level = _with_collisions(source, level, shared, block_bytes, block_hash)
+        level = _with_collisions(source, rows, level, shared, block_bytes, block_hash)
     level = level.select("_row", "_size", "_at", "_name")
 
     done, depth = [], 0
@@ -81,19 +81,25 @@ def text_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select("_row", "_id", "text_sha256").join(identity, "_row")
 
 
-def _with_collisions(source: DataFrame, level: DataFrame, shared: DataFrame, block_bytes: int, block_hash) -> DataFrame:
-    """Names by the bytes for blocks whose hash is not theirs alone; negative, so they meet no other name."""
-    rows = source.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(_blocks(source, block_bytes)).alias("_at", "_block"))
+def _with_collisions(source: DataFrame, rows: DataFrame, level: DataFrame, shared: DataFrame, block_bytes: int, block_hash) -> DataFrame:
+    """Names by the bytes for blocks whose hash is not theirs alone; negative, so they meet no other name.
+
+    Rows have their numbers from one pass that was written; a second pass could number them
+    otherwise. So these blocks find their rows by the text's digest and the block's position.
+    """
     twice = shared.filter("_blocks > 1").select("_hash")
-    bytes_of = durable(rows.withColumn("_hash", block_hash(F.col("_block"))).join(twice, "_hash", "left_semi"), "dedup-collisions")
+    cut = source.select(F.sha2("_bytes", 256).alias("text_sha256"), F.posexplode(_blocks(source, block_bytes)).alias("_at", "_block")).withColumn("_hash", block_hash(F.col("_block")))
+    bytes_of = durable(cut.join(twice, "_hash", "left_semi").distinct(), "dedup-collisions")
     own = durable(_named(bytes_of, "_hash", "_block").select("_hash", "_block", (-F.col("_name") - 2).alias("_exact")), "dedup-exact")
-    exact = bytes_of.join(own, ["_hash", "_block"]).select("_row", "_at", "_exact")
-    return level.join(exact, ["_row", "_at"], "left").withColumn("_name", F.coalesce("_exact", "_name")).drop("_exact")
+    exact = durable(bytes_of.join(own, ["_hash", "_block"]).select("text_sha256", "_at", "_exact"), "dedup-exact-names")
+    told = level.join(twice, "_hash", "left_semi").join(rows.select("_row", "text_sha256"), "_row").join(exact, ["text_sha256", "_at"]).select("_row", "_size", "_at", F.col("_exact").alias("_name"))
+    return level.join(twice, "_hash", "left_anti").select("_row", "_size", "_at", "_name").union(told)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256."""
-    identity = durable(text_identity(docs, id_col, text_col, block_bytes, hash_bits), "dedup-identity")
+    with scratch(docs.sparkSession) as keep:
+        identity = keep(text_identity(docs, id_col, text_col, block_bytes, hash_bits), "dedup-identity")
     # written first: the join then has exchanges of its own, whose large partitions can be split
     groups = durable(
         identity.groupBy("_level", "_name").agg(

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 from helpers import SCHEMA, awkward, empty
+from pyspark.sql import functions as F
 
 from runlens.llm import exact_dedup, fingerprint, mixing
 
@@ -25,6 +26,16 @@ def test_exact_dedup(spark, options):
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_exact_dedup_of_unsteady_row_order(spark):
+    """Blocks that share a hash are told apart also where a second pass would number the rows otherwise."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 24))) for _ in range(300)]
+    docs = awkward(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    for shuffled in (docs.repartition(4), docs.union(docs.filter("false")).repartition(3, "n_chars"), docs.groupBy("doc_id").agg(F.first("text").alias("text"))):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(shuffled, block_bytes=7, hash_bits=3).collect()}
+        assert got == {i: (max(k for k, x in enumerate(texts) if x == t), texts.count(t)) for i, t in enumerate(texts)}
+
+
 def test_without_copies_keeps_rows_whole(spark):
     docs = awkward(spark)
     left = exact_dedup.without_copies(docs)
