@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from runlens.llm.common import durable, table
+from runlens.llm.common import drop, durable, scratch, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as keep:  # what a stage has written on its way goes with it, its input when it has been read
+            done = keep(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
