@@ -7,9 +7,9 @@ from runlens.sources import records
 HEADER = "Timestamp,Service,Error_Category,Raw_Input_Snippet,Root_Cause"
 LINES = [
     HEADER,
-    "t1,S,C,lat: 0, lon: 0,Default Value",
-    't2,S,C,{item_id: "x",,Double comma',
-    "t3,S,C,coordinates: [32, 34],Type Error - Expected object {lat, lon} got array",
+    "t1,S,C,width: 3, depth: 7,Left over from a trial",
+    't2,S,C,<tag name="k1",,Two separators in a row',
+    "t3,S,C,points (5, 6),Mismatch - wanted a pair (x, y) not a list",
     "",
     "a,b,c",
     "a,b,c,d",
@@ -26,9 +26,9 @@ def _file(tmp_path, lines=LINES):
 def test_lenient_golden_rows(spark, tmp_path):
     rows = {r["line_no"]: r for r in records.lenient(spark, _file(tmp_path)).collect()}
     assert sorted(rows) == [2, 3, 4, 8]
-    assert (rows[2]["snippet"], rows[2]["cause"]) == ("lat: 0, lon: 0", "Default Value")
-    assert (rows[3]["snippet"], rows[3]["cause"]) == ('{item_id: "x",', "Double comma")
-    assert (rows[4]["snippet"], rows[4]["cause"]) == ("coordinates: [32, 34],Type Error - Expected object {lat", "lon} got array")
+    assert (rows[2]["snippet"], rows[2]["cause"]) == ("width: 3, depth: 7", "Left over from a trial")
+    assert (rows[3]["snippet"], rows[3]["cause"]) == ('<tag name="k1",', "Two separators in a row")
+    assert (rows[4]["snippet"], rows[4]["cause"]) == ("points (5, 6),Mismatch - wanted a pair (x", "y) not a list")
     assert rows[8]["service"] == " S " and rows[8]["snippet"] == "null"
 
 
@@ -44,7 +44,7 @@ def test_rejects(spark, tmp_path):
 
 def test_strict_truncates_at_the_comma(spark, tmp_path):
     rows = records.strict(spark, _file(tmp_path, LINES[:4])).collect()
-    assert [r["snippet"] for r in rows] == ["lat: 0", '{item_id: "x"', "coordinates: [32"]
+    assert [r["snippet"] for r in rows] == ["width: 3", '<tag name="k1"', "points (5"]
     assert rows[1]["cause"] == ""
 
 
