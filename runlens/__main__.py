@@ -32,7 +32,8 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "train":
         print(triage.train())
     elif args.command == "batch":
-        triage.batch(args.inputs).select("text", "doc_path", "shown", "source", "root_cause").orderBy("qid").show(1000, truncate=False)
+        for row in triage.batch(args.inputs).orderBy("qid").select("text", "doc_path", "shown", "source", "root_cause").toLocalIterator():
+            print(" | ".join(x or "" for x in row))
     elif args.command == "teach":
         triage.teach(triage.spark.createDataFrame([(args.text, args.path)], "text string, correct_doc_path string"))
     elif args.command == "status":

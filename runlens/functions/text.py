@@ -40,6 +40,21 @@ def weights(counts: DataFrame, idfs: DataFrame, id_col: str) -> DataFrame:
     return raw.join(norms, id_col).select(id_col, "term", (F.col("_r") / F.col("_n")).alias("w"))
 
 
+def best_by_counts(queries: DataFrame, counts: DataFrame, idfs: DataFrame, query_id: str, doc_id: str, k: int = 1) -> DataFrame:
+    """The k documents of the largest cosine per query (id, term, w), from raw (id, term, tf) counts.
+
+    All postings give the documents' lengths; only those of a query's terms are scored, and
+    each score is divided by its document's length at the end.
+    """
+    raw = counts.join(idfs.select("term", "idf"), "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+    met = queries.select(query_id, "term", F.col("w").alias("_q")).join(raw, "term")
+    sums = met.groupBy(query_id, doc_id).agg(F.sum(F.col("_q") * F.col("w")).alias("_s"))
+    scores = sums.join(norms, doc_id).select(query_id, doc_id, F.round(F.col("_s") / F.col("_n"), 6).alias("score"))
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
+    return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+
 def best_by_index(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int = 1) -> DataFrame:
     """The k documents of the largest cosine per query, from (id, term, w) relations that meet by term.
 

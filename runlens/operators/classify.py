@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import columns as C
@@ -21,11 +19,40 @@ def dispatched(requests: DataFrame, available=METHODS) -> DataFrame:
     return requests.withColumn("method", method).withColumn("status", status.cast("bigint")).withColumn("error", error)
 
 
-def answered(requests: DataFrame, predictions: dict[str, DataFrame]) -> DataFrame:
-    """Each valid request with (doc_path, confidence, root_cause) of its method's prediction, by qid."""
-    good = requests.filter("status = 200")
-    parts = [good.filter(F.col("method") == m).join(p, "qid") for m, p in predictions.items()]
-    return reduce(DataFrame.unionByName, parts)
+#: Field names of requests and answers.
+REQUEST = "service string, error_category string, raw_input_snippet string, method string"
+ANSWER = ("doc_path", "confidence", "source", "root_cause", "warning")
+
+
+def decoded(bodies: DataFrame, body_col: str = "body") -> DataFrame:
+    """(service, category, snippet, method) from JSON bodies; absent fields are empty, the method its default.
+
+    A body that is not a JSON object gives an empty snippet, which dispatched() refuses.
+    """
+    fields = F.from_json(F.col(body_col), REQUEST)
+    return bodies.select(
+        *[c for c in bodies.columns if c != body_col],
+        C.or_empty(fields["service"]).alias("service"), C.or_empty(fields["error_category"]).alias("category"),
+        C.or_empty(fields["raw_input_snippet"]).alias("snippet"), F.coalesce(fields["method"], F.lit(METHODS[0])).alias("method"),
+    )
+
+
+def encoded(answers: DataFrame) -> Column:
+    """The JSON text of an answer's fields; an empty cause and an absent warning are left out."""
+    fields = [F.nullif(F.col(c), F.lit("")).alias(c) if c == "root_cause" else F.col(c) for c in ANSWER if c in answers.columns]
+    return F.to_json(F.struct(*fields))
+
+
+def matches(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The least path of each folder and of each file name: two small tables instead of pairs."""
+    named = catalog.select("path", C.parent_name(F.col("path")).alias("folder"), C.base_name(F.col("path")).alias("file"))
+    return named.groupBy("folder").agg(F.min("path").alias("_by_folder")), named.groupBy("file").agg(F.min("path").alias("_by_file"))
+
+
+def best_match(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """rows (folder, file, ...) with `path`: the first document in path order that shares folder or file, or null."""
+    folder, file = matches(catalog)
+    return rows.join(folder, "folder", "left").join(file, "file", "left").withColumn("path", F.least("_by_folder", "_by_file")).drop("_by_folder", "_by_file")
 
 
 def resolved(answers: DataFrame, fallbacks: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -47,14 +74,10 @@ def resolved(answers: DataFrame, fallbacks: DataFrame, catalog: DataFrame) -> Da
     tried = others.join(open_.select("qid", "method"), "qid").filter("fm <> method").join(paths, F.col("fp") == F.col("_path"), "left_semi")
     best = tried.groupBy("qid").agg(F.min(F.struct(rank.alias("r"), "fp", "fc", "fm")).alias("b"))
 
-    # the least path of each folder and of each file name: two small tables instead of pairs
-    named = catalog.select("path", C.parent_name(F.col("path")).alias("folder"), C.base_name(F.col("path")).alias("file"))
-    folder = named.groupBy("folder").agg(F.min("path").alias("_by_folder"))
-    file = named.groupBy("file").agg(F.min("path").alias("_by_file"))
     first = catalog.agg(F.min("path").alias("_first"))
     rest = open_.join(best, "qid", "left").withColumn("folder", C.parent_name(F.col("doc_path"))).withColumn("file", C.base_name(F.col("doc_path")))
-    rest = rest.join(folder, "folder", "left").join(file, "file", "left").crossJoin(F.broadcast(first))  # one row
-    match = F.least("_by_folder", "_by_file")
+    rest = best_match(rest, catalog).withColumnRenamed("path", "_match").crossJoin(F.broadcast(first))  # one row
+    match = F.col("_match")
     path = F.coalesce("b.fp", match, "_first", "doc_path")
     confidence = F.when(F.col("b").isNotNull(), F.col("b.fc")).when(match.isNotNull(), F.lit(C.BEST_MATCH)).when(F.col("_first").isNotNull(), F.lit(C.FIRST_AVAILABLE)).otherwise(F.col("confidence"))
     source = (

@@ -38,6 +38,17 @@ def corrections(rows: DataFrame) -> DataFrame:
     return ok.select(C.correction_id(F.col("text"), F.col("correct_doc_path"), F.col("ts").cast("string")).alias("id"), "text", "correct_doc_path", F.lit("user").alias("added_by"), F.col("ts").cast("string").alias("ts"))
 
 
+def counted(official: DataFrame, learned: DataFrame, methods: tuple[str, ...], every: tuple[str, ...]) -> DataFrame:
+    """One row: healthy, model_status, vector_db_status, vector_db_records, learned_corrections; methods: those of `every` that can answer."""
+    ready = lambda m: "Ready" if m in methods else "Not loaded"
+    vector, semantic, forest = every
+    records = official.agg(F.count(F.lit(1)).alias("vector_db_records"))
+    return records.crossJoin(learned.agg(F.count(F.lit(1)).alias("learned_corrections"))).select(  # one row each
+        F.lit(bool(methods)).alias("healthy"), F.lit(f"RF: {ready(forest)}, Semantic: {ready(semantic)}").alias("model_status"),
+        F.lit(ready(vector)).alias("vector_db_status"), "vector_db_records", "learned_corrections",
+    )
+
+
 def latest(feedback: DataFrame) -> DataFrame:
     """The last correction of each text."""
     return feedback.groupBy("text").agg(F.max(F.struct("ts", "id", "correct_doc_path")).alias("m")).select("text", F.col("m.id").alias("id"), F.col("m.correct_doc_path").alias("correct_doc_path"))

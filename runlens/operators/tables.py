@@ -12,8 +12,21 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 
 
+def one_a_key(rows: DataFrame, key: str) -> DataFrame:
+    """Of several rows of one key the greatest by the other columns, in their order, stays; rows without a key stay as they are."""
+    others = [c for c in rows.columns if c != key]
+    if not others:
+        return rows.distinct()
+    best = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*others)).alias("_row"))
+    return best.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in rows.columns]).unionByName(rows.filter(F.col(key).isNull()))
+
+
 def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Values of changes where they are not null, else the old ones; keys that table lacks are ignored."""
+    """Values of changes where they are not null, else the old ones; keys that table lacks are ignored.
+
+    Of several changes of one key one_a_key picks the one that counts.
+    """
+    changes = one_a_key(changes, key)
     names = [c for c in changes.columns if c != key]
     new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in names])
     joined = table.join(new, key, "left")
@@ -25,7 +38,8 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return delete(table, rows, key).unionByName(rows)
+    """rows in place of those of the same key; of several rows of one key one_a_key picks the one that counts."""
+    return delete(table, rows, key).unionByName(one_a_key(rows, key))
 
 
 def only_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -37,12 +51,17 @@ class Snapshots:
     """A table kept as immutable Parquet snapshots; the newest finished one counts.
 
     A snapshot is a directory whose name carries its number, written aside and renamed when it
-    is whole, so that nothing reads what is being written.
+    is whole, so that nothing reads what is being written. A number is claimed by creating a
+    file, which one writer only can do: who publishes after another writer has, since this
+    object's last read, gets an error and nothing is lost. The last KEPT snapshots stay.
     """
 
+    KEPT = 3
+
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._seen: int | None = None
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _numbers(self) -> list[int]:
@@ -53,14 +72,24 @@ class Snapshots:
 
     def read(self) -> DataFrame:
         numbers = self._numbers()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{numbers[-1]}") if numbers else self.spark.createDataFrame([], self.schema)
+        self._seen = numbers[-1] if numbers else 0
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{self._seen}") if numbers else self.spark.createDataFrame([], self.schema)
 
     def replace(self, rows: DataFrame) -> DataFrame:
         aside = f"{self.root}/_new-{uuid.uuid4().hex}"
         rows.write.parquet(aside)
         numbers = self._numbers()
-        if not self._fs.rename(self._path(aside), self._path(f"{self.root}/v{(numbers[-1] if numbers else 0) + 1}")):
+        last = self._seen if self._seen is not None else numbers[-1] if numbers else 0
+        claim, target = self._path(f"{self.root}/_claim-{last + 1}"), self._path(f"{self.root}/v{last + 1}")
+        if (numbers and numbers[-1] > last) or not self._fs.createNewFile(claim):
+            self._fs.delete(self._path(aside), True)
+            raise OSError(f"another writer has published below {self.root} since it was read")
+        if not self._fs.rename(self._path(aside), target):
+            self._fs.delete(claim, False)
             raise OSError(f"could not publish a snapshot below {self.root}")
+        for n in numbers[: -self.KEPT + 1 or None]:
+            self._fs.delete(self._path(f"{self.root}/v{n}"), True)
+            self._fs.delete(self._path(f"{self.root}/_claim-{n}"), False)
         return self.read()
 
     def append(self, rows: DataFrame) -> DataFrame:

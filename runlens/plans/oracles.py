@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries in plans/queries.py, written independently of them."""
 
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
+PAIRS = "list_concat(w, list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda x: x[1] || ' ' || x[2]))"
 PATH = "'/data/services/' || source || '/' || lang || '.md'"
 LINE = "concat_ws(',', '2025-01-01T00:00:00Z', user_id::VARCHAR, event_type, coalesce(props, '') || CASE WHEN event_id % 2 = 0 THEN ', then ' || event_type ELSE '' END, 'value ' || coalesce(floor(value)::BIGINT::VARCHAR, ''))"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -22,13 +23,13 @@ lv AS (SELECT id, list_concat([vector[1] + (id % 7) * 0.15::DOUBLE], vector[2:])
 ls AS (SELECT qid, id, round(list_sum(list_transform(list_zip(qv, vector), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS d FROM q JOIN lv ON true),
 f AS (SELECT * FROM (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, id) = 1) WHERE d < 0.4)"""
 TF = f"""
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({PAIRS}) AS term FROM (SELECT doc_id, {TOK} AS w FROM documents)) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 idf AS (SELECT term, df, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1 AS idf FROM df),
 raw AS (SELECT doc_id, term, tf * idf AS r FROM tf JOIN idf USING (term)),
 w AS (SELECT doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM raw)"""
 TOP = TF + f""",
-qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY ALL),
+qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({PAIRS}) AS term FROM (SELECT item_id, {TOK} AS w FROM benchmark)) GROUP BY ALL),
 qr AS (SELECT item_id, term, tf * idf AS r FROM qt JOIN idf USING (term)),
 qw AS (SELECT item_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY item_id)) AS q FROM qr),
 sc AS (SELECT item_id, doc_id, round(sum(q * w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL),
@@ -39,11 +40,12 @@ LADDER = f"""
 a AS (SELECT doc_id AS qid, ['VECTOR_DB', 'SEMANTIC_SEARCH', 'RANDOM_FOREST'][(doc_id % 3 + 1)::INT] AS method, source, lang, '/data/services/' || lower(source) || '/' || lang || '.md' AS p FROM documents),
 x AS (SELECT a.*, EXISTS (SELECT 1 FROM cat WHERE path = p) AS direct,
       CASE WHEN source = 'src4' AND method <> 'VECTOR_DB' AND EXISTS (SELECT 1 FROM cat WHERE path = '/data/services/src4/en.md') THEN 'VECTOR_DB'
-           WHEN source IN ('src2', 'src4', 'src7') AND method <> 'SEMANTIC_SEARCH' AND EXISTS (SELECT 1 FROM cat WHERE path = '/data/services/' || source || '/en.md') THEN 'SEMANTIC_SEARCH' END AS fm,
+           WHEN source IN ('src2', 'src4', 'src7') AND method <> 'SEMANTIC_SEARCH' AND EXISTS (SELECT 1 FROM cat WHERE path = '/data/services/' || source || '/en.md') THEN 'SEMANTIC_SEARCH'
+           WHEN source = 'src3' AND method <> 'RANDOM_FOREST' AND EXISTS (SELECT 1 FROM cat WHERE path = '/data/services/src3/de.md') THEN 'RANDOM_FOREST' END AS fm,
       (SELECT min(path) FROM cat WHERE folder = source OR file = lang || '.md') AS best, (SELECT min(path) FROM cat) AS first FROM a),
 y AS (SELECT qid, method,
-      CASE WHEN direct THEN p WHEN fm IS NOT NULL THEN '/data/services/' || source || '/en.md' ELSE coalesce(best, first, p) END AS doc_path,
-      CASE WHEN direct THEN 75.0 WHEN fm = 'VECTOR_DB' THEN 95.0 WHEN fm IS NOT NULL THEN 61.5 WHEN best IS NOT NULL THEN 50.0 WHEN first IS NOT NULL THEN 30.0 ELSE 75.0 END::DOUBLE AS confidence,
+      CASE WHEN direct THEN p WHEN fm = 'RANDOM_FOREST' THEN '/data/services/src3/de.md' WHEN fm IS NOT NULL THEN '/data/services/' || source || '/en.md' ELSE coalesce(best, first, p) END AS doc_path,
+      CASE WHEN direct THEN 75.0 WHEN fm = 'VECTOR_DB' THEN 95.0 WHEN fm = 'RANDOM_FOREST' THEN 44.0 WHEN fm IS NOT NULL THEN 61.5 WHEN best IS NOT NULL THEN 50.0 WHEN first IS NOT NULL THEN 30.0 ELSE 75.0 END::DOUBLE AS confidence,
       CASE WHEN direct THEN method WHEN fm IS NOT NULL THEN fm || ' (Fallback)' WHEN best IS NOT NULL THEN method || ' (Best Match)'
            WHEN first IS NOT NULL THEN method || ' (Fallback - First Available)' ELSE method END AS source,
       NOT direct AND (fm IS NOT NULL OR best IS NOT NULL OR first IS NOT NULL) AS is_fallback FROM x)"""
@@ -66,7 +68,7 @@ SQL = {
     "confidence_band": f"""WITH {COS}, c AS (SELECT qid AS query_id, floor((round(score * 1000000)::BIGINT + 50) / 100.0::DOUBLE) / 100.0::DOUBLE AS confidence FROM b WHERE rank = 1)
         SELECT *, CASE WHEN confidence >= 80 THEN 'success' WHEN confidence >= 60 THEN 'warning' ELSE 'error' END AS band, printf('%.2f%%', confidence) AS shown FROM c""",
     "record_ids": "SELECT event_id, 'err_' || (row_number() OVER (ORDER BY event_id) + 1)::VARCHAR AS id FROM events",
-    "token_counts": f"WITH {TF} SELECT term, sum(tf)::BIGINT AS n, count(*) AS df FROM tf GROUP BY term",
+    "token_counts": f"SELECT term, sum(tf)::BIGINT AS n, count(*) AS df FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term",
     "bigram_counts": f"WITH t AS (SELECT {TOK} AS w FROM documents) SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda x: x[1] || ' ' || x[2])) AS term FROM t WHERE len(w) > 1) GROUP BY term",
     "idf_table": f"WITH {TF} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "tfidf_weights": f"WITH {TF} SELECT doc_id, term, round(w, 6) AS w FROM w",
@@ -102,6 +104,14 @@ SQL = {
     "session_replay": "SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after, lower(trim(text)) IN ('q', 'quit', 'exit') AS leaves FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "batch_score": f"""WITH {TOP}, c AS (SELECT item_id, {PATH} AS doc_path, floor((round(score * 1000000)::BIGINT + 50) / 100.0::DOUBLE) / 100.0::DOUBLE AS confidence FROM best JOIN documents USING (doc_id))
         SELECT *, CASE WHEN confidence >= 80 THEN 'success' WHEN confidence >= 60 THEN 'warning' ELSE 'error' END AS band FROM c""",
-    "status_counts": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vector_db_records, (SELECT count(*) FROM conversations) AS learned_corrections, (SELECT count(*) FROM embeddings) > 0 AS healthy",
+    "status_counts": "SELECT true AS healthy, 'RF: Not loaded, Semantic: Ready' AS model_status, 'Ready' AS vector_db_status, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vector_db_records, (SELECT count(*) FROM conversations) AS learned_corrections",
+    "request_decode": """SELECT doc_id AS qid, CASE WHEN bad THEN '' ELSE coalesce(source, '') END AS service, CASE WHEN bad THEN '' ELSE coalesce(lang, '') END AS category,
+        md5(CASE WHEN bad THEN '' ELSE coalesce(text, '') END) AS snippet_md5, CASE WHEN NOT bad AND doc_id % 2 = 0 THEN 'SEMANTIC_SEARCH' ELSE 'VECTOR_DB' END AS method,
+        CASE WHEN empty THEN 400 ELSE 200 END::BIGINT AS status, CASE WHEN empty THEN 'empty snippet' END AS error
+        FROM (SELECT *, bad OR trim(coalesce(text, ''), E' \\t\\n\\r\\f\\v') = '' AS empty FROM (SELECT *, doc_id % 50 = 7 AS bad FROM documents))""",
+    "response_encode": f"""WITH {LADDER}, z AS (SELECT *, CASE WHEN is_fallback THEN 'The predicted document was missing; a fallback was used.'
+        WHEN doc_path NOT IN (SELECT path FROM cat) THEN 'The predicted document is missing and nothing replaces it.' END AS warning FROM y)
+        SELECT qid, '{{"doc_path":"' || doc_path || '","confidence":' || confidence::VARCHAR || ',"source":"' || source || '"' || coalesce(',"warning":"' || warning || '"', '') || '}}' AS body FROM z""",
+    "local_times": "SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS shown FROM events",
     "feedback_stream": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import columns as C
@@ -12,8 +12,8 @@ from runlens.functions import text as T
 from runlens.functions.vector import nearest
 from runlens.operators import classify, knowledge, tables
 from runlens.sources import documents as D
-from runlens.sources.records import parsed
-from runlens.storage import durable, spread
+from runlens.sources.records import parsed, strict
+from runlens.storage import durable, new_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,8 +71,9 @@ def doc_catalog(spark, sf_dir):
 @query
 def doc_content_lookup(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
-    first = pages.agg(F.min("url").alias("url"))
-    return pages.join(F.broadcast(first), "url").select("url", F.md5("html").alias("content_md5"), F.length("html").cast("bigint").alias("size"))
+    url = pages.agg(F.min("url")).first()[0] or "/"
+    found = D.content_of(pages.select(F.col("url").alias("path"), F.col("html").alias("content")), url, url.rsplit("/", 1)[0])
+    return found.select(F.col("path").alias("url"), F.md5("content").alias("content_md5"), "size")
 
 
 @query
@@ -82,7 +83,11 @@ def lenient_record_parse(spark, sf_dir):
 
 @query
 def strict_vs_lenient_diff(spark, sf_dir):
-    rows = parsed(_lines(spark, sf_dir)).filter("reason IS NULL").withColumn("strict_snippet", F.try_element_at(F.split("line", ","), F.lit(4)))
+    lines = _lines(spark, sf_dir)
+    path = new_folder(spark, "lines")
+    lines.select(F.regexp_replace("line", "^[^,]*", F.col("event_id").cast("string")).alias("line")).write.text(path)  # the id in place of the time
+    strictly = strict(spark, path, header=False).select(F.col("timestamp").cast("bigint").alias("event_id"), F.col("snippet").alias("strict_snippet"))
+    rows = parsed(lines).filter("reason IS NULL").join(strictly, "event_id")
     return rows.filter(~F.col("strict_snippet").eqNullSafe(F.col("snippet"))).select("event_id", "snippet", "strict_snippet")
 
 
@@ -153,27 +158,26 @@ def bigram_counts(spark, sf_dir):
 @query
 def idf_table(spark, sf_dir):
     docs = _texts(spark, sf_dir)
-    return T.idf(T.term_counts(docs, "doc_id", "text", 1), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return T.idf(T.term_counts(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _weights(spark, sf_dir):
+def _counted(spark, sf_dir):
+    """Words and word pairs, counted once for frequencies, weights and norms."""
     docs = _texts(spark, sf_dir)
-    # counted once, for frequencies, weights and norms
-    counts = durable(T.term_counts(docs, "doc_id", "text", 1), "term-counts")
-    idfs = durable(T.idf(counts, docs.count()), "idf")
-    return T.weights(counts, idfs, "doc_id"), idfs
+    counts = durable(T.term_counts(docs, "doc_id", "text"), "term-counts")
+    return counts, durable(T.idf(counts, docs.count()), "idf")
 
 
 def _matched(spark, sf_dir):
     """Items against documents; only the postings of the items' words move, as the items are written and so of known size."""
-    docs_w, idfs = _weights(spark, sf_dir)
-    items = durable(T.weights(T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text", 1), idfs, "item_id"), "item-weights")
-    return T.best_by_index(items, docs_w, "item_id", "doc_id")
+    counts, idfs = _counted(spark, sf_dir)
+    items = durable(T.weights(T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text"), idfs, "item_id"), "item-weights")
+    return T.best_by_counts(items, counts, idfs, "item_id", "doc_id")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    return _weights(spark, sf_dir)[0].select("doc_id", "term", F.round("w", 6).alias("w"))
+    return T.weights(*_counted(spark, sf_dir), "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query
@@ -253,11 +257,8 @@ def _catalog(docs: DataFrame) -> DataFrame:
 def best_match_doc(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     catalog = _catalog(docs)
-    named = catalog.select("path", C.parent_name(F.col("path")).alias("folder"), C.base_name(F.col("path")).alias("file"))
-    wanted = docs.select("source", "lang").distinct().withColumn("file", F.concat("lang", F.lit(".md")))
-    by_folder = named.groupBy(F.col("folder").alias("source")).agg(F.min("path").alias("a"))
-    by_file = named.groupBy("file").agg(F.min("path").alias("b"))
-    return wanted.join(by_folder, "source", "left").join(by_file, "file", "left").select("source", "lang", F.least("a", "b").alias("path"))
+    wanted = docs.select("source", "lang").distinct().select("*", F.col("source").alias("folder"), F.concat("lang", F.lit(".md")).alias("file"))
+    return classify.best_match(wanted, catalog).select("source", "lang", "path")
 
 
 @query
@@ -274,7 +275,8 @@ def _resolved(spark, sf_dir):
     some = docs.filter("source IN ('src2', 'src4', 'src7')")
     fallbacks = some.select(F.col("doc_id").alias("qid"), F.lit("SEMANTIC_SEARCH").alias("method"), other.alias("doc_path"), F.lit(61.5).alias("confidence"))
     fallbacks = fallbacks.unionByName(some.filter("source = 'src4'").select(F.col("doc_id").alias("qid"), F.lit("VECTOR_DB").alias("method"), other.alias("doc_path"), F.lit(95.0).alias("confidence")))
-    return classify.resolved(answers, fallbacks, catalog := _catalog(docs)), catalog
+    forest = docs.filter("source = 'src3'").select(F.col("doc_id").alias("qid"), F.lit("RANDOM_FOREST").alias("method"), F.lit("/data/services/src3/de.md").alias("doc_path"), F.lit(44.0).alias("confidence"))
+    return classify.resolved(answers, fallbacks.unionByName(forest), catalog := _catalog(docs)), catalog
 
 
 @query
@@ -358,9 +360,9 @@ def feedback_latest(spark, sf_dir):
 
 @query
 def session_replay(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = _t(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"), F.lower(F.trim(F.col("text"))).isin("q", "quit", "exit").alias("leaves"))
+    from runlens.shell import replay
+
+    return replay(_t(spark, sf_dir, "conversations"))
 
 
 @query
@@ -372,20 +374,39 @@ def batch_score(spark, sf_dir):
 
 @query
 def status_counts(spark, sf_dir):
-    n = lambda name, alias: _t(spark, sf_dir, name).agg(F.count(F.lit(1)).alias(alias))
-    one = n("documents", "documents").crossJoin(n("embeddings", "vector_db_records")).crossJoin(n("conversations", "learned_corrections"))  # one row each
-    return one.select("*", (F.col("vector_db_records") > 0).alias("healthy"))
+    documents = _docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"))
+    return knowledge.counted(_vectors(spark, sf_dir), _t(spark, sf_dir, "conversations"), classify.METHODS[:2], classify.METHODS).crossJoin(documents)  # one row each
 
 
 @query
 def rf_predict(spark, sf_dir):
-    """Quality by the forest over all labelled documents; no SQL counterpart."""
+    """Quality of every document by the forest, fitted on labelled ones but for a fourth that is held out; no SQL counterpart."""
     from runlens.operators import forest
 
-    labelled = _docs(spark, sf_dir).join(_t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("quality"))
-    rows = forest.with_terms(labelled, "text").drop("text")
-    out = forest.predict(forest.fit(rows, "quality", depth=8), rows, "quality")
-    return out.select("doc_id", "quality", "predicted", F.round("confidence", 4).alias("confidence"))
+    labels = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    rows = forest.with_terms(_docs(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id", "left"), "text").drop("text")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = forest.predict(forest.fit(rows.filter(~held & F.col("quality").isNotNull()), "quality", depth=8), rows)
+    return out.select("doc_id", held.alias("held_out"), "quality", "predicted", F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def request_decode(spark, sf_dir):
+    fields = F.struct(F.col("source").alias("service"), F.col("lang").alias("error_category"), F.col("text").alias("raw_input_snippet"), F.when(F.col("doc_id") % 2 == 0, F.lit("SEMANTIC_SEARCH")).alias("method"))
+    body = F.when(F.col("doc_id") % 50 == 7, F.lit("{broken")).otherwise(F.to_json(fields))
+    told = classify.dispatched(classify.decoded(_docs(spark, sf_dir).select(F.col("doc_id").alias("qid"), body.alias("body"))))
+    return told.select("qid", "service", "category", F.md5("snippet").alias("snippet_md5"), "method", "status", "error")
+
+
+@query
+def response_encode(spark, sf_dir):
+    out = classify.response(*_resolved(spark, sf_dir))
+    return out.select("qid", classify.encoded(out).alias("body"))
+
+
+@query
+def local_times(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", C.local_time(F.col("ts"), "+02:00").alias("shown"))
 
 
 @query

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from runlens.triage import Triage
 
 #: Words that end a conversation, and those that say yes.
 LEAVE, YES = ("q", "quit", "exit"), ("y", "yes")
 
 
+def replay(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) of conversations with the roles before and after, and whether they leave."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    leaves = F.lower(F.trim(F.col("text"))).isin(*LEAVE)
+    return turns.select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"), leaves.alias("leaves"))
+
+
 def converse(triage: Triage, ask: Callable[[str], str] = input, say: Callable[[str], None] = print) -> int:
     """Ask for errors until one of LEAVE or the end of input; the number of corrections taught. Blank lines are passed over."""
     taught = 0

@@ -50,9 +50,9 @@ def rejects(spark: SparkSession, path: str) -> DataFrame:
     return parsed(numbered_lines(spark, path).filter("line_no > 1")).filter("reason IS NOT NULL").select("line_no", "reason", "line")
 
 
-def strict(spark: SparkSession, path: str) -> DataFrame:
+def strict(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Quoted CSV; tokens beyond the five columns are dropped, empty ones stay empty."""
-    rows = spark.read.schema(SCHEMA).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    rows = spark.read.schema(SCHEMA).option("header", header).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(("Timestamp", "Service", "Error_Category", "Raw_Input_Snippet", "Root_Cause"), FIELDS, strict=True)])
 
 

@@ -204,14 +204,12 @@ class Triage:
 
     def status(self) -> DataFrame:
         """One row: healthy, model_status, vector_db_status, vector_db_records, learned_corrections."""
-        live = self.available()
-        ready = lambda m: "Ready" if m in live else "Not loaded"
-        official = self._official.read().agg(F.count(F.lit(1)).alias("vector_db_records"))
-        learned = self.corrections().agg(F.count(F.lit(1)).alias("learned_corrections"))
-        return official.crossJoin(learned).select(  # one row each
-            F.lit(bool(live)).alias("healthy"), F.lit(f"RF: {ready('RANDOM_FOREST')}, Semantic: {ready('SEMANTIC_SEARCH')}").alias("model_status"),
-            F.lit("Ready").alias("vector_db_status"), "vector_db_records", "learned_corrections",
-        )
+        return knowledge.counted(self._official.read(), self.corrections(), self.available(), classify.METHODS)
+
+    def answer(self, bodies: DataFrame) -> DataFrame:
+        """(qid, status, error, body): the JSON answers to JSON requests (qid bigint, body)."""
+        out = self.classify(classify.decoded(bodies))
+        return out.select("qid", "status", "error", F.when(F.col("status") == 200, classify.encoded(out)).alias("body"))
 
     # inner parts
 

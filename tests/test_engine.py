@@ -95,6 +95,45 @@ def test_tables_and_snapshots(spark, tmp_path):
     assert {(r["k"], r["id"]) for r in t.collect()} == {(2, 0), (3, 1)}
 
 
+def test_changes_that_repeat_a_key(spark):
+    """Of several changes of one key one counts, and no row multiplies."""
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    twice = spark.createDataFrame([(2, "y"), (2, "x"), (2, "y"), (3, "n"), (3, "m")], "k bigint, v string")
+    assert sorted(r[:] for r in tables.update(t, twice, "k").collect()) == [(1, "a"), (2, "y")]
+    assert sorted(r[:] for r in tables.upsert(t, twice, "k").collect()) == [(1, "a"), (2, "y"), (3, "n")]
+
+
+def test_snapshots_of_two_writers(spark, tmp_path):
+    """Who publishes on what another has replaced meanwhile gets an error; old snapshots go."""
+    one, two = (tables.Snapshots(spark, f"file://{tmp_path}/t", "k bigint") for _ in range(2))
+    row = spark.createDataFrame([(1,)], "k bigint")
+    one.append(row)
+    assert two.read().count() == 1
+    for _ in range(4):
+        one.append(row)
+    with pytest.raises(OSError):
+        two.replace(row)
+    assert two.append(row).count() == 6 and len(list(tmp_path.glob("t/v*"))) == tables.Snapshots.KEPT
+
+
+def test_scratch_tables(spark):
+    from runlens.storage import durable, scratch
+
+    with scratch(spark) as keep:
+        gone, kept = durable(spark.range(3), "a"), keep(spark.range(4), "b")
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="(?i)file|path"):
+        spark.read.parquet(gone._runlens_path).count()
+
+
+def test_requests_and_answers_as_json(spark):
+    bodies = spark.createDataFrame([(1, '{"raw_input_snippet": "x", "method": "NOPE"}'), (2, "[1]"), (3, None), (4, '{"service": "s", "raw_input_snippet": "y"}')], "qid bigint, body string")
+    got = {r["qid"]: (r["service"], r["snippet"], r["method"], r["status"]) for r in classify.dispatched(classify.decoded(bodies)).collect()}
+    assert got == {1: ("", "x", "NOPE", 400), 2: ("", "", "VECTOR_DB", 400), 3: ("", "", "VECTOR_DB", 400), 4: ("s", "y", "VECTOR_DB", 200)}
+    answers = spark.createDataFrame([("p", 75.0, "s", "", None), ("p", 30.0, "s", "c", "w")], "doc_path string, confidence double, source string, root_cause string, warning string")
+    assert [r[0] for r in answers.select(classify.encoded(answers)).collect()] == ['{"doc_path":"p","confidence":75.0,"source":"s"}', '{"doc_path":"p","confidence":30.0,"source":"s","root_cause":"c","warning":"w"}']
+
+
 def test_markdown_and_containment(spark, tmp_path):
     (tmp_path / "svc").mkdir()
     (tmp_path / "svc" / "CAT.md").write_text("שלום 🙂\nx")
