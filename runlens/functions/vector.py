@@ -27,8 +27,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 1, metric: str = "l2
 
     value is the squared distance ("l2", least first) or the cosine ("cosine", largest first),
     rounded to `digits`; ties go to the least id. Queries are broadcast in blocks of at most
-    QUERY_BLOCK; every block is one pass over the corpus, in which each batch of rows sends its
-    k best per query and no more. Rows without a vector are nobody's neighbour and find none;
+    QUERY_BLOCK; every block is one pass over the corpus, in which each task sends its k best per
+    query and no more. Rows without a vector are nobody's neighbour and find none;
     nor does a vector of zeros by cosine.
     """
     spark = queries.sparkSession
@@ -53,6 +53,8 @@ def _one_pass(spark, rows, corpus: DataFrame, k: int, metric: str, but_itself: b
         import pyarrow as pa
 
         ids, q = held.value
+        # the k best of each query so far; what a task sends doesn't grow with its rows
+        value, who = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
         for batch in batches:
             if not len(ids) or not batch.num_rows:
                 continue
@@ -67,13 +69,15 @@ def _one_pass(spark, rows, corpus: DataFrame, k: int, metric: str, but_itself: b
                     with np.errstate(divide="ignore", invalid="ignore"):  # vectors of zeros
                         score = score / np.sqrt(np.einsum("ij,ij->i", part, part)[:, None] * np.einsum("ij,ij->i", x, x))
                 score = np.round(score, digits)
+                score[np.isnan(score)] = -np.inf
                 if but_itself:
                     score[ids[at : at + 512][:, None] == own] = -np.inf
-                best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                value = np.take_along_axis(score, best, axis=1)
-                ok = np.isfinite(value)
-                out = -value if metric == "l2" else value
-                who = np.broadcast_to(ids[at : at + 512][:, None], value.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(own[best][ok]), pa.array(out[ok] + 0.0)], ["qid", "id", "value"])
+                score = np.concatenate([value[at : at + 512], score], axis=1)
+                near = np.concatenate([who[at : at + 512], np.broadcast_to(own, (len(part), len(own)))], axis=1)
+                best = np.lexsort((near, -score), axis=1)[:, :k]
+                value[at : at + 512], who[at : at + 512] = np.take_along_axis(score, best, axis=1), np.take_along_axis(near, best, axis=1)
+        ok = np.isfinite(value)
+        out = -value if metric == "l2" else value
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(who[ok]), pa.array(out[ok] + 0.0)], ["qid", "id", "value"])
 
     return corpus.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "qid bigint, id bigint, value double")
