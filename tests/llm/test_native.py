@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
+import xxhash
 from helpers import SCHEMA, awkward, empty
 from pyspark.sql import functions as F
 
@@ -159,6 +161,56 @@ def test_edited_texts_and_next_documents(spark):
                 assert got[i]["near_edited"] > 0.3
 
 
+def _hash(parts, seed=42):
+    """The 64-bit hash of several values, each seeding the next, as a signed number."""
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed & ((1 << 64) - 1))
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def _plain_fingerprint(text):
+    """(hash of the chosen hashes and positions, set of the chosen hashes) by the definition."""
+    tokens = []
+    for run in re.finditer(r"[^\x20\x09-\x0d]+", text):
+        whole = run[0]
+        tokens += [whole] if len(whole) < 8 else [whole[i : i + 8] for i in range(len(whole) - 7)]
+    leaves = [_hash([t]) for t in tokens]
+    pairs = [_hash(leaves[i : i + 2]) for i in range(len(leaves) - 1)]
+    grams = [_hash([pairs[i], pairs[i + 2]]) for i in range(len(leaves) - 3)] if len(leaves) >= 4 else [_hash(leaves)] if leaves else []
+    tops = [(g & ((1 << 64) - 1)) >> 32 for g in grams]
+    chosen = []
+    for i in range(max(len(tops) - 3, min(len(tops), 1))):
+        window = tops[i : i + 4]
+        best = (min(window), max(i + j for j, h in enumerate(window) if h == min(window)))
+        if best not in chosen:
+            chosen.append(best)
+    packed = [(h << 31) + (1 << 31) - 1 - at for h, at in chosen]
+    four = lambda n: n.to_bytes(4, "little")
+    word = lambda n: f"{n & ((1 << 64) - 1):016x}"
+    return word(_hash(packed)) + word(_hash([four(4), *packed, four(4)])), {h for h, _ in chosen}
+
+
+def test_fingerprint_table_by_hand(spark):
+    """Every column against winnowing by its definition, with repeated rows, null ids and texts without spaces."""
+    rng = random.Random(8)
+    docs = awkward(spark).filter("doc_id IS NULL OR doc_id <> 11")
+    more = [(200 + i // 2, "".join(rng.choice("ab 漢字😀c") for _ in range(rng.randint(0, 90))), "en", "s") for i in range(40)]
+    docs = docs.union(awkward(spark, [*more, more[3], (None, "another one without an id", "en", "s")]))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, _hash([r[1]])))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + following[:cut]
+        (own, a), (new, b), (_, c) = map(_plain_fingerprint, (t, edited, following))
+        alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), own, new, round(alike(a, b), 9), round(alike(a, c), 9)))
+    for ranges in (1, 7):
+        got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprint.fingerprint_table(docs, ranges).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_no_python_in_the_plans(spark):
     for df in (fingerprint.fingerprint_table(awkward(spark)), mixing.mix_table(awkward(spark)), exact_dedup.exact_dedup(awkward(spark))):
         plan = df._jdf.queryExecution().toString()
