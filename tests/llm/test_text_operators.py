@@ -397,3 +397,31 @@ def test_quality(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values()) and 900 in got
     assert quality.quality_table(empty(spark), table).count() == 0
     assert {r["score"] for r in quality.quality_table(docs, table.limit(0)).collect()} == {0.5}
+
+
+def test_quality_by_definition(spark):
+    """Scores against Gaussian log densities with numpy's determinants and inverses, over the moments of all rows."""
+    rng = np.random.default_rng(6)
+    d, mix = len(quality.NAMES), rng.normal(size=(len(quality.NAMES), len(quality.NAMES)))
+    x = [rng.normal(size=(40, d)) @ mix, rng.normal(size=(90, d)) @ mix.T + 0.5]
+    rows = spark.createDataFrame([(k, v.tolist()) for k in (0, 1) for v in x[k]], "quality int, stats array<double>").repartition(3)
+    model = quality.Discriminant(quality.moments(rows))
+    cov = [np.cov(v.T, bias=True) for v in x]
+    both = (40 * cov[0] + 90 * cov[1]) / 130
+    scale = np.diag(1 / np.sqrt(np.diag(both)))
+    tests, log = rng.normal(size=(25, d)) @ mix, []
+    for k in (0, 1):
+        own = scale @ ((1 - quality.POOLED) * cov[k] + quality.POOLED * both) @ scale
+        own = (1 - quality.RIDGE) * own + quality.RIDGE * np.trace(own) / d * np.eye(d)
+        off = (tests - x[k].mean(axis=0)) @ scale
+        log.append(np.log(len(x[k]) / 130) - 0.5 * np.log(np.linalg.det(own)) - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(own), off))
+    assert np.allclose(model.scores(tests), 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700))), atol=1e-6)
+
+
+def test_quality_of_awkward_tables(spark):
+    """Every row has a score: nulls in any column, a very long text, and repeated rows, which have equal ones."""
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(i, i % 2, 0, None) for i in range(20, 80)] + [(20, 0, 0, None), (None, None, None, None)], "doc_id bigint, quality int, toxic int, text string")
+    got = quality.quality_table(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 2}) == 1
