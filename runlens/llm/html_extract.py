@@ -7,12 +7,16 @@
    the main element) where a page marks one, and short lines made of links where it doesn't,
    but for first-rank headings. Inside an article or main element a word that may as well name
    a part of the text (WEAK, or the id of a section) marks a notice only if the element holds
-   mostly links, or form fields; ids of headings mark nothing.
+   mostly links, or form fields; ids of headings mark nothing. A class or id that names a notice
+   marks nothing on an element that holds more than half of the page's text and all its articles
+   (main elements, first-rank headings): it wraps the page. Words for comments and the elements
+   of DROPPED always count.
 2. Sum the weights over a sliding window of WINDOW lines. A surge point is where the sums rise
    from nothing to the threshold, a dive point where they fall to nothing again.
 3. The text lies between the first surge and the last dive point: every line with weight there
    is kept. Where a page marks its article, any weight is a surge; elsewhere the sums must reach
-   THRESHOLD characters.
+   THRESHOLD characters. An article is a teaser, and the page one without marks, if a stretch
+   outside of it has over TEASER times its weight.
 
 Defined results: null, empty and text-free pages give the empty text; broken or unclosed
 markup never fails (an open script, style or comment reaches to the end of the page, an open
@@ -26,6 +30,7 @@ from __future__ import annotations
 import html as _html
 import re
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -33,6 +38,7 @@ from runlens.llm.common import in_arrow, text_of
 
 WINDOW = 3
 THRESHOLD = 80
+TEASER = 2
 
 # HTML element names and words of class, id and role attributes.
 BLOCK = frozenset(
@@ -56,6 +62,7 @@ WEAK = frozenset(
 _COMMENTS = frozenset("comment comments commentlist disqus".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OF_TEXT = frozenset("entry post article story content section chapter".split())
+_STATES = frozenset("has with no without".split())
 _FIELDS = frozenset("form input textarea select".split())
 _RAW_START = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in RAW}
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
@@ -67,30 +74,32 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _is_notice(name: str, attributes: str, inside: bool = False) -> bool | None:
-    """Whether an element's own attributes mark it as something beside the text; None inside an article: what it holds decides."""
+def _notice(name: str, attributes: str, inside: bool = False) -> str:
+    """Whether an element's own attributes mark it as beside the text: "sure", "named" unless it wraps the page, "doubt" if what it holds decides, "" if not."""
     if not attributes or name in ("html", "body", "main") or (name == "article" and "comment" not in attributes.lower()):
-        return False
-    doubt = False
+        return ""
+    found = ""
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return "sure"
         if key in ("class", "id", "role"):
             if key == "id" and name in _HEADINGS:
                 continue
             words = []
             for part in value.split():
                 own = [w for w in _SPLIT.split(_CAMEL.sub("-", part).lower()) if w]
-                words += [w for w in own if w != "header" or _OF_TEXT.isdisjoint(own)]
+                if own and own[0] not in _STATES:
+                    words += [w for w in own if w != "header" or _OF_TEXT.isdisjoint(own)]
             if key != "role" and name == "article":
                 words = [w for w in words if w.startswith("comment")]
             marks = [w for w in words if w in NOTICE]
             if marks:
-                if not inside or key == "role" or not all(w in WEAK or (key == "id" and name == "section" and w not in _COMMENTS) for w in marks):
-                    return True
-                doubt = True
-    return None if doubt else False
+                if key == "role" or not _COMMENTS.isdisjoint(marks):
+                    return "sure"
+                weak = inside and all(w in WEAK or (key == "id" and name == "section") for w in marks)
+                found = "doubt" if weak and found != "named" else "named"
+    return found
 
 
 #: An open element that a new one ends, up to the element it may not leave (HTML's optional end tags).
@@ -114,6 +123,7 @@ class _Open:
     def __init__(self, lines: _Lines) -> None:
         self.lines = lines
         self.doubt: tuple[int, int, int] | None = None  # place of the outermost doubtful element, lines and fields before it
+        self.named: list[tuple[int, int]] = []  # places of the elements named as notices, lines before them
         self.stack: list[tuple[str, bool, str]] = []
         self.at: dict[str, list[int]] = {}  # positions in the stack by name
         self.counts = {True: 0, "article": 0, "main": 0, "a": 0, "gone": 0}
@@ -137,6 +147,8 @@ class _Open:
             name, drop, kind = self.stack.pop()
             self.at[name].pop()
             self._count(drop, kind, -1)
+        while self.named and self.named[-1][0] >= i:
+            self.lines.named.append((self.named.pop()[1], len(self.lines.rows)))
         if self.doubt and self.doubt[0] >= i:
             self.lines.judge(*self.doubt[1:])
             self.doubt = None
@@ -171,6 +183,8 @@ class _Lines:
 
     def __init__(self) -> None:
         self.rows: list[tuple[str, bool, bool, bool, float]] = []  # text, beside the article, in article, in main, share of links
+        self.heads: list[bool] = []  # whether a line is of a first-rank heading
+        self.named: list[tuple[int, int]] = []  # lines [first, end) of elements named as notices
         self.parts: list[str] = []
         self.linked = 0
         self.fields = 0  # form fields so far
@@ -180,6 +194,7 @@ class _Lines:
             text = " ".join("".join(self.parts).split())
             if text:
                 self.rows.append((text, beside, article, main, 0.0 if headline else self.linked / len(text)))
+                self.heads.append(headline)
             self.parts, self.linked = [], 0
 
     def judge(self, first: int, fields: int) -> None:
@@ -188,6 +203,29 @@ class _Lines:
         if self.fields > fields or 2 * sum(len(row[0]) * row[4] for row in self.rows[first:]) > size:
             self.rows[first:] = [(text, True, *rest) for text, _, *rest in self.rows[first:]]
 
+    def judge_named(self) -> None:
+        """The lines of elements named as notices lie beside the text, unless the element wraps the page."""
+        own = [not row[1] for row in self.rows]
+        size = [0, *accumulate(o * len(row[0]) for o, row in zip(own, self.rows, strict=True))]
+        linked = [0, *accumulate(o * len(row[0]) * row[4] for o, row in zip(own, self.rows, strict=True))]
+        big = [(a, b) for a, b in self.named if 2 * (size[b] - size[a]) > max(size[-1], 4 * (linked[b] - linked[a]))]
+        small = self._covered(set(self.named) - set(big))
+        free = [o and not n for o, n in zip(own, small, strict=True)]
+        heads = [f and (row[2] or row[3]) for f, row in zip(free, self.rows, strict=True)]
+        if not any(heads):
+            heads = [f and h for f, h in zip(free, self.heads, strict=True)]
+        head = [0, *accumulate(heads)]
+        notices = self._covered([(a, b) for a, b in big if not head[-1] or head[b] - head[a] < head[-1]])
+        self.rows = [(row[0], row[1] or n + m > 0, *row[2:]) for row, n, m in zip(self.rows, small, notices, strict=True)]
+
+    def _covered(self, spans) -> list[int]:
+        """How many of the spans cover each line."""
+        steps = [0] * (len(self.rows) + 1)
+        for a, b in spans:
+            steps[a] += 1
+            steps[b] -= 1
+        return list(accumulate(steps))[:-1]
+
 
 def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
     """The lines of a page in order: (text, beside, in article, in main, share of linked text)."""
@@ -250,16 +288,19 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
                 # an unclosed menu, header or form, or a form around the whole page
                 open_.forgive()
                 beside = 0
-            notice = _is_notice(name, attributes, (article > 0 or counts["main"] > 0) and not beside)
-            if notice is None and not open_.doubt:
+            notice = _notice(name, attributes, (article > 0 or counts["main"] > 0) and not beside)
+            if notice == "doubt" and not open_.doubt:
                 open_.doubt = (len(open_.stack), len(lines.rows), lines.fields)
-            drop = (name in DROPPED and not (name == "header" and article and not beside)) or bool(notice)
+            if notice == "named":
+                open_.named.append((len(open_.stack), len(lines.rows)))
+            drop = (name in DROPPED and not (name == "header" and article and not beside)) or notice == "sure"
             kind = "article" if name == "article" and not drop and not beside else "main" if (name == "main" or "role=\"main\"" in attributes) and not drop else "a" if name == "a" else ""
             open_.push(name, drop, kind)
         else:
             open_.end(name)
     lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, bool(open_.at.get("h1")))
     open_.cut(0)
+    lines.judge_named()
     return lines.rows
 
 
@@ -287,14 +328,16 @@ def main_text(page: str | None) -> str:
         return ""
     rows = page_lines(page)
     marked = 2 if any(a and not b for _, b, a, _, _ in rows) else 3 if any(m and not b for _, b, _, m, _ in rows) else 0
-    weights = []
-    for row in rows:
-        text, beside, linked = row[0], row[1], row[4]
-        own = not beside and (row[marked] if marked else not (linked > 0.6 and len(text) < THRESHOLD))
-        weights.append(len(text) if own else 0)
+    loose = [0 if beside or (linked > 0.6 and len(text) < THRESHOLD) else len(text) for text, beside, _, _, linked in rows]
+    if marked:
+        weights = [0 if row[1] or not row[marked] else len(row[0]) for row in rows]
+        outside = [0 if row[marked] else n for row, n in zip(rows, loose, strict=True)]
+        if max((sum(outside[a:b]) for a, b in surges_and_dives(outside, least=THRESHOLD)), default=0) > TEASER * sum(weights):
+            marked = 0
     if marked:
         stretches = surges_and_dives(weights)
     else:
+        weights = loose
         stretches = surges_and_dives(weights, least=THRESHOLD) or surges_and_dives(weights)
         stretches = [(stretches[0][0], stretches[-1][1])] if stretches else []
     return "\n".join(rows[i][0] for a, b in stretches for i in range(a, b) if weights[i])

@@ -77,6 +77,27 @@ def test_html_never_fails(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+WRAPPED = "<article><h1>Title</h1><p>" + "Body text of the page. " * 9 + "</p></article>"
+
+
+@pytest.mark.parametrize("mark", ["has-sidebar", "page nav-open", "widget", "content related", "social-ready"])
+def test_html_wrappers_named_like_notices(mark):
+    want = html_extract.main_text(WRAPPED)
+    assert want.startswith("Title\nBody")
+    related = '<div class="related"><article><h2>Other</h2><p>A teaser.</p></article></div>'
+    for page in (f'<div class="{mark}">{WRAPPED}</div>', f'<div class="{mark}"><div class="widget">{WRAPPED}</div>{related}</div>', f'<div class="{mark}">{WRAPPED}</div>{related}'):
+        assert html_extract.main_text(f"<body>{page}<footer>(c)</footer></body>") == want
+
+
+def test_html_notices_larger_than_the_article():
+    long = "<p>" + "Said much about it. " * 40 + "</p>"
+    for mark in ("sidebar", "comments", "related"):
+        assert html_extract.main_text(f'<article><p>Short.</p></article><div class="{mark}"><article>{long}</article></div>') == "Short."
+        assert html_extract.main_text(f'<div class="page widget"><article><p>Short.</p></article><div class="{mark}">{long}</div></div>') == "Short."
+    assert html_extract.main_text(f'<body><div class="comments">{long}</div></body>') == ""
+    assert html_extract.main_text(f"<body><article><p>A teaser.</p></article><div>{long}</div></body>").endswith("about it.")
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "", "x")], "page_id bigint, url string, html string, text string")
     got = sorted((str(r["page_id"]), r["n_chars"]) for r in html_extract.extract(rows).collect())
