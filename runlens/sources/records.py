@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.columns import stripped
+from runlens.storage import durable
 
 FIELDS = ("timestamp", "service", "category", "snippet", "cause")
 #: Fixed value: header names of a records file.
@@ -13,9 +14,19 @@ SCHEMA = "Timestamp string, Service string, Error_Category string, Raw_Input_Sni
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a file, from 1; the file is one row, so it should be of catalogue size."""
-    whole = spark.read.format("text").option("wholetext", True).load(path)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("_at", "line")).select((F.col("_at") + 1).cast("bigint").alias("line_no"), "line")
+    """(line_no, line) of each file, from 1, in file order; an end of line at a file's end starts no further line.
+
+    Files are read in splits: a line's number is its place in its split behind the lines of the
+    file's earlier splits, so no task sees more than one split.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    read = read.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"))
+    # written first: where the splits begin may change with the number of cores
+    lines = durable(read, "lines")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = lines.groupBy("_file", "_split").agg(F.count(F.lit(1)).alias("_n")).select("_file", "_split", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_row"))
+    return lines.withColumn("_at", place).join(splits, ["_file", "_split"]).select((F.col("_before") + F.col("_at")).cast("bigint").alias("line_no"), F.col("value").alias("line"))
 
 
 def parsed(lines: DataFrame, line_col: str = "line") -> DataFrame:

@@ -42,6 +42,20 @@ def test_rejects(spark, tmp_path):
     assert found == {5: "blank", 6: "malformed", 7: "missing_cause"}
 
 
+def test_lines_are_numbered_over_splits_and_by_file(spark, tmp_path):
+    for name, n in (("a.csv", 700), ("b.csv", 5)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\r\n" if i % 3 else "\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        rows = records.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 705
+    assert sorted(r["line_no"] for r in rows if r["line"] == "") == sorted([*range(3, 701, 3), 3])
+    assert all(r["line"].strip().split()[1] == str(r["line_no"]) for r in rows if r["line"])
+
+
 def test_strict_truncates_at_the_comma(spark, tmp_path):
     rows = records.strict(spark, _file(tmp_path, LINES[:4])).collect()
     assert [r["snippet"] for r in rows] == ["width: 3", '<tag name="k1"', "points (5"]
