@@ -2,13 +2,15 @@
 
 A run of at most TOKEN characters without white space is one token; a longer run has a token of
 TOKEN characters at every character (code point), so that its tokens do not depend on where
-the run starts. Token hashes are combined into hashes of K tokens by doubling (2 tokens, then
-4) in place of a rolling hash over characters, which costs log2(K) steps a position whatever K.
+the run starts. The hash of K tokens is the rolling (Karp-Rabin) one: the tokens' hashes are
+the digits of a number to BASE, modulo the prime P. Instead of being rolled from one position
+to the next, which would tie each position to the one before, the same number is made of its
+two halves (2 tokens, then 4), in log2(K) steps a position whatever K.
 Of each window of W neighbouring K-gram hashes the least is chosen, the rightmost one on ties;
 chosen positions are kept. A passage of K + W - 1 tokens that two texts share is therefore
 always found in both fingerprints; inside a long run that is one of TOKEN + K + W - 2 characters.
 
-A hash and its position travel as one long, hash in the high 32 bits and reversed position
+A hash and its position travel as one long, hash in the high 31 bits and reversed position
 in the low 31, so that the least long of a window is the rightmost least hash; windows are
 taken by doubling as well.
 
@@ -25,6 +27,7 @@ a hash of their text. A null doc_id sorts first. An empty table gives an empty r
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +40,9 @@ W = 4
 #: Group 1 is the token at a character: TOKEN characters of a run, or a whole shorter run.
 _TOKENS = rf"(?=(\S{{{TOKEN}}}|(?<!\S)\S{{1,{TOKEN - 1}}}(?!\S)))\S"
 _TOP = (1 << 31) - 1
+#: The rolling hash: products of two remainders stay within a long.
+P = (1 << 31) - 1
+BASE = 1_000_003
 
 
 def _tail(a: Column, skip: int) -> Column:
@@ -47,17 +53,24 @@ def _head(a: Column, drop: int) -> Column:
     return F.slice(a, F.lit(1), F.greatest(F.size(a) - drop, F.lit(0)))
 
 
+def _joined(width: int) -> Callable[[Column, Column], Column]:
+    """The rolling hash of two neighbouring stretches, of which the right one has `width` tokens."""
+    shift, prime = F.lit(pow(BASE, width, P)).cast("bigint"), F.lit(P).cast("bigint")
+    return lambda left, right: (left * shift + right) % prime
+
+
 def winnow(df: DataFrame, text_col: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """df with `out`: the chosen hashes with their positions, packed, in the order of the text. k and w are powers of 2."""
     tokens, grams, packed = f"_{out}_t", f"_{out}_g", f"_{out}_p"
-    df = df.withColumn(tokens, F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_TOKENS), F.lit(1)), lambda t: F.xxhash64(t)))
+    df = df.withColumn(tokens, F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_TOKENS), F.lit(1)), lambda t: F.pmod(F.xxhash64(t), F.lit(P).cast("bigint"))))
     width, col = 1, tokens
     while width < k:
-        df = df.withColumn(f"{grams}{width}", F.zip_with(_head(F.col(col), width), _tail(F.col(col), width), lambda a, b: F.xxhash64(a, b)))
+        df = df.withColumn(f"{grams}{width}", F.zip_with(_head(F.col(col), width), _tail(F.col(col), width), _joined(width)))
         col, width = f"{grams}{width}", 2 * width
-    short = F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.col(tokens))))
+    whole = F.aggregate(tokens, F.lit(0).cast("bigint"), _joined(1))
+    short = F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).otherwise(F.array(whole))
     all_grams = F.when(F.size(tokens) < k, short).otherwise(F.col(col))
-    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31) + (F.lit(_TOP).cast("bigint") - i)
+    pack = lambda h, i: F.shiftleft(h, 31) + (F.lit(_TOP).cast("bigint") - i)
     df = df.withColumn(packed, F.transform(all_grams, pack))
     width, col = 1, packed
     while width < w:

@@ -175,10 +175,13 @@ def _plain_fingerprint(text):
     for run in re.finditer(r"[^\x20\x09-\x0d]+", text):
         whole = run[0]
         tokens += [whole] if len(whole) < 8 else [whole[i : i + 8] for i in range(len(whole) - 7)]
-    leaves = [_hash([t]) for t in tokens]
-    pairs = [_hash(leaves[i : i + 2]) for i in range(len(leaves) - 1)]
-    grams = [_hash([pairs[i], pairs[i + 2]]) for i in range(len(leaves) - 3)] if len(leaves) >= 4 else [_hash(leaves)] if leaves else []
-    tops = [(g & ((1 << 64) - 1)) >> 32 for g in grams]
+    tops, rolled, base, prime = [], 0, fingerprint.BASE, fingerprint.P
+    leaves = [_hash([t]) % prime for t in tokens]
+    for i, leaf in enumerate(leaves):  # rolled on from place to place
+        gone = leaves[i - 4] * base**3 if i >= 4 else 0
+        rolled = ((rolled - gone) * base + leaf) % prime
+        if i >= 3 or i == len(leaves) - 1:
+            tops.append(rolled)
     chosen = []
     for i in range(max(len(tops) - 3, min(len(tops), 1))):
         window = tops[i : i + 4]
