@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions import cells
 from runlens.functions import columns as C
 from runlens.functions import text as T
 from runlens.functions.vector import nearest
@@ -208,6 +209,15 @@ def l2_nearest(spark, sf_dir):
     return best.select(F.col("qid").alias("query_id"), F.col("id").alias("vec_id"), F.col("value").alias("distance"))
 
 
+@query
+def ann_nearest(spark, sf_dir):
+    """The 5 nearest rows by the index of cells; approximate, so without SQL: tests hold its recall against the exact search."""
+    v = _vectors(spark, sf_dir)
+    index = durable(cells.placed(v, found := cells.fit(v)), "cells")
+    best = cells.search(_requests(v), index, found, 5, but_itself=True)
+    return best.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("value").alias("distance"))
+
+
 @query
 def threshold_feedback(spark, sf_dir):
     v = _vectors(spark, sf_dir)

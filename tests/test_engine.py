@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.functions import cells
 from runlens.functions import columns as C
 from runlens.functions.vector import cosine, nearest, squared_l2
 from runlens.operators import classify, knowledge, tables
@@ -46,6 +47,36 @@ def test_nearest_equals_brute_force(spark):
     assert pair.select(cosine("a", "b"), squared_l2("a", "b")).first()[:] == (0.0, 5.0)
 
 
+def test_cells(spark):
+    """Every row is indexed; recall against the exact search; with all probes the exact answers, ties and copies included."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)) + 2 * rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)]
+    x[2000:2600] = x[7]  # a third of the rows in one cell
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(5)
+    queries = df.filter("id % 20 = 0").withColumnRenamed("id", "qid")
+    fitted = cells.fit(df, 48, 1000)
+    index = cells.placed(df, fitted)
+    assert index.count() == 3000 and index.filter("cell < 0 OR cell >= 48").isEmpty()
+    exact = nearest(queries, df, 5, but_itself=True)
+    assert sorted(cells.search(queries, index, fitted, 5, 48, but_itself=True).collect()) == sorted(exact.collect())
+    assert fitted.probes < 24 and cells.recall(cells.search(queries, index, fitted, 5, but_itself=True), exact) >= 0.9
+    assert np.array_equal(fitted.centres, cells.fit(df.repartition(3), 48, 1000).centres)
+    none = df.filter("id < 0")
+    assert cells.fit(none).probes == 0
+    assert cells.search(queries, cells.placed(none, cells.fit(none)), cells.fit(none)).isEmpty()
+    assert cells.search(none.withColumnRenamed("id", "qid"), index, fitted).isEmpty()
+
+
+def test_cells_of_vectors_without_clusters(spark):
+    x = np.random.default_rng(6).normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    queries = df.filter("id % 20 = 0").withColumnRenamed("id", "qid")
+    fitted = cells.fit(df, 64, 1500)
+    found = cells.search(queries, cells.placed(df, fitted), fitted, 5, but_itself=True)
+    assert cells.recall(found, nearest(queries, df, 5, but_itself=True)) >= 0.9
+
+
 def test_two_tiers(spark):
     vec = "id bigint, vector array<double>"
     req = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid bigint, vector array<double>")
