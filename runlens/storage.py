@@ -89,6 +89,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within the block a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df on all cores: dealt out where its scan has fewer tasks than the session has cores, as it is read where it has enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
