@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: where tokens of a byte-level BPE (A) and of a sentence-piece model (B) end together.
 
 align() is relational: tokens are exploded with their positions, a window adds up their byte
-lengths to ends, A and B meet in an equi-join by text and end, a running count of the ends they
-share (the cuts) numbers the groups, and links are the pairs that end together. Links counted over
+lengths to ends, A and B meet by text and end, a running count of the ends they share (the cuts)
+numbers the groups, and links are the pairs that end together. Links counted over
 the whole corpus give each pair its weight.
 
 aligned_documents() puts documents through it without a row for every token of the corpus. Both
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import chunks, durable, in_arrow, scratch, text_bytes, text_of
+from runlens.storage import freed_shuffles
 
 #: Bytes of text in a block of documents.
 BLOCK = 1 << 25
@@ -153,8 +154,30 @@ def _spells(side: Side, ids: np.ndarray, at: np.ndarray, texts: list[str]) -> np
     return np.fromiter((got[have[i] : have[i + 1]] == w for i, w in enumerate(want)), bool, len(want))
 
 
-def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(key, n, a, a_len, b, b_len) of texts (key bigint, text string, n bigint): ids and byte lengths; empty where tokens don't spell the text."""
+def _encoded(side: Side, texts: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets of texts). joined: texts that end in no white space are encoded as one, cut where no token crosses."""
+    one = np.fromiter((joined and t != "" and not t[-1].isspace() for t in texts), bool, len(texts))
+    together = [t for t, o in zip(texts, one.tolist(), strict=True) if o]
+    ids, _ = side.encode([" ".join(together)] if together else [])
+    ends = np.cumsum(np.fromiter((len(t.encode()) + 1 for t in together), np.int64, len(together)))
+    sums = np.cumsum(side.lengths[ids])
+    at = np.searchsorted(sums, ends)
+    if len(ends) and (len(sums) == 0 or sums[-1] != ends[-1] or not np.array_equal(sums[at], ends)):
+        return side.encode(texts)
+    rest, rest_at = side.encode([t for t, o in zip(texts, one.tolist(), strict=True) if not o])
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    sizes[one], sizes[~one] = np.diff(at + 1, prepend=0), np.diff(rest_at)
+    out = np.zeros(int(sizes.sum()), dtype=np.int32)
+    own = np.repeat(one, sizes)
+    out[own], out[~own] = ids, rest
+    return out, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool = False) -> DataFrame:
+    """(key, text, n, tokens array<struct<b: boolean, id: int, size: int>>) of texts (key bigint, text string, n bigint).
+
+    The tokens of A, then those of B, with their bytes; none where they don't spell the text.
+    """
     path_a, path_b = paths or default_paths()
 
     def run(batches):
@@ -165,54 +188,67 @@ def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
             for i in range(0, batch.num_rows, AT_ONCE):
                 rows = batch.slice(i, AT_ONCE)
                 words = [w or "" for w in rows.column(1).to_pylist()]
-                found = [side.encode(words) for side in sides]
+                found = [_encoded(side, words, joined) for side in sides]
                 ok = np.fromiter((w != "" for w in words), bool, len(words))
                 for side, (ids, at) in zip(sides, found, strict=True):
                     ok &= _spells(side, ids, at, words)
-                columns = []
-                for side, (ids, at) in zip(sides, found, strict=True):
-                    keep, size = np.repeat(ok, np.diff(at)), np.where(ok, np.diff(at), 0)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-                    columns += [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (ids[keep], side.lengths[ids[keep]])]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *columns], ["key", "n", "a", "a_len", "b", "b_len"])
-
-    return in_arrow(texts.select("key", "text", "n"), run, "key bigint, n bigint, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
-
+                sizes = [np.where(ok, np.diff(at), 0) for _, at in found]
+                total = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])])
+                second, ids, lengths = np.zeros(total[-1], dtype=bool), np.zeros(total[-1], dtype=np.int32), np.zeros(total[-1], dtype=np.int32)
+                for b, (side, (own, at)) in enumerate(zip(sides, found, strict=True)):
+                    own = own[np.repeat(ok, np.diff(at))]
+                    first = total[:-1] + b * sizes[0]
+                    place = np.arange(len(own)) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes[b])[:-1]]), sizes[b])
+                    second[place], ids[place], lengths[place] = bool(b), own, side.lengths[own]
+                tokens = pa.StructArray.from_arrays([pa.array(second), pa.array(ids), pa.array(lengths)], ["b", "id", "size"])
+                lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), tokens)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), lists], ["key", "text", "n", "tokens"])
 
-def _ends(tokens: DataFrame, side: str) -> DataFrame:
-    """(key, end, <side>_id): a row a token, with the offset of its last byte's end."""
-    rows = tokens.select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("size"))).alias("pos", "t"))
-    order = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("key", F.sum("t.size").over(order).alias("end"), F.col("t.id").alias(f"{side}_id"))
+    return in_arrow(texts.select("key", "text", "n"), run, "key bigint, text string, n bigint, tokens array<struct<b: boolean, id: int, size: int>>")
 
 
-def _text(side: str):
-    """The ids of a group in order, joined by commas."""
-    got = F.sort_array(F.collect_list(F.when(F.col(f"{side}_id").isNotNull(), F.struct("end", f"{side}_id"))))
-    return F.concat_ws(",", F.transform(got, lambda t: t[f"{side}_id"].cast("string")))
+def _ids(column: str):
+    """The ids of a group in the order of their ends, joined by commas."""
+    got = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("end", column))))
+    return F.concat_ws(",", F.transform(got, lambda t: t[column].cast("string")))
 
 
-def align(texts: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of texts (key, text, n occurrences).
+def grouped(tokens: DataFrame) -> DataFrame:
+    """(key, text, n, n_a, n_b, groups, links array<struct<a, b>>) of tokenised texts.
 
-    Tokens have at least one byte, so an end has one token a side.
+    Texts are dealt out once, as arrays; explode, both windows, the join by text and end and the
+    groups all keep to that. The join is an aggregation, as an end has one token a side: it needs
+    no second shuffle.
+    """
+    rows = tokens.repartition("key").select("key", "text", "n", F.posexplode("tokens").alias("pos", "t")).select("key", "text", "n", "pos", "t.*")
+    so_far = Window.partitionBy("key", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("end", F.sum("size").over(so_far))
+    met = ends.groupBy("key", "text", "n", "end").agg(F.max(F.when(~F.col("b"), F.col("id"))).alias("a_id"), F.max(F.when(F.col("b"), F.col("id"))).alias("b_id"))
+    link = F.when(F.col("a_id").isNotNull() & F.col("b_id").isNotNull(), F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = met.withColumn("link", link).withColumn("group", F.coalesce(F.count("link").over(before), F.lit(0)))
+    groups = numbered.groupBy("key", "text", "n", "group").agg(
+        F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.concat(_ids("a_id"), F.lit("|"), _ids("b_id")).alias("ids"), F.max("link").alias("link"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("group", "ids", "link")))
+    told = groups.groupBy("key", "text", "n").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), ordered.alias("g"))
+    return told.select("key", "text", "n", "n_a", "n_b", F.array_join("g.ids", ";").alias("groups"), F.col("g.link").alias("links"))
+
+
+def align(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool = False) -> DataFrame:
+    """(key, text, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of texts (key, text, n occurrences); texts without tokens are left out.
+
+    Tokens have at least one byte, so an end has one token a side and a group has one link, at its end.
     """
     with scratch(texts.sparkSession) as keep:
-        tokens = durable(tokenised(texts, paths), "align-tokens")
-        ends = durable(_ends(tokens, "a").join(_ends(tokens, "b"), ["key", "end"], "full"), "align-ends")
-        cut = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
-        before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        numbered = ends.withColumn("group", F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0)))
-        groups = numbered.groupBy("key", "group").agg(F.concat(_text("a"), F.lit("|"), _text("b")).alias("g"))
-        told = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "g"))), lambda x: x["g"]), ";").alias("groups"))
-        links = durable(ends.filter(cut).join(tokens.select("key", "n"), "key").select("key", "a_id", "b_id", "n"), "align-links")
-        pairs = durable(links.groupBy("a_id", "b_id").agg(F.sum("n").alias("count")), "align-pairs")
-        highest = pairs.groupBy("b_id").agg(F.max("count").alias("most"))
-        ranked = pairs.join(highest, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best"))
-        sums = links.join(ranked, ["a_id", "b_id"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        sizes = tokens.select("key", F.size("a").cast("bigint").alias("n_a"), F.size("b").cast("bigint").alias("n_b"))
-        every = sizes.join(told, "key", "left").join(sums, "key", "left")
-        return keep(every.select("key", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS], F.coalesce("groups", F.lit("")).alias("groups")), "aligned")
+        told = durable(grouped(tokenised(texts, paths, joined)), "align-told")
+        links = told.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.*")
+        pairs = durable(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "align-pairs")
+        highest = pairs.groupBy("b").agg(F.max("count").alias("most"))
+        ranked = durable(pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best")), "align-ranked")
+        sums = durable(links.drop("n").join(ranked, ["a", "b"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "align-sums")
+        every = told.join(sums, "key").withColumn("n_groups", F.size("links").cast("bigint"))
+        return keep(every.select("key", "text", *COUNTS, "groups"), "aligned")
 
 
 class _Numbers(dict):
@@ -223,13 +259,18 @@ class _Numbers(dict):
         return n
 
 
-def factored(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str], block: int = BLOCK) -> DataFrame:
+def factored(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str], separate: bool, block: int = BLOCK) -> DataFrame:
     """Rows (block, id, parts) of documents and (block, slot, part, n) of the distinct parts of their block's spelt texts."""
     path_a, path_b = paths
-    split = parts if separable(*paths) else lambda t: [t]
     source = docs.select(docs[id_col].alias("_id"), text_of(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()
 
+    def split(text: str) -> list[str]:
+        if separate:  # such a model spells what it is given, but for its own sign of a space
+            return parts(text) if text and "▁" not in text else []
+        side = _sides(path_a, path_b)[1]
+        return [text] if text and _spells(side, *side.encode([text]), [text])[0] else []
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
@@ -240,29 +281,21 @@ def factored(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]
             columns["block"] = pa.array(np.full(size, number))
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in kinds.items()], list(kinds))
 
-        side, made = _sides(path_a, path_b)[1], TaskContext.get().partitionId() << 32
+        made = TaskContext.get().partitionId() << 32
         for batch in batches:
             kinds["_id"] = batch.column(0).type
             _, offsets = text_bytes(batch.column(1))
             for i, j in chunks(offsets, block):
                 numbers = _Numbers()
-                rows = [np.fromiter(map(numbers.__getitem__, split(t) if t else ()), np.int32) for t in (x.as_py() for x in batch.column(1).slice(i, j - i))]
-                found = list(numbers)
+                rows = [np.fromiter(map(numbers.__getitem__, split(t.as_py())), np.int32) for t in batch.column(1).slice(i, j - i)]
+                found, flat = list(numbers), np.concatenate(rows)
                 del numbers
-                good = np.ones(len(found), dtype=bool)
-                for at in range(0, len(found), AT_ONCE):
-                    some = found[at : at + AT_ONCE]
-                    good[at : at + AT_ONCE] = _spells(side, *side.encode(some), some)
-                if not good.all():
-                    rows = [r if good[r].all() else r[:0] for r in rows]
-                flat = np.concatenate(rows)
                 n = np.bincount(flat, minlength=len(found))
                 at = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32())
                 yield tagged(made, j - i, _id=batch.column(0).slice(i, j - i), parts=pa.ListArray.from_arrays(at, pa.array(flat)))
-                slots = np.flatnonzero(n)
-                for a in range(0, len(slots), 1 << 16):
-                    s = slots[a : a + (1 << 16)]
-                    yield tagged(made, len(s), slot=pa.array(s.astype(np.int32)), part=pa.array([found[x] for x in s.tolist()], pa.string()), n=pa.array(n[s]))
+                for a in range(0, len(found), 1 << 16):
+                    some = found[a : a + (1 << 16)]
+                    yield tagged(made, len(some), slot=pa.array(np.arange(a, a + len(some), dtype=np.int32)), part=pa.array(some, pa.string()), n=pa.array(n[a : a + (1 << 16)]))
                 made += 1
 
     return in_arrow(source, run, f"block bigint, _id {kind}, parts array<int>, slot int, part string, n bigint")
@@ -270,14 +303,13 @@ def factored(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]
 
 def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    paths = paths or default_paths()
-    with scratch(docs.sparkSession) as keep:
-        rows = keep(factored(docs, id_col, text_col, paths, block), "align-factored")
+    paths, spark = paths or default_paths(), docs.sparkSession
+    with freed_shuffles(spark), scratch(spark) as keep:
+        rows = keep(factored(docs, id_col, text_col, paths, separate := separable(*paths), block), "align-factored")
         slots = rows.filter("part IS NOT NULL").select("block", "slot", "part", "n")
-        distinct = durable(slots.groupBy("part").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), F.col("part").alias("text"), "n"), "align-parts")
-        told = align(distinct, paths).join(distinct.select("key", F.col("text").alias("part")), "key").drop("key")
-        told = durable(told, "align-told")
-        back = keep(slots.select("block", "slot", "part").join(told, "part").drop("part"), "align-back")
+        distinct = slots.groupBy("part").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), F.col("part").alias("text"), "n")
+        told = align(durable(distinct, "align-parts"), paths, joined=separate)
+        back = keep(slots.select("block", "slot", F.col("part").alias("text")).join(told.drop("key"), "text").drop("text"), "align-back")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", *COUNTS, "groups_sha256"]
 
@@ -285,11 +317,11 @@ def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
 
         slot = right.column("slot").to_numpy().astype(np.int64)
-        size = int(slot.max()) + 1 if len(slot) else 0
-        groups = np.empty(size, dtype=object)
-        groups[slot] = right.column("groups").to_pylist()
         lists = left.column("parts").combine_chunks()
         flat, counts = lists.flatten().to_numpy(), np.asarray(lists.value_lengths())
+        size = int(max(slot.max(initial=-1), flat.max(initial=-1))) + 1
+        groups = np.full(size, "", dtype=object)
+        groups[slot] = right.column("groups").to_pylist()
         at = np.concatenate([[0], np.cumsum(counts)])
         out = []
         for c in COUNTS:
