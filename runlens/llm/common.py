@@ -94,9 +94,17 @@ class Rolling:
 
     def spans(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit hash of symbols[start:end] for each span; symbols are bytes."""
-        self._grow(len(symbols) + 1)
-        sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
-        np.cumsum(self.table[symbols] * self.up[: len(symbols)], out=sums[1:])
+        return self.between(self.prefix(self.table[symbols]), start, end)
+
+    def prefix(self, values: np.ndarray) -> np.ndarray:
+        """The sums for between(), over values of 64 random bits."""
+        self._grow(len(values) + 1)
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=sums[1:])
+        return sums
+
+    def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of values[start:end] for each span."""
         h = (sums[end] - sums[start]) * self.down[start]
         return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

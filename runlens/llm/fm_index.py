@@ -1,7 +1,7 @@
 """A succinct FM-index over whole numbers: backward search on a wavelet matrix, matching statistics.
 
-The index holds sequences, each at most DEPTH long with the end mark. Suffixes are sorted by their
-first DEPTH symbols, which orders all that a pattern can be. The BWT lies in a wavelet matrix: per
+The index holds sequences, each with an end mark. Suffixes are sorted by as many symbols as the
+longest has, which orders all that a pattern can be. The BWT lies in a wavelet matrix: per
 bit of a symbol one bit vector with ranks, a word of 64 bits and a count for each. Matching
 statistics shrink a match that can't be extended to its parent interval, told by the common
 prefixes of neighbouring suffixes.
@@ -11,9 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols by which suffixes are sorted; longer patterns have no interval.
-DEPTH = 64
-
 
 class Ranks:
     """Bits with the number of ones before any position."""
@@ -54,7 +51,7 @@ class FMIndex:
 
     def __init__(self, values: np.ndarray, offsets: np.ndarray):
         sizes = np.diff(offsets)
-        assert not len(sizes) or sizes.max() < DEPTH
+        self.depth = 1 << int(sizes.max(initial=1)).bit_length()
         _, inverse = np.unique(values, return_inverse=True)
         kinds = int(inverse.max(initial=-1)) + 2
         #: The sequences, each followed by the mark 0; starts are their places.
@@ -70,10 +67,10 @@ class FMIndex:
         self.size = n
 
     def _sorted(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ranks of the suffixes by their first 1, 2, 4, ... DEPTH symbols, and their order."""
+        """Ranks of the suffixes by their first 1, 2, 4, ... depth symbols, and their order."""
         n, step = len(self.text), 1
         ranks = [self.text.astype(np.int32)]
-        while step < DEPTH:
+        while step < self.depth:
             last = ranks[-1].astype(np.int64)
             after = np.zeros(n, dtype=np.int64)
             after[:-step] = last[step:] + 1
@@ -86,7 +83,7 @@ class FMIndex:
         """Common prefixes of neighbours, and where the next shorter one lies on either side."""
         n = len(order)
         a, b = order[:-1].copy(), order[1:].copy()
-        common = np.zeros(n + 1, dtype=np.int16)
+        common = np.zeros(n + 1, dtype=np.int32)
         for level in range(len(ranks) - 1, -1, -1):
             fits = (a < n) & (b < n)
             same = np.zeros(n - 1, dtype=bool)
@@ -94,7 +91,7 @@ class FMIndex:
             common[1:-1][same] += 1 << level
             a[same] += 1 << level
             b[same] += 1 << level
-        self.common = np.minimum(common, DEPTH)
+        self.common = np.minimum(common, self.depth)
         places = np.arange(n + 1, dtype=np.int32)
         self.left, self.right = np.zeros(n + 1, dtype=np.int32), np.full(n + 1, n, dtype=np.int32)
         for depth in np.unique(self.common[1:-1]):
@@ -124,7 +121,7 @@ class FMIndex:
         streams are the starts of the sequences that are read, all of them at once from the back;
         places of others have 0.
         """
-        out = np.zeros(self.size, dtype=np.int16)
+        out = np.zeros(self.size, dtype=np.int32)
         at, first = streams + sizes - 1, streams
         low, high, length = np.zeros(len(at), dtype=np.int64), np.full(len(at), self.size, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         while len(at):

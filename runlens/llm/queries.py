@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import alignment, bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, licenses, mixing, near_dedup, quality, warc
+from runlens.llm import alignment, bpe, centroids, exact_dedup, fingerprint, html_extract, language_id, licenses, mixing, near_dedup, quality, substrings, warc
 from runlens.llm.common import table
 from runlens.storage import spread
 
@@ -55,6 +55,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_documents(spread(table(spark, sf_dir, "documents")))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_table(spread(table(spark, sf_dir, "documents")))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_exact_dedup, op2_html_extraction, op3_license_scan, op4_near_dedup, op5_language_id,
         op6_mixing, op7_warc, op8_byte_bpe, op9_quality, op10_fingerprints,
-        op11_token_alignment, op13_centroid_clustering,
+        op11_token_alignment, op12_substring_dedup, op13_centroid_clustering,
     )
     return {f.__name__: f for f in every}
 
