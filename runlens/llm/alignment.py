@@ -34,11 +34,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import chunks, durable, in_arrow, scratch, text_bytes, text_of
+from runlens.llm.common import chunks, durable, give_back, in_arrow, scratch, text_bytes, text_of
 from runlens.storage import freed_shuffles
 
 #: Bytes of text in a block of documents.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
 #: Texts that go to the tokenizers at once.
 AT_ONCE = 4096
 _SPLIT = re.compile(r"(?<=\S)(?= )")
@@ -329,9 +329,13 @@ def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             values[slot] = right.column(c).to_numpy()
             sums = np.concatenate([[0], np.cumsum(values[flat])])
             out.append(pa.array(sums[at[1:]] - sums[at[:-1]]))
+            del values, sums
         ends = at.tolist()
         sha = [hashlib.sha256(";".join(groups[flat[a:b]]).encode()).hexdigest() if b > a else "" for a, b in zip(ends, ends[1:], strict=False)]
-        return pa.table([left.column("_id").combine_chunks(), *out, pa.array(sha, pa.string())], names=names)
+        told = pa.table([left.column("_id").combine_chunks(), *out, pa.array(sha, pa.string())], names=names)
+        del groups, flat, lists
+        give_back()
+        return told
 
     documents = rows.filter("parts IS NOT NULL").select("block", "_id", "parts")
     schema = f"_id {kind}, {', '.join(f'{c} bigint' for c in COUNTS)}, groups_sha256 string"

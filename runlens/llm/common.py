@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runlens.storage import drop, durable, new_folder, scratch, shared_dir
 
-__all__ = ["Rolling", "chunks", "code_points", "drop", "durable", "in_arrow", "mix64", "new_folder", "scratch", "shared_dir", "stream64", "table", "text_bytes", "text_of"]
+__all__ = ["Rolling", "chunks", "code_points", "drop", "durable", "give_back", "in_arrow", "mix64", "new_folder", "scratch", "shared_dir", "stream64", "table", "text_bytes", "text_of"]
 
 #: A word of the contracts: a run without space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,14 @@ def _trim():
         return lambda _: None
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow(run, schema); what a task has freed goes back to the system when it ends.
 
@@ -42,13 +50,10 @@ def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """
 
     def whole(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            _trim()(0)
+            give_back()
 
     return df.mapInArrow(whole, schema)
 
