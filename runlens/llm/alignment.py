@@ -174,7 +174,7 @@ def _encoded(side: Side, texts: list[str], joined: bool) -> tuple[np.ndarray, np
 
 
 def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool = False) -> DataFrame:
-    """(key, text, n, tokens array<struct<b: boolean, id: int, size: int>>) of texts (key bigint, text string, n bigint).
+    """(key, n, tokens array<struct<b: boolean, id: int, size: int>>) of texts (key bigint, text string, n bigint).
 
     The tokens of A, then those of B, with their bytes; none where they don't spell the text.
     """
@@ -202,9 +202,9 @@ def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bo
                     second[place], ids[place], lengths[place] = bool(b), own, side.lengths[own]
                 tokens = pa.StructArray.from_arrays([pa.array(second), pa.array(ids), pa.array(lengths)], ["b", "id", "size"])
                 lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), tokens)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), lists], ["key", "text", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), lists], ["key", "n", "tokens"])
 
-    return in_arrow(texts.select("key", "text", "n"), run, "key bigint, text string, n bigint, tokens array<struct<b: boolean, id: int, size: int>>")
+    return in_arrow(texts.select("key", "text", "n"), run, "key bigint, n bigint, tokens array<struct<b: boolean, id: int, size: int>>")
 
 
 def _ids(column: str):
@@ -214,29 +214,29 @@ def _ids(column: str):
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """(key, text, n, n_a, n_b, groups, links array<struct<a, b>>) of tokenised texts.
+    """(key, n, n_a, n_b, groups, links array<struct<a, b>>) of tokenised texts.
 
     Texts are dealt out once, as arrays; explode, both windows, the join by text and end and the
     groups all keep to that. The join is an aggregation, as an end has one token a side: it needs
     no second shuffle.
     """
-    rows = tokens.repartition("key").select("key", "text", "n", F.posexplode("tokens").alias("pos", "t")).select("key", "text", "n", "pos", "t.*")
+    rows = tokens.repartition("key").select("key", "n", F.posexplode("tokens").alias("pos", "t")).select("key", "n", "pos", "t.*")
     so_far = Window.partitionBy("key", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum("size").over(so_far))
-    met = ends.groupBy("key", "text", "n", "end").agg(F.max(F.when(~F.col("b"), F.col("id"))).alias("a_id"), F.max(F.when(F.col("b"), F.col("id"))).alias("b_id"))
+    met = ends.groupBy("key", "n", "end").agg(F.max(F.when(~F.col("b"), F.col("id"))).alias("a_id"), F.max(F.when(F.col("b"), F.col("id"))).alias("b_id"))
     link = F.when(F.col("a_id").isNotNull() & F.col("b_id").isNotNull(), F.struct(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     numbered = met.withColumn("link", link).withColumn("group", F.coalesce(F.count("link").over(before), F.lit(0)))
-    groups = numbered.groupBy("key", "text", "n", "group").agg(
+    groups = numbered.groupBy("key", "n", "group").agg(
         F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.concat(_ids("a_id"), F.lit("|"), _ids("b_id")).alias("ids"), F.max("link").alias("link"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("group", "ids", "link")))
-    told = groups.groupBy("key", "text", "n").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), ordered.alias("g"))
-    return told.select("key", "text", "n", "n_a", "n_b", F.array_join("g.ids", ";").alias("groups"), F.col("g.link").alias("links"))
+    told = groups.groupBy("key", "n").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), ordered.alias("g"))
+    return told.select("key", "n", "n_a", "n_b", F.array_join("g.ids", ";").alias("groups"), F.col("g.link").alias("links"))
 
 
 def align(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool = False) -> DataFrame:
-    """(key, text, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of texts (key, text, n occurrences); texts without tokens are left out.
+    """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of texts (key, text, n occurrences); texts without tokens are left out.
 
     Tokens have at least one byte, so an end has one token a side and a group has one link, at its end.
     """
@@ -248,7 +248,7 @@ def align(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool =
         ranked = durable(pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best")), "align-ranked")
         sums = durable(links.drop("n").join(ranked, ["a", "b"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "align-sums")
         every = told.join(sums, "key").withColumn("n_groups", F.size("links").cast("bigint"))
-        return keep(every.select("key", "text", *COUNTS, "groups"), "aligned")
+        return keep(every.select("key", *COUNTS, "groups"), "aligned")
 
 
 class _Numbers(dict):
@@ -308,8 +308,10 @@ def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = keep(factored(docs, id_col, text_col, paths, separate := separable(*paths), block), "align-factored")
         slots = rows.filter("part IS NOT NULL").select("block", "slot", "part", "n")
         distinct = slots.groupBy("part").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), F.col("part").alias("text"), "n")
-        told = align(durable(distinct, "align-parts"), paths, joined=separate)
-        back = keep(slots.select("block", "slot", F.col("part").alias("text")).join(told.drop("key"), "text").drop("text"), "align-back")
+        distinct = durable(distinct, "align-parts")
+        told = align(distinct, paths, joined=separate).join(distinct.select("key", "text"), "key").drop("key")
+        told = durable(told, "align-told")  # a row of tokens doesn't carry its text
+        back = keep(slots.select("block", "slot", F.col("part").alias("text")).join(told, "text").drop("text"), "align-back")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", *COUNTS, "groups_sha256"]
 
