@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runlens.plans import analytics  # noqa: F401  registers its queries
 from runlens.plans.oracles import SQL
 from runlens.plans.queries import QUERIES
 

@@ -122,14 +122,18 @@ class Triage:
         """All corrections; an empty table before the first."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/learned")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(LEARNED).parquet(path.toString()) if there else self.spark.createDataFrame([], LEARNED)
+        return self.spark.read.schema(LEARNED).option("recursiveFileLookup", True).parquet(path.toString()) if there else self.spark.createDataFrame([], LEARNED)
 
-    def teach(self, rows: DataFrame) -> None:
-        """Append corrections (text, correct_doc_path[, ts]); the next search sees them. Rows that lack a field are left out."""
-        ts = F.col("ts").cast("string") if "ts" in rows.columns else F.current_timestamp().cast("string")
-        good = knowledge.corrections(rows.withColumn("ts", ts)).withColumn("key", F.xxhash64("id", "text", "correct_doc_path", "ts")).dropDuplicates(["key"])
+    def teach(self, rows: DataFrame, part: str | None = None) -> None:
+        """Append corrections (text, correct_doc_path[, ts]); the next search sees them. Rows that lack a field are left out.
+
+        part: a name under which they replace what was taught by it before, so that a repeated call adds nothing.
+        """
+        given = F.col("ts").cast("string") if "ts" in rows.columns else F.lit(None).cast("string")
+        good = knowledge.corrections(rows.withColumn("ts", F.coalesce(given, F.current_timestamp().cast("string")))).withColumn("key", F.xxhash64("id", "text", "correct_doc_path", "ts")).dropDuplicates(["key"])
         good = durable(good, "corrections")  # the time is part of the key and must not change
-        self._encoded(good, "key", "text").select(*self._names(LEARNED)).write.mode("append").parquet(f"{self.root}/learned")
+        made = self._encoded(good, "key", "text").select(*self._names(LEARNED)).write
+        made.mode("overwrite" if part else "append").parquet(f"{self.root}/learned/{part}" if part else f"{self.root}/learned")
 
     def train(self, with_cause: bool = True, **options) -> str:
         """Fit the forest on the records and keep it; the folder of the model."""

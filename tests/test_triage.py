@@ -119,3 +119,32 @@ def test_commands(spark, triage, tmp_path, capsys):
     main([*state, "status"])
     out = capsys.readouterr().out
     assert "LEARNED_MEMORY" in out and "Semantic: Ready" in out
+
+
+def test_request_stream_sees_what_is_taught(spark, triage, tmp_path):
+    """Two batches of the same request with a correction between them; a batch that runs again tells nothing twice."""
+    from runlens.streaming import requests
+
+    path = f"{triage.docs_root}/beta/OTHER.md"
+    into, out, point = f"{tmp_path}/requests", f"{tmp_path}/answers", f"{tmp_path}/checkpoint"
+
+    def ask(*rows):
+        spark.createDataFrame(list(rows), requests.REQUEST).write.mode("append").json(into)
+        requests.answer_stream(triage, into, out, point).awaitTermination()
+        return {(r["batch"], r["qid"]): r for r in requests.answers(spark, out).collect()}
+
+    first = ask((1, "Alpha", "BAD_VALUE", "height: 999 metres", None), (2, "Alpha", "BAD_VALUE", " ", None))
+    assert first[0, 1]["doc_path"].endswith("alpha/BAD_VALUE.md") and first[0, 2]["status"] == 400
+    taught = f"{tmp_path}/corrections"
+    spark.createDataFrame([("Alpha BAD_VALUE height: 999 metres", path), ("", path)], "text string, correct_doc_path string").write.json(taught)
+    requests.teach_stream(triage, taught, f"{tmp_path}/taught").awaitTermination()
+    second = ask((1, "Alpha", "BAD_VALUE", "height: 999 metres", None))
+    assert len(second) == 3 and (second[1, 1]["doc_path"], second[1, 1]["source"]) == (path, "LEARNED_MEMORY (Feedback)")
+    # as if the driver had died after writing batch 1 and before its commit: both streams take their last batch again
+    for name in ("checkpoint", "taught"):
+        last = max((tmp_path / name / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        last.unlink()
+        (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    requests.answer_stream(triage, into, out, point).awaitTermination()
+    requests.teach_stream(triage, taught, f"{tmp_path}/taught").awaitTermination()
+    assert requests.answers(spark, out).count() == 3 and triage.corrections().count() == 1
