@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runlens.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from runlens.llm.common import drop, durable, scratch, table
+from runlens.llm.common import drop, scratch, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +20,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least doc_id stays."""
-    kept = near_dedup.near_dedup(docs, words=5, percent=80).filter("kept").select(F.col("doc_id").alias("__runlens_kept")).distinct()
-    kept = durable(kept, "near-kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__runlens_kept")), "left_semi")
+    return near_dedup.without_near_copies(docs, words=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,8 @@ from runlens.llm.components import components
 ROWS, BANDS = 5, 25
 PLACES = ROWS * BANDS
 CHUNK = 1 << 19
+#: Pairs of one pivot that a task confirms, about.
+SPLIT = 1000
 #: Slots of the counts that order shingles, the rarest first.
 COUNTERS = 1 << 16
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -207,9 +209,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
 
     # joins by merging at every size: the plan, and what it moves, grows in proportion to the input
-    left = texts.select(F.col("_class").alias("a"), F.col("_text").alias("_left"))
+    # the text of a hot pivot is dealt out once for every SPLIT of its pairs, to as many tasks
+    parts = durable(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")), "near-parts")
+    left = texts.join(parts.hint("merge"), F.col("_class") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("_text").alias("_left"))
     right = texts.select(F.col("_class").alias("b"), F.col("_text").alias("_right"))
-    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    dealt = pairs.select("a", "b").join(parts.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    both = dealt.join(right.hint("merge"), "b").join(left.hint("merge"), ["a", "part"])
     return in_arrow(both.select("a", "b", "_left", "_right"), run, "a bigint, b bigint, linked boolean")
 
 
@@ -310,7 +315,21 @@ def _one_text_a_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the shingle sets."""
     with scratch(docs.sparkSession) as keep:
-        return _near_dedup(docs, words, percent, id_col, text_col, keep)
+        return _near_dedup(docs, words, percent, id_col, text_col, keep).drop("_hash", "_group")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each component that with the least id, and of its texts the one of least hash.
+
+    Rows are told by id and text, as ids may repeat; rows without an id or a word stay.
+    """
+    with scratch(docs.sparkSession) as keep:
+        rows = durable(_near_dedup(docs, words, percent, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "_hash", "_group"), "near-rows")
+        best = rows.filter("_group IS NOT NULL").groupBy("_group").agg(F.min(F.struct("_id", "_hash")).alias("b")).select("b._id", "b._hash")
+        kept = best.union(rows.filter("_group IS NULL").select("_id", "_hash")).distinct()
+        kept = keep(kept.select(F.col("_id").alias("__runlens_id"), F.col("_hash").alias("__runlens_hash")), "near-kept")
+    own = docs[id_col].cast("bigint").eqNullSafe(F.col("__runlens_id")) & (F.xxhash64(text_of(text_col)) == F.col("__runlens_hash"))
+    return docs.join(kept.hint("merge"), own, "left_semi")
 
 
 def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keep) -> DataFrame:
@@ -344,8 +363,9 @@ def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     # the least doc_id of each component
     named = durable(labels.join(classes.select("_class", "rep").hint("merge"), F.col("node") == F.col("_class")).select("component", "node", "rep"), "near-named")
     least = durable(named.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least")
-    of_class = durable(named.select("component", "node").join(least.hint("merge"), "component").select(F.col("node").alias("_class"), "component_id"), "near-of-class")
-    final = classes.select("_class", "rep", *key).join(of_class.hint("merge"), "_class", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.drop("bands", "_hash").join(keep(final, "near-final").hint("merge"), key, "left")
+    of_class = durable(named.select("component", "node").join(least.hint("merge"), "component").select(F.col("node").alias("_class"), "component", "component_id"), "near-of-class")
+    final = classes.select("_class", "rep", *key).join(of_class.hint("merge"), "_class", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "_class").alias("_group"))
+    out = rows.drop("bands").join(keep(final, "near-final").hint("merge"), key, "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    group = F.when(F.col("_id").isNotNull(), F.col("_group")).alias("_group")
+    return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), "_hash", group).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -42,8 +42,9 @@ CHUNK = 1 << 21
 HOT = 10_000
 #: Words in a shard's index, about.
 SHARD = 1 << 20
-#: Rows of flagged documents up to which they are broadcast: about 100 bytes each.
-BROADCAST = 500_000
+#: Bytes of flagged documents, about, up to which they are broadcast.
+BROADCAST = 1 << 25
+_RUNS = "array<struct<s: int, e: int>>"
 _blank = np.zeros(256, dtype=bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
 _bytes, _words = Rolling(), Rolling()
@@ -200,7 +201,7 @@ def _windows(keyed: DataFrame, outline: DataFrame, hot: DataFrame, span: int) ->
 
 
 def _shard(span: int):
-    """(m, d, at array<int>): the repeated windows of a shard's stretches, by its FM-index."""
+    """(m, d, at): the repeated windows of a shard's stretches by its FM-index, as runs (first, last) of windows."""
 
     def run(table):
         import pyarrow as pa
@@ -215,16 +216,20 @@ def _shard(span: int):
         again = lists.take(pa.array(twice))
         index = FMIndex(np.concatenate([flat, again.flatten().to_numpy()]), np.concatenate([[0], np.cumsum(np.concatenate([sizes, sizes[twice]]))]))
         starts = index.starts[: len(sizes)]
-        far = np.flatnonzero(index.statistics(starts, sizes) >= span)
-        own = np.searchsorted(starts, far, side="right") - 1
+        far = index.statistics(starts, sizes) >= span
+        edge = np.diff(far.astype(np.int8), prepend=0, append=0)  # the mark after each stretch is never far
+        first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
+        own = np.searchsorted(starts, first, side="right") - 1
         some, counts = np.unique(own, return_counts=True)
-        return pa.table([pa.array(m[some]), pa.array(d[some]), _listed(pa, far - starts[own], counts, pa.int32())], names=["m", "d", "at"])
+        runs = pa.StructArray.from_arrays([pa.array((x - starts[own]).astype(np.int32)) for x in (first, last)], ["s", "e"])
+        at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), runs)
+        return pa.table([pa.array(m[some]), pa.array(d[some]), at], names=["m", "d", "at"])
 
     return run
 
 
 def repeated(keyed: DataFrame, outline: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """(key, at array<int>): per distinct text with repeated windows their first words."""
+    """(key, at): per distinct text with repeated windows the runs (first, last) of their first words."""
     own = outline.select("row", F.explode(F.arrays_zip("m", "d", "s", "e")).alias("x")).select("row", "x.*")
     twice = durable(own.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"), "substring-anchors")
     met = durable(own.join(twice, "m"), "substring-met")
@@ -251,11 +256,11 @@ def repeated(keyed: DataFrame, outline: DataFrame, span: int = SPAN, gram: int =
     by = coded.withColumn("by", F.col("m"))
     if cut_up is not None:  # windows go by their own hash
         by = coded.join(many.withColumn("hot", F.lit(True)), "m", "left").withColumn("by", F.when(F.col("hot"), F.col("d")).otherwise(F.col("m"))).drop("hot")
-    found = durable(by.groupBy(F.pmod(F.xxhash64("by"), F.lit(shards)).alias("shard")).applyInArrow(_shard(span), "m bigint, d bigint, at array<int>"), "substring-found")
+    found = durable(by.groupBy(F.pmod(F.xxhash64("by"), F.lit(shards)).alias("shard")).applyInArrow(_shard(span), f"m bigint, d bigint, at {_RUNS}"), "substring-found")
     if cut_up is not None:
         single = cut_up.select("m", "d", "w", "at").join(found.select("m", F.col("d").alias("w")), ["m", "w"])
-        found = found.join(many, "m", "left_anti").unionByName(single.select("m", "d", F.array(F.col("at").cast("int")).alias("at")))
-    places = met.select("row", "m", "d", "s").join(found, ["m", "d"]).select("row", F.transform("at", lambda x: x + F.col("s")).alias("at"))
+        found = found.join(many, "m", "left_anti").unionByName(single.select("m", "d", F.array(F.struct(F.col("at").cast("int").alias("s"), F.col("at").cast("int").alias("e"))).alias("at")))
+    places = met.select("row", "m", "d", "s").join(found, ["m", "d"]).select("row", F.transform("at", lambda x: F.struct((x["s"] + F.col("s")).alias("s"), (x["e"] + F.col("s")).alias("e"))).alias("at"))
     per_row = places.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"))  # a document's own
     return per_row.join(outline.select("row", "key"), "row").groupBy("key").agg(F.min("at").alias("at"))
 
@@ -272,20 +277,22 @@ def _trimmed(keyed: DataFrame, flagged: DataFrame, span: int, how: str) -> DataF
             for i, j in chunks(offsets, CHUNK):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = batch.column(2).slice(i, j - i)
-                at = cut.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.before[:-1], cut.value_lengths().to_numpy())
-                marks = np.bincount(at, minlength=len(words.codes) + 1) - np.bincount(at + span, minlength=len(words.codes) + 1)
+                base, n = np.repeat(words.before[:-1], cut.value_lengths().to_numpy()), len(words.codes) + 1
+                first, last = (x.to_numpy(zero_copy_only=False) + base for x in cut.flatten().flatten())
+                marks = np.bincount(first, minlength=n) - np.bincount(last + span, minlength=n)
                 gone = np.cumsum(marks[:-1]) > 0
                 counts = [np.bincount(o, minlength=j - i) for o in (words.owner, words.owner[gone])]
                 kept = pa.array([t.decode() for t in words.joined(~gone)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, counts), kept], ["_id", "n_words", "n_removed", "kept"])
 
-    joined = keyed.join(flagged, "key", how).select("_id", "_text", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
+    joined = keyed.join(flagged, "key", how).select("_id", "_text", F.coalesce("at", F.array().cast(_RUNS)).alias("at"))
     return in_arrow(joined, run, f"_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def _sized(flagged: DataFrame) -> DataFrame:
     """Broadcast while it is small, else joined as it is."""
-    return F.broadcast(flagged) if flagged.limit(BROADCAST + 1).count() <= BROADCAST else flagged
+    size = flagged.agg(F.coalesce(F.sum(100 + 8 * F.size("at")), F.lit(0))).first()[0]
+    return F.broadcast(flagged) if size <= BROADCAST else flagged
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, **options) -> DataFrame:

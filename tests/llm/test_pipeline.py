@@ -29,6 +29,22 @@ def test_pipeline_by_hand(spark, tmp_path):
     assert sorted((str(r["doc_id"]), r["decoded_sha256"]) for r in got) == want
 
 
+def test_near_stage_tells_rows_by_id_and_text(spark, tmp_path):
+    """Ids that repeat: a near copy goes though another text of its id stays; of two near texts of one id one stays."""
+    base = [f"word{i}" for i in range(60)]
+    near, other, twin = [*base[:59], "changed"], [f"other{i}" for i in range(40)], [*base[:58], "so", "on"]
+    rows = [(7, base), (9, other), (9, near), (7, twin), (None, base), (None, None), (3, [])]
+    docs = spark.createDataFrame([(i, " ".join(t) if t is not None else None, "x") for i, t in rows], "doc_id bigint, text string, lang string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert (9, " ".join(other)) in got and (9, " ".join(near)) not in got
+    assert sum(i == 7 for i, _ in got) == 1 and len([1 for i, _ in got if i is None]) == 2 and (3, "") in got and len(got) == 5
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    awkward(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = awkward(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
