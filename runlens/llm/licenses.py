@@ -1,14 +1,16 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Templates are short notices, multi-line headers, licence bodies, whole licence texts (the files
-of licence_texts) and SPDX identifiers. A file that speaks of a licence, and every licence file,
-becomes one sequence of words over all its lines, so comment signs and line ends do not matter.
+of licence_texts) and SPDX identifiers. A file that has a word which a template asks for (any
+other can't match one) becomes one sequence of words over all its lines, so comment signs and line
+ends do not matter.
 Every span of it that is about as long as a template (SPANS) is compared with the template:
 sparse TF-IDF vectors with smoothed idf over the templates; a word that no template has weighs as
 the rarest. So words around a contained notice do not dilute it. A span must have the words
-that name the licence (in braces in the short templates, KEYS for the whole texts), and reach
-LEAST, or LEAST_LONG for templates of more than LONG words. A file's own licence is that of its
-best span. A licence file speaks for its directory; a file without a licence of its own takes
+that name the licence (in braces in the short templates, KEYS for the whole texts) and none that
+would make it another one (BARRED: what is not for commerce is no plain Attribution), and reach
+LEAST, or LEAST_LONG for templates of more than LONG words. An SPDX identifier is one word, so
+one that only begins like a known one is unknown. A file's own licence is that of its best span. A licence file speaks for its directory; a file without a licence of its own takes
 that of the nearest directory above it that has one.
 
 What moves: one row per file and directory above it towards the directories that have a
@@ -36,8 +38,8 @@ from runlens.llm.common import durable, in_arrow, text_of
 LEAST, LEAST_LONG, LONG = 0.6, 0.8, 30
 #: Lengths of the compared spans, as shares of a template's length.
 SPANS = (0.7, 0.85, 1.0, 1.2)
-#: A word: letters, or a number with inner dots.
-TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
+#: A word: letters, a number with inner dots, or an SPDX identifier behind its sign.
+TOKEN = r"=[a-z0-9.+-]+|[a-z]+|[0-9]+(?:\.[0-9]+)*"
 MENTION = r"(?i)licen[cs]e|spdx|copyright|public domain|permission is hereby granted|redistribution and use"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
@@ -66,6 +68,7 @@ _BSD_NAMES = " {Neither} the {name} of the copyright holder nor the names of its
 _BSD_END = " This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
 _SHORT = (
     ("Apache-2.0", "Licensed under the {Apache} License, Version {2.0}."),
+    ("Apache-2.0", "{Apache} License Version {2.0}, January 2004 http://www.apache.org/licenses/"),
     ("Apache-2.0", "Licensed under the {Apache} License, Version {2.0} (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-2-Clause", "Licensed under the {BSD} {2}-{Clause} License. Redistribution and use in source and binary forms are permitted."),
     ("BSD-2-Clause", "Licensed under the {BSD} {2}-{Clause} License."),
@@ -73,13 +76,11 @@ _SHORT = (
     ("BSD-3-Clause", "Licensed under the {BSD} {3}-{Clause} License. Redistribution and use in source and binary forms are permitted."),
     ("BSD-3-Clause", "Licensed under the {BSD} {3}-{Clause} License."),
     ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_END),
+    ("BSD-2-Clause", "Released under the {Simplified} {BSD} License."),
+    ("BSD-3-Clause", "Released under the {Modified} {BSD} License."),
+    ("BSD-3-Clause", "Released under the {New} {BSD} License."),
+    ("BSD-4-Clause", _BSD + " All {advertising} materials mentioning features or use of this software must display the following {acknowledgement}: This product includes software developed by the copyright holder." + _BSD_NAMES + _BSD_END),
     ("BSL-1.0", "Distributed under the {Boost} Software License, Version {1.0}."),
-    ("CC-BY-4.0", "Licensed under {CC} {BY} {4.0}."),
-    ("CC-BY-4.0", "Licensed under a {Creative} {Commons} {Attribution} {4.0} International License."),
-    ("CC-BY-NC-4.0", "Licensed under {CC} {BY}-{NC} {4.0}."),
-    ("CC-BY-NC-4.0", "Licensed under a {Creative} {Commons} {Attribution}-{NonCommercial} {4.0} International License."),
-    ("CC-BY-SA-4.0", "Licensed under {CC} {BY}-{SA} {4.0}."),
-    ("CC-BY-SA-4.0", "Licensed under a {Creative} {Commons} {Attribution}-{ShareAlike} {4.0} International License."),
     ("CC0-1.0", "Released into the public domain under {CC0} {1.0} Universal."),
     ("EPL-2.0", "Licensed under the {Eclipse} {Public} License, version {2.0}."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the {Eclipse} {Public} License {2.0} which is available at https://www.eclipse.org/legal/epl-2.0"),
@@ -98,12 +99,21 @@ _SHORT = (
     ("Zlib", "This software is provided as-is, without any express or implied warranty. {Permission} is granted to anyone to use this software for any purpose, including commercial applications, and to {alter} it and redistribute it freely. The {origin} of this software must not be {misrepresented}."),
     ("AGPL-3.0", "{GNU} {Affero} General Public License Version {3}, {19} {November} {2007}"),
 )
+_DOCUMENTS = "Permission is granted to copy, distribute and/or modify this document under the terms of the {{GNU}} {{Free}} {{Documentation}} License, Version {{{}}} or any later version published by the Free Software Foundation."
+#: The Creative Commons licences: their letters, and the words that stand for them.
+_CC_WORDS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+_CC = tuple((f"CC-{letters}-{v}", letters.split("-"), v) for letters in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("2.0", "2.5", "3.0", "4.0"))
+#: Words that must not stand in a span, by the beginning of the licence's name.
+_LIMITS = frozenset("nc sa nd noncommercial sharealike noderivatives".split())
+BARRED = {"GPL-": frozenset("lesser library affero lgpl agpl".split()), "BSD-2-Clause": frozenset("advertising endorse modified new".split()), "BSD-3-Clause": frozenset(["advertising", "simplified"])}
 _GNU_SHORT = (("This work is licensed under the {}, version {}."), ("Licensed under the {} version {} or later."), _GNU, _GNU_ONLY)
 #: SPDX identifiers by licence; every word of one must be in the span.
 _SPDX = (
-    *((name, f"{name}{end}") for name, _, _ in _GNU_NAMES for end in ("", "-only", "-or-later")),
-    *((name, name) for name in "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 ISC MIT MPL-1.1 MPL-2.0 Unlicense WTFPL Zlib".split()),
-    *((name, name) for name in "0BSD AFL-3.0 Apache-1.1 Artistic-2.0 BSD-3-Clause-Clear BSD-4-Clause CC-BY-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CDDL-1.0 EPL-1.0 EUPL-1.2 MIT-0 MS-PL NCSA OFL-1.1 PSF-2.0 PostgreSQL Python-2.0 UPL-1.0".split()),
+    *((name, f"{name}{end}") for name, _, _ in _GNU_NAMES for end in ("", "+", "-only", "-or-later")),
+    *((name, name) for name, _, _ in _CC),
+    *((f"GFDL-{v}", f"GFDL-{v}{end}") for v in ("1.1", "1.2", "1.3") for end in ("", "-only", "-or-later")),
+    *((name, name) for name in "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 EPL-2.0 ISC MIT MPL-1.1 MPL-2.0 Unlicense WTFPL Zlib".split()),
+    *((name, name) for name in "0BSD AFL-3.0 Apache-1.1 Artistic-2.0 BSD-3-Clause-Clear BSD-4-Clause CDDL-1.0 EPL-1.0 EUPL-1.2 MIT-0 MS-PL NCSA OFL-1.1 PSF-2.0 PostgreSQL Python-2.0 UPL-1.0".split()),
 )
 #: The words that name the licence of a whole text.
 KEYS = {
@@ -113,25 +123,49 @@ KEYS = {
 
 
 def words(text: str) -> list[str]:
-    """The words of a text, with one spelling for `licence`, `v2`, `GPLv2` and `2.0`."""
+    """The words of a text, with one spelling for `licence`, `v2`, `GPLv2`, `2.0`, `non-commercial` and the like; an SPDX identifier is one."""
     low = re.sub(r"(?<![a-z])v\.? ?(?=[0-9])|(?<=gpl)v(?=[0-9])", " version ", text.lower())
-    low = low.replace("licence", "license")
-    return [re.sub(r"(?:\.0)+$", "", w) for w in re.findall(TOKEN, low)]
+    low = low.replace("licence", "license").replace("=", " ")
+    low = re.sub(r"(spdx-license-identifier:[ \t]*\(*)([a-z0-9.+-]+)", r"\1 =\2 ", low)
+    low = re.sub(r"(?<![a-z])non[ -]commercial", "noncommercial", low)
+    low = re.sub(r"(?<![a-z])no[ -]?deriv(?:ative)?s?(?![a-z])(?: works)?", "noderivatives", low)
+    low = re.sub(r"(?<![a-z])share[ -]alike", "sharealike", low)
+    return [w if w[0] == "=" else re.sub(r"(?:\.0)+$", "", w) for w in re.findall(TOKEN, low)]
 
 
 def _templates() -> list[tuple[str, str, frozenset[str]]]:
     """(licence, text, words that a span must have)."""
-    made = [*_SHORT]
+    made = [*_SHORT, *((f"GFDL-{v}", _DOCUMENTS.format(v)) for v in ("1.1", "1.2", "1.3"))]
+    for name, letters, v in _CC:
+        made.append((name, f"Licensed under {{CC}} {'-'.join('{' + x + '}' for x in letters)} {{{v}}}."))
+        made.append((name, f"Licensed under a {{Creative}} {{Commons}} {'-'.join('{' + _CC_WORDS[x] + '}' for x in letters)} {{{v}}} International License."))
+    made += [(name, f"License: {{{name.split('-')[0]}}} version {{{version}}}") for name, _, version in _GNU_NAMES]
     for form in _GNU_SHORT:
         made += [(name, form.format(title, "{" + version + "}")) for name, title, version in _GNU_NAMES]
     found = [(name, re.sub(r"[{}]", "", text), frozenset(w for part in re.findall(r"\{([^}]*)\}", text) for w in words(part))) for name, text in made]
-    found += [(name, f"SPDX-License-Identifier: {spdx}", frozenset(words(f"spdx identifier {spdx}"))) for name, spdx in _SPDX]
+    found += [(name, f"SPDX-License-Identifier: {spdx}", frozenset(["spdx", "identifier", f"={spdx.lower()}"])) for name, spdx in _SPDX]
     for name, keys in KEYS.items():
         text = (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text(encoding="utf-8")
         found.append((name, text, frozenset(words(keys))))
     return found
 
 
+def barred(name: str, keys: frozenset[str]) -> frozenset[str]:
+    """The words that a span of the licence must not have."""
+    words_ = next((w for start, w in BARRED.items() if name.startswith(start)), frozenset())
+    if name.startswith("CC-BY"):
+        both = {k.lower(): w.lower() for k, w in _CC_WORDS.items()}
+        own = {x.lower() for x in name.split("-")}
+        words_ = _LIMITS - own - {both[x] for x in own if x in both}
+    return words_ - keys
+
+
+def anchors() -> str:
+    """A pattern that every text with a licence matches: of the words that a template asks for the longest."""
+    longest = {max(keys, key=lambda k: (k.isalpha(), len(k), k)) for _, _, keys in _templates()}
+    return "(?i)(?<![a-z])(" + "|".join(sorted(re.escape(w.lstrip("=")) for w in longest)) + ")(?![a-z])"
+
+
 def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, int, dict[str, float]]]]:
     """(idf by word, idf of other words, [(licence, template, unit vector)])."""
     counts = [Counter(words(text)) for _, text, _ in _templates()]
@@ -145,10 +179,10 @@ def template_vectors() -> tuple[dict[str, float], float, list[tuple[str, int, di
     return idf, math.log(1 + len(counts)) + 1, vectors
 
 
-def known_templates() -> tuple[dict[str, float], float, list[tuple[str, int, frozenset[str], dict[str, float]]]]:
-    """(idf by word, idf of other words, [(licence, words, words a span must have, unit vector)])."""
+def known_templates() -> tuple[dict[str, float], float, list[tuple[str, int, frozenset[str], frozenset[str], dict[str, float]]]]:
+    """(idf by word, idf of other words, [(licence, words, words a span must and must not have, unit vector)])."""
     idf, other, vectors = template_vectors()
-    return idf, other, [(name, len(words(text)), keys, v) for (name, text, keys), (_, _, v) in zip(_templates(), vectors, strict=True)]
+    return idf, other, [(name, len(words(text)), keys, barred(name, keys), v) for (name, text, keys), (_, _, v) in zip(_templates(), vectors, strict=True)]
 
 
 class _Spans:
@@ -178,18 +212,22 @@ class _Spans:
             self.made[n] = np.sqrt(np.maximum(sums[n - 1 :], 1e-12))
         return self.made[n]
 
-    def best(self, length: int, keys: frozenset[str], vector: dict[str, float]) -> float:
-        """The largest cosine of a span with the template."""
+    def best(self, length: int, keys: frozenset[str], without: frozenset[str], vector: dict[str, float]) -> float:
+        """The largest cosine of a span that has keys, and nothing of without, with the template."""
         if any(k not in self.names for k in keys):
             return 0.0
         size, top = len(self.ids), 0.0
         weights = np.array([vector.get(w, 0.0) for w in self.names])[self.ids] * self.idf
         sums = np.concatenate([[0.0], np.cumsum(weights)])
         has = [np.concatenate([[0], np.cumsum(self.ids == self.names[k])]) for k in keys]
+        bad = [self.names[k] for k in without if k in self.names]
+        spoilt = np.concatenate([[0], np.cumsum(np.isin(self.ids, bad))]) if bad else None
         for n in {min(size, max(len(keys), math.ceil(share * length))) for share in SPANS}:
             cosine = (sums[n:] - sums[:-n]) / self.norms(n)
             for h in has:
                 cosine = np.where(h[n:] > h[:-n], cosine, 0.0)
+            if spoilt is not None:
+                cosine = np.where(spoilt[n:] > spoilt[:-n], 0.0, cosine)
             top = max(top, float(cosine.max()))
         return top
 
@@ -201,8 +239,8 @@ def licence_of(text: str, known) -> tuple[str | None, float | None]:
     if not found:
         return None, None
     spans, best = _Spans(found, idf, other), None
-    for name, length, keys, vector in templates:
-        score = round(min(1.0, spans.best(length, keys, vector)), 6)
+    for name, length, keys, without, vector in templates:
+        score = round(min(1.0, spans.best(length, keys, without, vector)), 6)
         if score >= (LEAST_LONG if length > LONG else LEAST):
             best = min(best or (0.0, 0, ""), (-score, -length, name))
     return (best[2], -best[0]) if best else (None, None)
@@ -221,7 +259,7 @@ def own_licences(files: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["_fid", "own_license", "own_score"]
             )
 
-    speaking = files.filter(F.col("_text").rlike(MENTION) | F.col("_path").rlike(LICENCE_FILE)).select("_fid", "_text")
+    speaking = files.filter(F.col("_text").rlike(anchors())).select("_fid", "_text")
     return in_arrow(speaking, run, "_fid string, own_license string, own_score double").filter("own_license IS NOT NULL").dropDuplicates(["_fid"])
 
 

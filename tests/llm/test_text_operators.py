@@ -3,9 +3,12 @@
 import base64
 import hashlib
 import io
+import math
 import random
+import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -158,6 +161,67 @@ def test_licence_headers(text, want):
     assert licenses.licence_of(text, licenses.known_templates())[0] == want
 
 
+_BSD4 = "\n".join(t for n, t, _ in licenses._templates() if n == "BSD-4-Clause" and "Redistribution" in t)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        *((f"This work is licensed under CC {x} {v}.", f"CC-{x}-{v}") for x in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")),
+        ("Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+        ("Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("Creative Commons Attribution-Non-Commercial-No Derivative Works 3.0 License", "CC-BY-NC-ND-3.0"),
+        ("Licensed under a Creative Commons Attribution-Share Alike 3.0 Unported License", "CC-BY-SA-3.0"),
+        ("# SPDX-License-Identifier: CC-BY-NC-ND-3.0", "CC-BY-NC-ND-3.0"), ("// SPDX-License-Identifier: BSD-4-Clause-UC", None), ("# SPDX-License-Identifier: MIT-Foo", None),
+        ("/* SPDX-License-Identifier: (GPL-2.0+ OR MIT) */", "GPL-2.0"), ("GPLv3", "GPL-3.0"), ("License: GPLv3+", "GPL-3.0"), ("Licensed under GPL v2", "GPL-2.0"), ("License: LGPL v2.1", "LGPL-2.1"), ("AGPLv3", "AGPL-3.0"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"),
+        ("Released under the Modified BSD License", "BSD-3-Clause"), ("Released under the BSD license", None), (_BSD4, "BSD-4-Clause"),
+        ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version", "GFDL-1.3"),
+        ("the program committed 3 errors and permits more", None),
+    ],
+)
+def test_licences_grant_no_more_than_the_text(text, want):
+    assert licenses.licence_of(text, licenses.known_templates())[0] == want
+
+
+def test_spans_equal_plain_cosines():
+    """The best span by sliding sums is the best of all spans, each with its own counts, norm and words."""
+    idf, other, templates = licenses.known_templates()
+    rng = random.Random(3)
+    for name, length, keys, without, vector in rng.sample(templates, 40):
+        text = [rng.choice([*vector, *keys, "other", "words", *without]) for _ in range(rng.randint(1, 60))]
+        best = 0.0
+        for n in {min(len(text), max(len(keys), math.ceil(share * length))) for share in licenses.SPANS}:
+            for i in range(len(text) - n + 1):
+                span = Counter(text[i : i + n])
+                if all(k in span for k in keys) and not any(w in span for w in without):
+                    norm = math.sqrt(sum((c * idf.get(w, other)) ** 2 for w, c in span.items()))
+                    best = max(best, sum(c * idf.get(w, other) * vector.get(w, 0.0) for w, c in span.items()) / norm)
+        assert licenses._Spans(text, idf, other).best(length, keys, without, vector) == pytest.approx(best, abs=1e-9), name
+
+
+def test_the_filter_before_scoring_drops_nothing():
+    pattern = re.compile(licenses.anchors())
+    assert all(pattern.search(text) for _, text, _ in licenses._templates())
+
+
+def test_inheritance_by_hand(spark):
+    """Each file against all licence files above it, the nearest directory first; ties within one go to the first path."""
+    rng = random.Random(6)
+    notices = ["Released under the MIT License.", "Released under the ISC License.", "Licensed under CC BY-ND 4.0.", "nothing"]
+    paths = sorted({"/".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) + rng.choice(["/LICENSE", "/LICENSE.md", "/COPYING", "/x.txt", "/y.txt"]) for _ in range(120)})
+    rows = [(i, p.lstrip("/"), rng.choice(notices) if "x.txt" not in p else "") for i, p in enumerate(paths)]
+    own = {p: licenses.licence_of(t, licenses.known_templates())[0] for _, p, t in rows}
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    want = []
+    for i, p, _ in rows:
+        above = [d for d in {"/".join(folder(p).split("/")[:k]) for k in range(len(folder(p).split("/")) + 1)}]
+        given = sorted((-len(folder(q)), q) for q in own if own[q] and re.search(licenses.LICENCE_FILE, q) and folder(q) in above)
+        want.append((i, own[p] or (own[given[0][1]] if given else None), folder(given[0][1]) if given and not own[p] else None))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["inherited_from"]) for r in got) == want
+
+
 def test_whole_licence_texts():
     known = licenses.known_templates()
     for name, text, _ in licenses._templates():
