@@ -38,7 +38,7 @@ from runlens.llm.common import chunks, durable, give_back, in_arrow, scratch, te
 from runlens.storage import freed_shuffles
 
 #: Bytes of text in a block of documents.
-BLOCK = 1 << 24
+BLOCK = 1 << 25
 #: Texts that go to the tokenizers at once.
 AT_ONCE = 4096
 _SPLIT = re.compile(r"(?<=\S)(?= )")
@@ -236,7 +236,7 @@ def grouped(tokens: DataFrame) -> DataFrame:
 
 
 def align(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool = False) -> DataFrame:
-    """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of texts (key, text, n occurrences); texts without tokens are left out.
+    """(text, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of distinct texts (key, text, n occurrences); those without tokens are left out.
 
     Tokens have at least one byte, so an end has one token a side and a group has one link, at its end.
     """
@@ -245,10 +245,10 @@ def align(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool =
         links = told.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.*")
         pairs = durable(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "align-pairs")
         highest = pairs.groupBy("b").agg(F.max("count").alias("most"))
-        ranked = durable(pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best")), "align-ranked")
-        sums = durable(links.drop("n").join(ranked, ["a", "b"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "align-sums")
-        every = told.join(sums, "key").withColumn("n_groups", F.size("links").cast("bigint"))
-        return keep(every.select("key", *COUNTS, "groups"), "aligned")
+        ranked = pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best"))
+        sums = links.drop("n").join(ranked, ["a", "b"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        every = told.join(sums, "key").withColumn("n_groups", F.size("links").cast("bigint")).select("key", *COUNTS, "groups")
+        return keep(every.join(texts.select("key", "text"), "key").drop("key"), "aligned")  # rows of tokens don't carry their text
 
 
 class _Numbers(dict):
@@ -309,8 +309,7 @@ def aligned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         slots = rows.filter("part IS NOT NULL").select("block", "slot", "part", "n")
         distinct = slots.groupBy("part").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), F.col("part").alias("text"), "n")
         distinct = durable(distinct, "align-parts")
-        told = align(distinct, paths, joined=separate).join(distinct.select("key", "text"), "key").drop("key")
-        told = durable(told, "align-told")  # a row of tokens doesn't carry its text
+        told = align(distinct, paths, joined=separate)
         back = keep(slots.select("block", "slot", F.col("part").alias("text")).join(told, "text").drop("text"), "align-back")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", *COUNTS, "groups_sha256"]
