@@ -42,8 +42,6 @@ CHUNK = 1 << 21
 HOT = 10_000
 #: Words in a shard's index, about.
 SHARD = 1 << 20
-#: Bytes of flagged documents, about, up to which they are broadcast.
-BROADCAST = 1 << 25
 _RUNS = "array<struct<s: int, e: int>>"
 _blank = np.zeros(256, dtype=bool)
 _blank[[9, 10, 11, 12, 13, 32]] = True
@@ -285,16 +283,10 @@ def _trimmed(keyed: DataFrame, flagged: DataFrame, span: int, how: str) -> DataF
                 kept = pa.array([t.decode() for t in words.joined(~gone)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, counts), kept], ["_id", "n_words", "n_removed", "kept"])
 
-    joined = keyed.join(flagged, "key", how).select("_id", "_text", F.coalesce("at", F.array().cast(_RUNS)).alias("at"))
+    joined = keyed.join(flagged.hint("merge"), "key", how)  # by merging at every size.select("_id", "_text", F.coalesce("at", F.array().cast(_RUNS)).alias("at"))
     return in_arrow(joined, run, f"_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
-def _sized(flagged: DataFrame) -> DataFrame:
-    """Broadcast while it is small, else joined as it is."""
-    size = flagged.agg(F.coalesce(F.sum(100 + 8 * F.size("at")), F.lit(0))).first()[0]
-    return F.broadcast(flagged) if size <= BROADCAST else flagged
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, **options) -> DataFrame:
     """Per row: id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     keyed, spark = _keyed(docs, id_col, text_col), docs.sparkSession
@@ -312,5 +304,5 @@ def substring_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         flagged = keep(repeated(keyed, outline, span, gram, **options), "substring-flagged")
         whole = outline.join(flagged.select("key"), "key", "left_anti").select("_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole").alias("kept_sha256"))
         whole = keep(whole, "substring-whole")
-    changed = _trimmed(keyed, _sized(flagged), span, "inner").select("_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+    changed = _trimmed(keyed, flagged, span, "inner").select("_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
     return whole.unionByName(changed).withColumnRenamed("_id", id_col)
