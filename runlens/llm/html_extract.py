@@ -14,9 +14,12 @@
 2. Sum the weights over a sliding window of WINDOW lines. A surge point is where the sums rise
    from nothing to the threshold, a dive point where they fall to nothing again.
 3. The text lies between the first surge and the last dive point: every line with weight there
-   is kept. Where a page marks its article, any weight is a surge; elsewhere the sums must reach
-   THRESHOLD characters. An article is a teaser, and the page one without marks, if a stretch
-   outside of it has over TEASER times its weight.
+   is kept. Where a page marks its article, any weight is a surge, and a headline, or lines of the
+   main element, that touch it come in; elsewhere the sums must reach THRESHOLD characters, and
+   lines at both ends go that stand in no element for running text: all of them where most of the
+   text stands in such elements, else those under THRESHOLD. Articles that weigh less
+   than the rest of their main element are cards in it; an article is a teaser, and the page one
+   without marks, if a stretch outside of it has over TEASER times its weight.
 
 Defined results: null, empty and text-free pages give the empty text; broken or unclosed
 markup never fails (an open script, style or comment reaches to the end of the page, an open
@@ -51,7 +54,7 @@ DROPPED = frozenset("nav header footer aside form menu dialog search".split())
 NOTICE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay"
     " nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail widget widgets footer masthead header topbar toolbar"
-    " comment comments commentlist disqus respond discussion replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip"
+    " comment comments commentlist disqus thread threads reviews respond discussion replies share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip"
     " complementary contentinfo search".split()
 )
 #: Words that name parts of a text as well as notices.
@@ -59,7 +62,12 @@ WEAK = frozenset(
     "header footer notice notification alert banner promotion discussion replies respond related recommended search menu navigation nav aside share sharing social cookie cookies consent gdpr"
     " subscription subscribe newsletter login signup complementary rail skip overlay modal popup widget widgets pagination".split()
 )
-_COMMENTS = frozenset("comment comments commentlist disqus".split())
+_COMMENTS = frozenset("comment comments commentlist disqus thread threads reviews".split())
+#: Elements that hold running text, the parts of a page that may hold anything, and what a pulled quotation begins with.
+PROSE = tuple("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption summary".split())
+PARTS = tuple("body div section main header footer nav aside form fieldset center table".split())
+_QUOTE = re.compile(r"\s*<(?:blockquote|q)(?=[\s>])", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OF_TEXT = frozenset("entry post article story content section chapter".split())
 _STATES = frozenset("has with no without".split())
@@ -69,7 +77,7 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S
 )
-_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -81,7 +89,7 @@ def _notice(name: str, attributes: str, inside: bool = False) -> str:
     found = ""
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _UNSEEN.search(value)):
             return "sure"
         if key in ("class", "id", "role"):
             if key == "id" and name in _HEADINGS:
@@ -184,17 +192,20 @@ class _Lines:
     def __init__(self) -> None:
         self.rows: list[tuple[str, bool, bool, bool, float]] = []  # text, beside the article, in article, in main, share of links
         self.heads: list[bool] = []  # whether a line is of a first-rank heading
+        self.prose: list[bool] = []  # whether a line's innermost part of the page is one for running text
         self.named: list[tuple[int, int]] = []  # lines [first, end) of elements named as notices
         self.parts: list[str] = []
         self.linked = 0
         self.fields = 0  # form fields so far
 
-    def end(self, beside: bool, article: bool, main: bool, headline: bool = False) -> None:
+    def end(self, beside: bool, article: bool, main: bool, open_: _Open) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
+                headline = bool(open_.at.get("h1"))
                 self.rows.append((text, beside, article, main, 0.0 if headline else self.linked / len(text)))
                 self.heads.append(headline)
+                self.prose.append(open_.last(PROSE) > open_.last(PARTS))
             self.parts, self.linked = [], 0
 
     def judge(self, first: int, fields: int) -> None:
@@ -227,8 +238,8 @@ class _Lines:
         return list(accumulate(steps))[:-1]
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
-    """The lines of a page in order: (text, beside, in article, in main, share of linked text)."""
+def page_lines(page: str) -> _Lines:
+    """The lines of a page in order; rows: (text, beside, in article, in main, share of linked text)."""
     lines, at, n = _Lines(), 0, len(page)
     open_, ends = _Open(lines), {}
     counts = open_.counts
@@ -274,7 +285,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
             while open_.stack and open_.stack[-1][2] == "gone" and ends.get(open_.stack[-1][0], 0) > n:  # never closed: ends here
                 open_.cut(len(open_.stack) - 1)
         if name in BLOCK:
-            lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, bool(open_.at.get("h1")))
+            lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, open_)
         elif name == "br":
             lines.parts.append(" ")
         if name in VOID:
@@ -293,15 +304,16 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, bool, float]]:
                 open_.doubt = (len(open_.stack), len(lines.rows), lines.fields)
             if notice == "named":
                 open_.named.append((len(open_.stack), len(lines.rows)))
-            drop = (name in DROPPED and not (name == "header" and article and not beside)) or notice == "sure"
+            own = article and not beside and (name == "header" or (name in ("aside", "footer") and ("quote" in attributes.lower() or _QUOTE.match(page, at))))
+            drop = (name in DROPPED and not own) or notice == "sure"
             kind = "article" if name == "article" and not drop and not beside else "main" if (name == "main" or "role=\"main\"" in attributes) and not drop else "a" if name == "a" else ""
             open_.push(name, drop, kind)
         else:
             open_.end(name)
-    lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, bool(open_.at.get("h1")))
+    lines.end(counts[True] > 0, counts["article"] > 0, counts["main"] > 0, open_)
     open_.cut(0)
     lines.judge_named()
-    return lines.rows
+    return lines
 
 
 def surges_and_dives(weights: list[int], window: int = WINDOW, least: int = 1) -> list[tuple[int, int]]:
@@ -326,23 +338,38 @@ def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    rows = page_lines(page)
-    marked = 2 if any(a and not b for _, b, a, _, _ in rows) else 3 if any(m and not b for _, b, _, m, _ in rows) else 0
+    lines = page_lines(page)
+    rows = lines.rows
     loose = [0 if beside or (linked > 0.6 and len(text) < THRESHOLD) else len(text) for text, beside, _, _, linked in rows]
+    marked = 2 if any(a and not b for _, b, a, _, _ in rows) else 3 if any(m and not b for _, b, _, m, _ in rows) else 0
+    if marked == 2 and sum(n for n, row in zip(loose, rows, strict=True) if row[3] and not row[2]) > sum(n for n, row in zip(loose, rows, strict=True) if row[2]):
+        marked = 3  # the articles are cards within the main text
     if marked:
         weights = [0 if row[1] or not row[marked] else len(row[0]) for row in rows]
         outside = [0 if row[marked] else n for row, n in zip(rows, loose, strict=True)]
         if max((sum(outside[a:b]) for a, b in surges_and_dives(outside, least=THRESHOLD)), default=0) > TEASER * sum(weights):
             marked = 0
     if marked:
+        first = next((i for i, w in enumerate(weights) if w), 0)
+        while first and loose[first - 1] and (lines.heads[first - 1] or rows[first - 1][3]):  # the headline and lede that touch the article
+            first -= 1
+            weights[first] = loose[first]
         stretches = surges_and_dives(weights)
     else:
         weights = loose
         stretches = surges_and_dives(weights, least=THRESHOLD) or surges_and_dives(weights)
-        stretches = [(stretches[0][0], stretches[-1][1])] if stretches else []
+        stretches = [_trimmed(lines, weights, stretches[0][0], stretches[-1][1])] if stretches else []
     return "\n".join(rows[i][0] for a, b in stretches for i in range(a, b) if weights[i])
 
 
+def _trimmed(lines: _Lines, weights: list[int], first: int, end: int) -> tuple[int, int]:
+    """The stretch without the lines at its ends that stand in no element for running text: all where most of its text stands in such, else the short ones."""
+    running = [i for i in range(first, end) if weights[i] and lines.prose[i]]
+    if 2 * sum(weights[i] for i in running) < sum(weights[first:end]):
+        running += [i for i in range(first, end) if weights[i] >= THRESHOLD]
+    return (min(running), max(running) + 1) if running else (first, end)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     source = pages.select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), text_of(html_col).alias("_html"))
