@@ -283,7 +283,7 @@ def _trimmed(keyed: DataFrame, flagged: DataFrame, span: int, how: str) -> DataF
                 kept = pa.array([t.decode() for t in words.joined(~gone)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, counts), kept], ["_id", "n_words", "n_removed", "kept"])
 
-    joined = keyed.join(flagged.hint("merge"), "key", how)  # by merging at every size.select("_id", "_text", F.coalesce("at", F.array().cast(_RUNS)).alias("at"))
+    joined = keyed.join(flagged.hint("merge"), "key", how).select("_id", "_text", F.coalesce("at", F.array().cast(_RUNS)).alias("at"))
     return in_arrow(joined, run, f"_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
