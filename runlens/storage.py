@@ -75,13 +75,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and fixes generated ids.
 
     A lost executor then costs the tasks that read its part, never a second, different run
-    of what assigned the ids.
+    of what assigned the ids. light: rows of a few numbers, far smaller than what they are made
+    from; they are written by an eighth of the shuffle's tasks, so that their files are not tiny.
     """
     spark = df.sparkSession
+    if light:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
