@@ -57,14 +57,14 @@ def _stars(edges: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a bigint, b bigint), component being its least node."""
-    edges = durable(in_arrow(links.select("a", "b"), _forest, "a bigint, b bigint").distinct(), "cc-forest")
+    edges = durable(in_arrow(links.select("a", "b"), _forest, "a bigint, b bigint").distinct(), "cc-forest", light=True)
     while not _stars(edges):
         # large-star: what is larger than u goes to the least around u
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
-        large = durable(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").union(least.filter("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a < b").distinct(), "cc-large")
+        least = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least", light=True)
+        large = durable(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").union(least.filter("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a < b").distinct(), "cc-large", light=True)
         # small-star: of u and what is smaller, all go to the least
-        down = durable(large.groupBy("b").agg(F.min("a").alias("m")), "cc-down")
+        down = durable(large.groupBy("b").agg(F.min("a").alias("m")), "cc-down", light=True)
         edges = durable(
             large.join(down, "b").filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(down.select(F.col("m").alias("a"), "b")).distinct(), "cc-edges"
         )

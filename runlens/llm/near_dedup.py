@@ -210,7 +210,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     # joins by merging at every size: the plan, and what it moves, grows in proportion to the input
     # the text of a hot pivot is dealt out once for every SPLIT of its pairs, to as many tasks
-    parts = durable(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")), "near-parts")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts"))
     left = texts.join(parts.hint("merge"), F.col("_class") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("_text").alias("_left"))
     right = texts.select(F.col("_class").alias("b"), F.col("_text").alias("_right"))
     dealt = pairs.select("a", "b").join(parts.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -286,7 +286,7 @@ def _across(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, by the first shingles of texts (_class, component, _text)."""
     sent = durable(_prefixes(texts, _counts(texts, words), words, percent), "near-prefixes")
     # shingles that more than one component sent, one of its sets as the smaller of two
-    open_ = durable(sent.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("small").alias("any")).filter("lo < hi AND any").select("gram"), "near-shared")
+    open_ = durable(sent.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("small").alias("any")).filter("lo < hi AND any").select("gram"), "near-shared", light=True)
     met = durable(sent.drop(*_MAPS).join(open_.hint("merge"), "gram"), "near-met")
     met = durable(met.join(sent.filter("at = 0").select("_class", *_MAPS).hint("merge"), "_class"), "near-mapped")
     sides = ("_class", "component", "n", "at", *_MAPS)
@@ -324,10 +324,10 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_c
     Rows are told by id and text, as ids may repeat; rows without an id or a word stay.
     """
     with scratch(docs.sparkSession) as keep:
-        rows = durable(_near_dedup(docs, words, percent, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "_hash", "_group"), "near-rows")
-        best = rows.filter("_group IS NOT NULL").groupBy("_group").agg(F.min(F.struct("_id", "_hash")).alias("b")).select("b._id", "b._hash")
-        kept = best.union(rows.filter("_group IS NULL").select("_id", "_hash")).distinct()
-        kept = keep(kept.select(F.col("_id").alias("__runlens_id"), F.col("_hash").alias("__runlens_hash")), "near-kept")
+        rows = _near_dedup(docs, words, percent, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "_hash", "_group")
+        alone = [F.when(F.col("_group").isNull(), F.col(c)) for c in ("_id", "_hash")]  # a row without a group is one of its own
+        best = rows.groupBy("_group", *alone).agg(F.min(F.struct("_id", "_hash")).alias("b"))
+        kept = keep(best.select(F.col("b._id").alias("__runlens_id"), F.col("b._hash").alias("__runlens_hash")), "near-kept")
     own = docs[id_col].cast("bigint").eqNullSafe(F.col("__runlens_id")) & (F.xxhash64(text_of(text_col)) == F.col("__runlens_hash"))
     return docs.join(kept.hint("merge"), own, "left_semi")
 
@@ -340,30 +340,30 @@ def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     flat = classes.select("_class", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = durable(
         flat.groupBy("band", "key").agg(F.min(F.struct("_class", "n_shingles")).alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        .select("band", "key", F.col("pivot._class").alias("pivot"), F.col("pivot.n_shingles").alias("size")), "near-buckets"
+        .select("band", "key", F.col("pivot._class").alias("pivot"), F.col("pivot.n_shingles").alias("size")), "near-buckets", light=True
     )
     members = durable(flat.join(buckets.hint("merge"), ["band", "key"]), "near-members")
     # the texts of all that has a candidate, taken once; everything after this works on them alone
-    wanted = durable(classes.join(members.select("_class").distinct().hint("merge"), "_class", "left_semi").select("_class", "rep", "rep_hash"), "near-wanted")
+    wanted = durable(classes.join(members.select("_class").distinct().hint("merge"), "_class", "left_semi").select("_class", "rep", "rep_hash"), "near-wanted", light=True)
     texts = _one_text_a_class(docs, wanted, id_col, text_col)
     fits = f"_class <> pivot AND 100 * least(n_shingles, size) >= {percent} * greatest(n_shingles, size)"
-    pairs = durable(members.filter(fits).select(F.col("pivot").alias("a"), F.col("_class").alias("b")).distinct(), "near-stars")
+    pairs = durable(members.filter(fits).select(F.col("pivot").alias("a"), F.col("_class").alias("b")).distinct(), "near-stars", light=True)
     linked = durable(confirmed(pairs, texts, words, percent).filter("linked").select("a", "b"), "near-confirmed")
     labels = durable(components(linked), "near-labels")
     # what a pivot could not join: buckets whose other members lie in several components
     placed = members.filter("_class <> pivot").select("_class", "band", "key").join(labels.hint("merge"), F.col("_class") == F.col("node"), "left")
     placed = durable(placed.select("_class", "band", "key", F.coalesce("component", "_class").alias("component")), "near-placed")
-    mixed = durable(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "near-mixed")
-    open_ = durable(placed.join(mixed.hint("merge"), ["band", "key"], "left_semi").select("_class", "component").distinct(), "near-open")
+    mixed = durable(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "near-mixed", light=True)
+    open_ = durable(placed.join(mixed.hint("merge"), ["band", "key"], "left_semi").select("_class", "component").distinct(), "near-open", light=True)
     open_texts = durable(texts.join(open_.hint("merge"), "_class"), "near-open-texts")
-    across = durable(_across(open_texts, words, percent), "near-across")
-    more = durable(confirmed(across, texts, words, percent).filter("linked").select("a", "b"), "near-more")
+    across = durable(_across(open_texts, words, percent), "near-across", light=True)
+    more = durable(confirmed(across, texts, words, percent).filter("linked").select("a", "b"), "near-more", light=True)
     if more.limit(1).count():
         labels = durable(components(linked.union(more)), "near-labels")
     # the least doc_id of each component
-    named = durable(labels.join(classes.select("_class", "rep").hint("merge"), F.col("node") == F.col("_class")).select("component", "node", "rep"), "near-named")
-    least = durable(named.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least")
-    of_class = durable(named.select("component", "node").join(least.hint("merge"), "component").select(F.col("node").alias("_class"), "component", "component_id"), "near-of-class")
+    named = durable(labels.join(classes.select("_class", "rep").hint("merge"), F.col("node") == F.col("_class")).select("component", "node", "rep"), "near-named", light=True)
+    least = durable(named.groupBy("component").agg(F.min("rep").alias("component_id")), "near-least", light=True)
+    of_class = durable(named.select("component", "node").join(least.hint("merge"), "component").select(F.col("node").alias("_class"), "component", "component_id"), "near-of-class", light=True)
     final = classes.select("_class", "rep", *key).join(of_class.hint("merge"), "_class", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "_class").alias("_group"))
     out = rows.drop("bands").join(keep(final, "near-final").hint("merge"), key, "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))

@@ -57,7 +57,7 @@ def test_queries_equal_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).fetchdf()
     cols = sorted(want.columns)
