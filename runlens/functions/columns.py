@@ -34,10 +34,20 @@ def target_path(root: str, service: Column, category: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Slashes one way, no empty or `.` segments, one `services` segment instead of two."""
+    """Slashes one way, no empty, `.` or `..` segments, one `services` segment instead of two; a relative path keeps the `..` that lead out of it."""
     p = F.regexp_replace(path, r"\\", "/")
     p = F.regexp_replace(p, "/(\\./)+", "/")
     p = F.regexp_replace(p, "/+", "/")
+    parts = F.split(p, "/")
+
+    def add(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        at_root = (F.size(done) == 1) & (last == "")  # nothing lies above the root
+        back = F.when(at_root, done).when((F.size(done) > 0) & (last != ".."), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+        return F.when(part == "..", back).otherwise(F.array_append(done, part))
+
+    walked = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), add), "/")
+    p = F.when(F.array_contains(parts, ".."), F.when(walked != "", walked).when(p.startswith("/"), "/").otherwise(".")).otherwise(p)
     return F.regexp_replace(p, "/services/services/", "/services/")
 
 

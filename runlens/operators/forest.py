@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import columns as C
 from runlens.functions.text import bigrams, tokens
+from runlens.storage import durable, scratch
 
 #: Number of trees and seed.
 TREES, SEED = 100, 42
@@ -21,23 +22,33 @@ def with_terms(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("terms", F.concat(words, bigrams(words)))
 
 
+def hashed(rows: DataFrame, text_col: str, features: int = 4096) -> DataFrame:
+    """rows with the counts of their hashed terms instead of the text; write them where they are used more than once."""
+    made = HashingTF(inputCol="terms", outputCol="_tf", numFeatures=features).transform(with_terms(rows, text_col))
+    return made.drop("terms", text_col)
+
+
 def fit(rows: DataFrame, target: str, features: int = 4096, depth: int = 10, trees: int = TREES) -> PipelineModel:
-    """A model of rows with terms; the table may be large, the trees see hashed features only."""
+    """A model of rows with terms, or with their hashed() counts; the table may be large, the trees see hashed features only.
+
+    Texts are tokenised once: what the trees learn from is written before they grow.
+    """
     indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
-    stages = [
-        indexer,
-        HashingTF(inputCol="terms", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_x", p=2.0),
-        RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=SEED, predictionCol="_p", probabilityCol="_prob"),
-        IndexToString(inputCol="_p", outputCol="predicted", labels=indexer.labels),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+    hashing = HashingTF(inputCol="terms", outputCol="_tf", numFeatures=features)
+    counted = rows if "_tf" in rows.columns else hashing.transform(rows)
+    with scratch(rows.sparkSession):
+        counted = durable(indexer.transform(counted).select("_y", "_tf"), "forest-counts")
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+        norm = Normalizer(inputCol="_idf", outputCol="_x", p=2.0)
+        grown = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=SEED, predictionCol="_p", probabilityCol="_prob")
+        grown = grown.fit(norm.transform(idf.transform(counted)))
+    return PipelineModel([indexer, hashing, idf, norm, grown, IndexToString(inputCol="_p", outputCol="predicted", labels=indexer.labels)])
 
 
 def predict(model: PipelineModel, rows: DataFrame, target: str | None = None) -> DataFrame:
     """rows with predicted and confidence (the largest class probability, in per cent)."""
-    live = PipelineModel([s for s in model.stages if target or not s.__class__.__name__.startswith("StringIndexer")])
+    known = "_tf" in rows.columns
+    live = PipelineModel([s for s in model.stages if (target or not s.__class__.__name__.startswith("StringIndexer")) and not (known and isinstance(s, HashingTF))])
     out = live.transform(rows).withColumn("confidence", F.array_max(vector_to_array("_prob")) * 100)
     return out.drop("_y", "_tf", "_idf", "_x", "_p", "_prob", "rawPrediction")
 

@@ -70,6 +70,11 @@ class Snapshots:
             return []
         return sorted(int(n[1:]) for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if n.startswith("v") and n[1:].isdigit())
 
+    @property
+    def number(self) -> int:
+        """Of the snapshot that was read last; 0 before the first."""
+        return self._seen or 0
+
     def read(self) -> DataFrame:
         numbers = self._numbers()
         self._seen = numbers[-1] if numbers else 0

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import differences, levels, temporal
+from runlens.functions.encoder import HashedTfIdf
+from runlens.operators import differences, knowledge, levels, temporal
 from runlens.plans.oracles import SQL
-from runlens.plans.queries import _t, query
+from runlens.plans.queries import _t, _texts, query
 from runlens.storage import durable, new_folder
 from runlens.streaming.sessions import SessionStream
 
@@ -162,3 +163,47 @@ def snapshot_applied(spark, sf_dir):
 
 
 SQL["snapshot_applied"] = f"WITH {_NEW} SELECT * FROM n"
+
+SQL["corrections_stream"] = SQL["feedback_append"]
+
+SQL["normal_paths"] = "SELECT doc_id, '/data/services/' || source || '/' || doc_id || '.md' AS path, '/' AS top, '../..' AS out FROM documents"
+
+
+@query
+def encoded_vectors(spark, sf_dir):
+    """Documents by the encoder that is fitted on them: the slots that are not 0."""
+    docs = _texts(spark, sf_dir).select("doc_id", "text")
+    return HashedTfIdf.fit(docs, "doc_id", "text").entries(docs, "doc_id", "text").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 6).alias("w"))
+
+
+@query
+def two_tier_texts(spark, sf_dir):
+    """Items as requests to the knowledge base, by texts: documents are official, a third of the items was taught with a word more."""
+    docs, items = _texts(spark, sf_dir).select("doc_id", "text"), _t(spark, sf_dir, "benchmark").select("item_id", "text")
+    model = HashedTfIdf(durable(HashedTfIdf.fit(docs, "doc_id", "text").state, "encoder"))
+    taught = items.filter("item_id % 3 = 0").select("item_id", F.concat("text", F.lit(" again")).alias("text"))
+    vectors = [durable(model.vectors(rows, rows.columns[0], "text").withColumnRenamed(rows.columns[0], name), "vectors") for rows, name in ((items, "qid"), (taught, "id"), (docs, "id"))]
+    told = knowledge.two_tier(*vectors)
+    return told.select(F.col("qid").alias("item_id"), "source", F.col("id").alias("match_id"), "distance", "confidence")
+
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
+_ENCODED = f"""t AS (SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark UNION ALL SELECT 'l', item_id, text || ' again' FROM benchmark WHERE item_id % 3 = 0),
+h AS (SELECT k, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS bucket, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS s
+      FROM (SELECT k, id, unnest({_TOKENS}) AS w FROM t)),
+b AS (SELECT k, id, bucket, sum(s) AS s FROM h GROUP BY ALL),
+f AS (SELECT bucket, count(*) AS df FROM b WHERE k = 'd' GROUP BY bucket),
+r AS (SELECT k, id, bucket, s * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + coalesce(df, 0))) + 1) AS w FROM b LEFT JOIN f USING (bucket) WHERE s != 0),
+e AS (SELECT k, id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY k, id)) AS w FROM r)"""
+
+SQL["encoded_vectors"] = f"WITH {_ENCODED} SELECT id AS doc_id, bucket, round(w, 6) AS w FROM e WHERE k = 'd'"
+
+SQL["two_tier_texts"] = f"""
+WITH {_ENCODED}, m AS (SELECT q.id AS qid, x.k, x.id, sum(q.w * x.w) AS dot FROM e q JOIN e x ON q.k = 'q' AND x.k != 'q' AND q.bucket = x.bucket GROUP BY ALL),
+z AS (SELECT k, id, count(bucket) > 0 AS one FROM t LEFT JOIN e USING (k, id) GROUP BY ALL),
+d AS (SELECT q.id AS qid, x.k, x.id, round(q.one::INT + x.one::INT - 2 * coalesce(dot, 0), 6) + 0.0 AS d FROM z q JOIN z x ON q.k = 'q' AND x.k != 'q' LEFT JOIN m ON m.qid = q.id AND m.k = x.k AND m.id = x.id),
+n AS (SELECT qid, k, d, id FROM d QUALIFY row_number() OVER (PARTITION BY qid, k ORDER BY d, id) = 1)
+SELECT o.qid AS item_id, CASE WHEN l.d < 0.4 THEN 'LEARNED' ELSE 'OFFICIAL' END AS source, CASE WHEN l.d < 0.4 THEN l.id ELSE o.id END AS match_id,
+       CASE WHEN l.d < 0.4 THEN l.d ELSE o.d END AS distance, CASE WHEN l.d < 0.4 THEN 95.0 ELSE 75.0 END AS confidence
+FROM n o LEFT JOIN n l ON l.qid = o.qid AND l.k = 'l' WHERE o.k = 'd'
+"""

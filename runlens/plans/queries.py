@@ -394,7 +394,7 @@ def rf_predict(spark, sf_dir):
     from runlens.operators import forest
 
     labels = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    rows = forest.with_terms(_docs(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id", "left"), "text").drop("text")
+    rows = durable(forest.hashed(_texts(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id", "left"), "text"), "forest-hashed")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     out = forest.predict(forest.fit(rows.filter(~held & F.col("quality").isNotNull()), "quality", depth=8), rows)
     return out.select("doc_id", held.alias("held_out"), "quality", "predicted", F.round("confidence", 4).alias("confidence"))
@@ -422,10 +422,31 @@ def local_times(spark, sf_dir):
 @query
 def feedback_stream(spark, sf_dir):
     """Events taken as a stream in one go, counted per hour and type; the same as the batch counts."""
-    from runlens.streaming.feedback import windowed_counts
+    from runlens.streaming.feedback import keep_counts, kept_counts, windowed_counts
 
     batch = _t(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be a file or a folder
-    name = "runlens_feedback_stream"
-    windowed_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    told = new_folder(spark, "windowed-counts")
+    keep_counts(windowed_counts(stream), told, new_folder(spark, "windowed-checkpoint")).awaitTermination()
+    return kept_counts(spark, told).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query
+def corrections_stream(spark, sf_dir):
+    """The corrections of feedback_append, taken as a stream of two arrivals of files."""
+    from runlens.streaming.feedback import feedback_stream as take
+    from runlens.streaming.feedback import stored
+
+    source, sink, checkpoint = (new_folder(spark, f"corrections-{n}") for n in ("source", "sink", "checkpoint"))
+    rows = _t(spark, sf_dir, "conversations").select("text", F.concat(F.lit("/data/"), "role", F.lit(".md")).alias("correct_doc_path"), F.format_string("%010d-%06d", "conv_id", "turn").alias("ts"), "conv_id")
+    for half in (0, 1):
+        rows.filter(F.pmod("conv_id", F.lit(2)) == half).drop("conv_id").write.mode("append").json(source)
+        take(spark, source, sink, checkpoint).awaitTermination()
+    return stored(spark, sink).select("id", F.md5("text").alias("text_md5"), "correct_doc_path", "added_by", "ts")
+
+
+@query
+def normal_paths(spark, sf_dir):
+    """Paths with steps back and to the same folder."""
+    raw = F.concat(F.lit("/data/services/services/./"), "source", F.lit("/x//../"), "lang", F.lit("/y/../../"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return _docs(spark, sf_dir).select("doc_id", C.normal_path(raw).alias("path"), C.normal_path(F.concat(F.lit("/../"), "lang", F.lit("/.."))).alias("top"), C.normal_path(F.concat(F.lit("../"), "lang", F.lit("/../.."))).alias("out"))

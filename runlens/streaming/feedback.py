@@ -24,3 +24,19 @@ def windowed_counts(events: DataFrame, delay: str = "1 hour", width: str = "1 ho
     if typed.isStreaming:
         typed = typed.withWatermark("ts", delay)
     return typed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def keep_counts(counts: DataFrame, sink: str, checkpoint: str):
+    """Start writing the counts so far to files, a folder a batch; a batch that runs again replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/{number:012d}")
+
+    return counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """The counts of the last batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    last = max(s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
+    return spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{sink}/{last}")

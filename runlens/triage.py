@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import columns as C
-from runlens.functions.text import hashed_vectors
+from runlens.functions.encoder import STATE, HashedTfIdf
 from runlens.functions.vector import nearest
 from runlens.operators import classify, forest, knowledge, tables
 from runlens.sources import documents as D
@@ -23,7 +23,7 @@ from runlens.storage import durable
 RECORD = "line_no bigint, timestamp string, service string, category string, snippet string, cause string"
 DOCUMENT = "path string, service string, category string, content string"
 OFFICIAL = "id bigint, text string, doc_path string, cause string, vector array<double>"
-LEARNED = f"{knowledge.FEEDBACK_SCHEMA}, key bigint, vector array<double>"
+LEARNED = f"{knowledge.FEEDBACK_SCHEMA}, key bigint, vector array<double>, encoder bigint"
 #: What answers call the two tiers, and the path of no answer.
 TIERS = {knowledge.LEARNED: "LEARNED_MEMORY (Feedback)", knowledge.OFFICIAL: "OFFICIAL_KNOWLEDGE", knowledge.UNKNOWN: "UNKNOWN"}
 NO_PATH = "N/A"
@@ -33,7 +33,9 @@ class Triage:
     """root: the folder of the state; docs_root: the folder that documents' paths start with.
 
     encoder turns a text column into an array<double> column (a pandas_udf around a sentence
-    model, say); without one, texts are hashed word counts of length 1.
+    model, say); without one, texts are hashed TF-IDF vectors, whose state is fitted on records and
+    documents when the index is built anew, and kept. Corrections tell by which state they were
+    encoded; those of another one are encoded anew when they are searched.
     """
 
     def __init__(self, spark: SparkSession, root: str, docs_root: str, encoder: Callable[[Column], Column] | None = None):
@@ -41,6 +43,7 @@ class Triage:
         self._records = tables.Snapshots(spark, f"{self.root}/records", RECORD)
         self._documents = tables.Snapshots(spark, f"{self.root}/documents", DOCUMENT)
         self._official = tables.Snapshots(spark, f"{self.root}/official", OFFICIAL)
+        self._state = tables.Snapshots(spark, f"{self.root}/encoder", STATE)
         self._model = forest.load(f"{self.root}/models")
 
     # records
@@ -115,6 +118,12 @@ class Triage:
         text = C.query_text(F.col("service"), F.col("category"), F.col("snippet"))
         rows = self._records.read().select(F.col("line_no").alias("id"), text.alias("text"), path.alias("doc_path"), "cause")
         new = tables.only_new(have, rows, "id") if mode == "incremental" else rows
+        if self.encoder is None and (mode != "incremental" or self._state.read().isEmpty()):
+            if mode == "incremental":  # an index from before there was a state
+                return self.refresh_index("rebuild")
+            texts = self._documents.read().select(F.concat(F.lit("d"), "path").alias("id"), F.col("content").alias("text"))
+            texts = texts.unionByName(rows.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "text"))
+            self._state.replace(HashedTfIdf.fit(texts, "id", "text").state)
         made = self._encoded(new, "id", "text").select(*self._names(OFFICIAL))
         return self._official.append(made) if mode == "incremental" else self._official.replace(made)
 
@@ -132,7 +141,7 @@ class Triage:
         given = F.col("ts").cast("string") if "ts" in rows.columns else F.lit(None).cast("string")
         good = knowledge.corrections(rows.withColumn("ts", F.coalesce(given, F.current_timestamp().cast("string")))).withColumn("key", F.xxhash64("id", "text", "correct_doc_path", "ts")).dropDuplicates(["key"])
         good = durable(good, "corrections")  # the time is part of the key and must not change
-        made = self._encoded(good, "key", "text").select(*self._names(LEARNED)).write
+        made = self._encoded(good, "key", "text").withColumn("encoder", F.lit(self._version()).cast("bigint")).select(*self._names(LEARNED)).write
         made.mode("overwrite" if part else "append").parquet(f"{self.root}/learned/{part}" if part else f"{self.root}/learned")
 
     def train(self, with_cause: bool = True, **options) -> str:
@@ -146,7 +155,7 @@ class Triage:
 
     def search(self, texts: DataFrame) -> DataFrame:
         """(qid, source, doc_path, confidence, root_cause) of the knowledge base for (qid bigint, text)."""
-        learned, official = self.corrections(), self._official.read()
+        learned, official = self._current(self.corrections()), self._official.read()
         vectors = durable(self._encoded(texts, "qid", "text").select("qid", "vector"), "triage-queries")
         hits = knowledge.two_tier(vectors, learned.select(F.col("key").alias("id"), "vector"), official.select("id", "vector"))
         told = learned.select(F.lit(knowledge.LEARNED).alias("source"), F.col("key").alias("id"), F.col("correct_doc_path").alias("doc_path"), F.lit(None).cast("string").alias("cause")).dropDuplicates(["id"])
@@ -172,7 +181,8 @@ class Triage:
 
     def available(self) -> tuple[str, ...]:
         """The methods that can answer."""
-        have = (True, not self._documents.read().isEmpty(), self._model is not None)
+        knows = not self._official.read().isEmpty() or not self.corrections().isEmpty()
+        have = (knows, not self._documents.read().isEmpty(), self._model is not None)
         return tuple(m for m, ok in zip(classify.METHODS, have, strict=True) if ok)
 
     def classify(self, requests: DataFrame) -> DataFrame:
@@ -188,11 +198,9 @@ class Triage:
         catalog = self._documents.read().select("path")
         missing = first.join(catalog, C.normal_path(F.col("doc_path")) == F.col("path"), "left_anti").select("qid")
         again = durable(good.join(missing, "qid", "left_semi").select("qid", F.col("method").alias("own"), "text"), "triage-missing")
-        other = [again.filter(F.col("own") != m).withColumn("method", F.lit(m)) for m in live]
-        more = None
-        for rows, m in zip(other, live, strict=True):
-            part = self._answers(rows, {m: "text"})
-            more = part if more is None else more.unionByName(part)
+        more = self._answers(again, {})
+        for m in live:
+            more = more.unionByName(self._answers(again.filter(F.col("own") != m).withColumn("method", F.lit(m)), {m: "text"}))
         solved = classify.resolved(first.select("qid", "method", "doc_path", "confidence"), durable(more, "triage-fallbacks").select("qid", "method", "doc_path", "confidence"), catalog)
         solved = classify.response(solved, catalog)
         out = told.select("qid", "method", "status", "error").join(solved.drop("method"), "qid", "left").join(first.select("qid", F.col("source").alias("_tier"), "root_cause"), "qid", "left")
@@ -220,7 +228,7 @@ class Triage:
     def _answers(self, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         """(qid, method, doc_path, confidence, source, root_cause) by each row's method, asked with the named text column."""
         none = F.lit(None).cast("string").alias("root_cause")
-        every = None
+        every = self.spark.createDataFrame([], "qid bigint, source string, doc_path string, confidence double, root_cause string, method string")
         for method, column in columns.items():
             own = rows.filter(F.col("method") == method).select("qid", F.col(column).alias("text"))
             if method == "VECTOR_DB":
@@ -229,14 +237,28 @@ class Triage:
                 part = self.semantic(own).select("qid", F.lit(method).alias("source"), "doc_path", "confidence", none)
             else:
                 part = self.by_forest(own).select("qid", F.lit(method).alias("source"), "doc_path", "confidence", none)
-            part = part.withColumn("method", F.lit(method))
-            every = part if every is None else every.unionByName(part)
+            every = every.unionByName(part.withColumn("method", F.lit(method)))
         return every
 
+    def _version(self) -> int:
+        """The number of the encoder's state; -1 for an encoder that was given."""
+        if self.encoder is not None:
+            return -1
+        self._state.read()
+        return self._state.number
+
+    def _current(self, learned: DataFrame) -> DataFrame:
+        """Corrections with vectors by the present state."""
+        now = F.coalesce(F.col("encoder") == self._version(), F.lit(False))
+        old = learned.filter(~now).dropDuplicates(["key"])
+        return learned.filter(now).drop("encoder").unionByName(self._encoded(old.drop("vector"), "key", "text").drop("encoder"))
+
     def _encoded(self, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if self.encoder is not None:
             return rows.withColumn("vector", self.encoder(F.col(text_col)).cast("array<double>"))
-        return rows.join(hashed_vectors(rows, id_col, text_col), id_col)
+        state = self._state.read()
+        model = HashedTfIdf(state) if self._state.number else HashedTfIdf.fit(rows.limit(0), id_col, text_col)
+        return rows.join(model.vectors(rows, id_col, text_col), id_col)
 
     @staticmethod
     def _names(schema: str) -> list[str]:

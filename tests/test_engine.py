@@ -17,7 +17,7 @@ def _one(spark, column):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("/a/services/services/b.md", "/a/services/b.md"), ("a\\services\\services\\b.md", "a/services/b.md"), ("/a//b/./c.md", "/a/b/c.md"), ("x", "x")],
+    [("/a/services/services/b.md", "/a/services/b.md"), ("a\\services\\services\\b.md", "a/services/b.md"), ("/a//b/./c.md", "/a/b/c.md"), ("x", "x"), ("/a/b/../c.md", "/a/c.md"), ("/../a", "/a"), ("a/..", "."), ("../a/../..", "../.."), ("/a/..", "/"), (None, None)],
 )
 def test_normal_path(spark, raw, want):
     assert _one(spark, C.normal_path(F.lit(raw))) == want

@@ -64,8 +64,11 @@ def test_all_requests_learned(spark, triage):
 def test_unavailable_and_nothing_known(spark, tmp_path):
     bare = Triage(spark, f"{tmp_path}/state", f"{tmp_path}/docs")
     got = _ask(spark, bare, (1, "a", "b", "c", None), (2, "a", "b", "c", "RANDOM_FOREST"), (3, "a", "b", "c", "SEMANTIC_SEARCH"))
-    assert (got[1]["doc_path"], got[1]["confidence"], got[1]["source"]) == ("N/A", 50.0, "UNKNOWN")
-    assert [got[i]["status"] for i in (2, 3)] == [503, 503]
+    assert [got[i]["status"] for i in (1, 2, 3)] == [503, 503, 503] and not bare.status().first()["healthy"]
+    told = bare.search(spark.createDataFrame([(1, "a b c")], "qid bigint, text string")).first()
+    assert (told["doc_path"], told["confidence"], told["source"]) == ("N/A", 50.0, "UNKNOWN")
+    bare.teach(spark.createDataFrame([("a b c", "/x.md")], "text string, correct_doc_path string"))
+    assert bare.available() == ("VECTOR_DB",) and bare.status().first()["healthy"]
 
 
 def test_records(spark, triage):
