@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runlens.functions.cell_files import CellFiles
 from runlens.functions.encoder import HashedTfIdf
 from runlens.operators import differences, knowledge, levels, temporal
 from runlens.plans.oracles import SQL
-from runlens.plans.queries import _t, _texts, query
+from runlens.plans.queries import _requests, _t, _texts, _vectors, query
 from runlens.storage import durable, new_folder
 from runlens.streaming.sessions import SessionStream
 
@@ -207,3 +208,11 @@ SELECT o.qid AS item_id, CASE WHEN l.d < 0.4 THEN 'LEARNED' ELSE 'OFFICIAL' END
        CASE WHEN l.d < 0.4 THEN l.d ELSE o.d END AS distance, CASE WHEN l.d < 0.4 THEN 95.0 ELSE 75.0 END AS confidence
 FROM n o LEFT JOIN n l ON l.qid = o.qid AND l.k = 'l' WHERE o.k = 'd'
 """
+
+
+@query
+def ann_file_index(spark, sf_dir):
+    """The 5 nearest rows by the index in files; approximate, so without SQL: tests hold its recall against the exact search."""
+    v = _vectors(spark, sf_dir)
+    best = CellFiles.write(v, new_folder(spark, "cell-files")).search(_requests(v), 5, but_itself=True)
+    return best.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("value").alias("distance"))
