@@ -48,54 +48,113 @@ def only_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 class Snapshots:
-    """A table kept as immutable Parquet snapshots; the newest finished one counts.
-
-    A snapshot is a directory whose name carries its number, written aside and renamed when it
-    is whole, so that nothing reads what is being written. A number is claimed by creating a
-    file, which one writer only can do: who publishes after another writer has, since this
-    object's last read, gets an error and nothing is lost. The last KEPT snapshots stay.
+    """A table kept as immutable Parquet segments; the newest whole manifest says which count.
+
+    A writer first writes a segment aside, whatever it holds; then it creates the next manifest, a
+    small file that names the table's segments and ends with a mark. That a file can be created
+    once only is what makes one writer of several the next: who publishes after another has, since
+    this object's last read, gets an error and nothing is lost. An append adds a segment of its own
+    rows; after MOST segments they are made one. A writer that dies leaves a segment that nobody
+    names, or a manifest without its mark, which others take away once it is older than WAIT
+    seconds: nobody is blocked for good. The last KEPT manifests and their segments stay.
     """
 
-    KEPT = 3
+    KEPT, MOST, WAIT = 3, 32, 60
+    _END = "end"
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._seen: int | None = None
+        self._parts: list[str] = []
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _manifest(self, number: int):
+        return self._path(f"{self.root}/m{number:012d}")
+
+    def _named(self, number: int) -> list[str] | None:
+        """The segments that a manifest names; None if it isn't whole."""
+        stream = self._fs.open(self._manifest(number))
+        try:
+            lines = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+        return lines[:-1] if lines[-1] == self._END else None
+
     def _numbers(self) -> list[int]:
         at = self._path(self.root)
         if not self._fs.exists(at):
             return []
-        return sorted(int(n[1:]) for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if n.startswith("v") and n[1:].isdigit())
+        return sorted(int(n[1:]) for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if n.startswith("m") and n[1:].isdigit())
 
     @property
     def number(self) -> int:
-        """Of the snapshot that was read last; 0 before the first."""
+        """Of the version that was read last; 0 before the first."""
         return self._seen or 0
 
+    def _look(self) -> None:
+        self._seen, self._parts = 0, []
+        for n in reversed(self._numbers()):
+            if (parts := self._named(n)) is not None:
+                self._seen, self._parts = n, parts
+                return
+
     def read(self) -> DataFrame:
+        self._look()
+        paths = [f"{self.root}/{p}" for p in self._parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _written(self, rows: DataFrame) -> str:
+        name = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def _publish(self, parts: list[str], own: str) -> None:
+        number = (self._seen or 0) + 1
+        at = self._manifest(number)
+        if self._fs.exists(at) and self._named(number) is None:
+            age = self._jvm.java.lang.System.currentTimeMillis() - self._fs.getFileStatus(at).getModificationTime()
+            if age > self.WAIT * 1000:  # its writer has died
+                self._fs.delete(at, False)
+        newer = [n for n in self._numbers() if n >= number]
+        try:
+            if newer:
+                raise FileExistsError(newer[-1])
+            out = self._fs.create(at, False)
+        except Exception as e:
+            self._fs.delete(self._path(f"{self.root}/{own}"), True)
+            if not newer and not self._fs.exists(at):
+                raise
+            what = "is publishing" if self._named(max(newer, default=number)) is None else "has published"
+            raise OSError(f"another writer {what} below {self.root} since it was read") from e
+        out.write(bytearray("\n".join([*parts, self._END]).encode()))
+        out.close()
+        self._seen, self._parts = number, parts
+        self._clear()
+
+    def _clear(self) -> None:
+        """Old manifests go, and the segments that only they name."""
         numbers = self._numbers()
-        self._seen = numbers[-1] if numbers else 0
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{self._seen}") if numbers else self.spark.createDataFrame([], self.schema)
+        old, kept = numbers[: -self.KEPT], numbers[-self.KEPT :]
+        used = {p for n in kept for p in self._named(n) or ()}
+        for n in old:
+            for p in set(self._named(n) or ()) - used:
+                self._fs.delete(self._path(f"{self.root}/{p}"), True)
+            self._fs.delete(self._manifest(n), False)
 
     def replace(self, rows: DataFrame) -> DataFrame:
-        aside = f"{self.root}/_new-{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        numbers = self._numbers()
-        last = self._seen if self._seen is not None else numbers[-1] if numbers else 0
-        claim, target = self._path(f"{self.root}/_claim-{last + 1}"), self._path(f"{self.root}/v{last + 1}")
-        if (numbers and numbers[-1] > last) or not self._fs.createNewFile(claim):
-            self._fs.delete(self._path(aside), True)
-            raise OSError(f"another writer has published below {self.root} since it was read")
-        if not self._fs.rename(self._path(aside), target):
-            self._fs.delete(claim, False)
-            raise OSError(f"could not publish a snapshot below {self.root}")
-        for n in numbers[: -self.KEPT + 1 or None]:
-            self._fs.delete(self._path(f"{self.root}/v{n}"), True)
-            self._fs.delete(self._path(f"{self.root}/_claim-{n}"), False)
+        if self._seen is None:
+            self._look()
+        own = self._written(rows)
+        self._publish([own], own)
         return self.read()
 
     def append(self, rows: DataFrame) -> DataFrame:
-        return self.replace(insert(self.read(), rows))
+        """The table with rows of its schema more; only they are written."""
+        have = self.read()
+        if len(self._parts) >= self.MOST:
+            return self.replace(insert(have, rows))
+        own = self._written(self.spark.createDataFrame([], self.schema).unionByName(rows))
+        self._publish([*self._parts, own], own)
+        return self.read()

@@ -63,7 +63,8 @@ class Triage:
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         given = F.col("timestamp") if "timestamp" in rows.columns else F.lit(None).cast("string")
         last = self._records.read().agg(F.coalesce(F.max("line_no"), F.lit(1))).first()[0]
-        new = D.listed(rows.withColumn("timestamp", F.coalesce(given, now)), "timestamp", "_at").withColumn("line_no", F.col("_at") + 1 + last)
+        rows = durable(rows.withColumn("timestamp", F.coalesce(given, now)).withColumn("_row", F.monotonically_increasing_id()), "new-records")
+        new = D.listed(rows, "_row", "_at").withColumn("line_no", F.col("_at") + 1 + last)  # by row: one time may be all rows'
         return self._records.append(new.select(*self._names(RECORD)))
 
     def update_records(self, changes: DataFrame) -> DataFrame:

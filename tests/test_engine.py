@@ -144,7 +144,40 @@ def test_snapshots_of_two_writers(spark, tmp_path):
         one.append(row)
     with pytest.raises(OSError):
         two.replace(row)
-    assert two.append(row).count() == 6 and len(list(tmp_path.glob("t/v*"))) == tables.Snapshots.KEPT
+    assert two.append(row).count() == 6 and len(list(tmp_path.glob("t/m*"))) == tables.Snapshots.KEPT
+
+
+def test_appends_write_their_own_rows(spark, tmp_path, monkeypatch):
+    kept = tables.Snapshots(spark, f"file://{tmp_path}/t", "k bigint, v string")
+    kept.replace(spark.range(500).selectExpr("id AS k", "repeat('x', 50) AS v"))
+    first = {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("t/data-*/*.parquet")}
+    assert kept.append(spark.createDataFrame([(7, "a")], kept.schema)).count() == 501
+    now = {p.name: p.stat().st_mtime_ns for p in tmp_path.glob("t/data-*/*.parquet")}
+    assert all(now[n] == t for n, t in first.items()) and len(list(tmp_path.glob("t/data-*"))) == 2
+    monkeypatch.setattr(tables.Snapshots, "MOST", 4)
+    for i in range(6):
+        kept.append(spark.createDataFrame([(i, "b")], kept.schema))
+    assert kept.read().count() == 507 and len(kept._parts) <= 4
+    kept.replace(kept.read().filter("k < 3"))
+    for _ in range(tables.Snapshots.KEPT):
+        kept.replace(kept.read())
+    assert kept.read().count() == 6 and len(list(tmp_path.glob("t/data-*"))) == tables.Snapshots.KEPT  # nothing that nobody names
+
+
+def test_a_writer_that_dies_blocks_nobody(spark, tmp_path, monkeypatch):
+    """It may have written its segment, or begun its manifest: what it left isn't read, and is taken away in time."""
+    kept = tables.Snapshots(spark, f"file://{tmp_path}/t", "k bigint")
+    row = spark.createDataFrame([(1,)], "k bigint")
+    kept.append(row)
+    kept._written(row)  # a segment, and no manifest
+    assert kept.append(row).count() == 2
+    (tmp_path / "t" / "m000000000003").write_text("data-x")  # a manifest without its mark
+    other = tables.Snapshots(spark, f"file://{tmp_path}/t", "k bigint")
+    assert other.read().count() == 2
+    with pytest.raises(OSError, match="is publishing"):
+        other.append(row)
+    monkeypatch.setattr(tables.Snapshots, "WAIT", -1)
+    assert other.append(row).count() == 3 and kept.read().count() == 3
 
 
 def test_scratch_tables(spark):
