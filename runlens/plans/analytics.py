@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from runlens.functions.cell_files import CellFiles
 from runlens.functions.encoder import HashedTfIdf
-from runlens.operators import differences, knowledge, levels, temporal
+from runlens.functions import columns as C
+from runlens.functions import snippets
+from runlens.operators import classify, differences, knowledge, levels, temporal
 from runlens.plans.oracles import SQL
-from runlens.plans.queries import _requests, _t, _texts, _vectors, query
+from runlens.plans.queries import _docs, _requests, _t, _texts, _vectors, query
 from runlens.storage import durable, new_folder
 from runlens.streaming.sessions import SessionStream
 
@@ -216,3 +218,44 @@ def ann_file_index(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     best = CellFiles.write(v, new_folder(spark, "cell-files")).search(_requests(v), 5, but_itself=True)
     return best.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("value").alias("distance"))
+
+
+@query
+def snippet_fields(spark, sf_dir):
+    """Fields of snippets as JSON, as pairs in brackets, and of pairs that break off."""
+    k = F.get_json_object("props", "$.k")
+    cut = F.concat(F.lit("k="), k, F.lit("; type: "), "event_type", F.lit(", ;"))
+    text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("{k: "), k, F.lit(", type: \""), "event_type", F.lit("\"}"))).otherwise(cut)
+    p = _t(spark, sf_dir, "events").select("event_id", snippets.parsed(text).alias("p"))
+    return p.select("event_id", "p.kind", F.col("p.fields")["k"]["type"].alias("k_type"), F.col("p.fields")["k"]["value"].alias("k"), F.col("p.fields")["type"]["value"].alias("type"), F.col("p.fault").cast("bigint").alias("fault"))
+
+
+SQL["snippet_fields"] = """
+WITH e AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'json' ELSE 'pairs' END AS kind, 'number' AS k_type, k, CASE WHEN event_id % 3 > 0 THEN event_type END AS type,
+       CASE WHEN event_id % 3 = 2 THEN 2 + length(k) + 8 + length(event_type) + 1 ELSE 0 END AS fault FROM e
+"""
+
+
+@query
+def corrections_required(spark, sf_dir):
+    """Corrections of which some lack a text or a path: those are left out."""
+    c, third = _t(spark, sf_dir, "conversations"), F.pmod("conv_id", F.lit(3))
+    rows = c.select(F.when(third != 0, F.col("text")).otherwise("").alias("text"), F.when(third != 1, F.concat(F.lit("/data/"), "role", F.lit(".md"))).alias("correct_doc_path"), F.format_string("%010d-%06d", "conv_id", "turn").alias("ts"))
+    return knowledge.corrections(rows).select(F.md5("text").alias("text_md5"), "correct_doc_path", "added_by", "ts")
+
+
+SQL["corrections_required"] = "SELECT md5(text) AS text_md5, '/data/' || role || '.md' AS correct_doc_path, 'user' AS added_by, printf('%010d-%06d', conv_id, turn) AS ts FROM conversations WHERE conv_id % 3 = 2 AND text != ''"
+
+
+@query
+def ladder_not_found(spark, sf_dir):
+    """Answers where no document is there at all: path and confidence stay, with a warning."""
+    docs = _docs(spark, sf_dir)
+    answers = docs.select(F.col("doc_id").alias("qid"), F.lit("VECTOR_DB").alias("method"), C.target_path("/data/services", F.col("source"), F.col("lang")).alias("doc_path"), F.lit(75.0).alias("confidence"))
+    none = docs.select(F.lit("").alias("path")).limit(0)
+    out = classify.response(classify.resolved(answers, answers.limit(0), none), none)
+    return out.select("qid", "doc_path", "confidence", "is_fallback", F.col("warning").isNotNull().alias("warned"))
+
+
+SQL["ladder_not_found"] = "SELECT doc_id AS qid, '/data/services/' || lower(source) || '/' || lang || '.md' AS doc_path, 75.0::DOUBLE AS confidence, false AS is_fallback, true AS warned FROM documents"
