@@ -55,17 +55,6 @@ def best_by_counts(queries: DataFrame, counts: DataFrame, idfs: DataFrame, query
     return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def best_by_index(queries: DataFrame, corpus: DataFrame, query_id: str, doc_id: str, k: int = 1) -> DataFrame:
-    """The k documents of the largest cosine per query, from (id, term, w) relations that meet by term.
-
-    Ranks by the score rounded to 6 digits, then by document.
-    """
-    met = queries.select(query_id, "term", F.col("w").alias("_q")).join(corpus.select(doc_id, "term", "w"), "term")
-    scores = met.groupBy(query_id, doc_id).agg(F.round(F.sum(F.col("_q") * F.col("w")), 6).alias("score"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-
-
 def buckets_of(rows: DataFrame, id_col: str, text_col: str, buckets: int = 256) -> DataFrame:
     """(id, bucket, n): words counted by 32 bits of md5; the default encoder, without a model."""
     slot = F.pmod(F.conv(F.substring(F.md5("_t"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))

@@ -40,7 +40,7 @@ def corrections(rows: DataFrame) -> DataFrame:
 
 def counted(official: DataFrame, learned: DataFrame, methods: tuple[str, ...], every: tuple[str, ...]) -> DataFrame:
     """One row: healthy, model_status, vector_db_status, vector_db_records, learned_corrections; methods: those of `every` that can answer."""
-    ready = lambda m: "Ready" if m in methods else "Not loaded"
+    ready = lambda m: "Ready" if m in methods else "Not loaded"  # noqa: E731  fixed values: the wording of a status
     vector, semantic, forest = every
     records = official.agg(F.count(F.lit(1)).alias("vector_db_records"))
     return records.crossJoin(learned.agg(F.count(F.lit(1)).alias("learned_corrections"))).select(  # one row each
