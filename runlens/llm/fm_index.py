@@ -92,15 +92,15 @@ class FMIndex:
             a[same] += 1 << level
             b[same] += 1 << level
         self.common = np.minimum(common, self.depth)
-        places = np.arange(n + 1, dtype=np.int32)
         self.left, self.right = np.zeros(n + 1, dtype=np.int32), np.full(n + 1, n, dtype=np.int32)
-        for depth in np.unique(self.common[1:-1]):
+        small = self.common.astype(np.min_scalar_type(self.depth))
+        for depth in np.unique(small[1:-1]):
             if not depth:
                 continue
-            here = np.flatnonzero(self.common == depth)
-            less = self.common < depth
-            self.left[here] = np.maximum.accumulate(np.where(less, places, 0))[here]
-            self.right[here] = np.minimum.accumulate(np.where(less, places, n)[::-1])[::-1][here]
+            here, less = np.flatnonzero(small == depth), small < depth
+            places = np.flatnonzero(less)  # the first and the last place have 0
+            after = np.cumsum(less, dtype=np.int32)[here]
+            self.left[here], self.right[here] = places[after - 1], places[after]
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of the patterns with symbol before them."""
