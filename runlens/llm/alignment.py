@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -42,7 +44,8 @@ BLOCK = 1 << 25
 #: Texts that go to the tokenizers at once.
 AT_ONCE = 4096
 _SPLIT = re.compile(r"(?<=\S)(?= )")
-_ROUGH = re.compile(r"^ | $|\s ")
+#: What a text must not have to be cut at every space.
+_ROUGH = tuple(c + " " for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -134,7 +137,7 @@ def separable(path_a: str, path_b: str) -> bool:
 
 def parts(text: str) -> list[str]:
     """text cut before spaces that follow no white space; each part without that space, so " ".join(parts) is text."""
-    if not _ROUGH.search(text):
+    if not (text.startswith(" ") or text.endswith(" ") or any(x in text for x in _ROUGH)):
         return text.split(" ")
     cut = _SPLIT.split(" " + text)
     if len(cut) > 1 and cut[-1] == " ":  # B puts no space before an empty text
@@ -251,14 +254,6 @@ def align(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bool =
         return keep(every.join(texts.select("key", "text"), "key").drop("key"), "aligned")  # rows of tokens don't carry their text
 
 
-class _Numbers(dict):
-    """Numbers for what is asked for, in order of first sight."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def factored(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str], separate: bool, block: int = BLOCK) -> DataFrame:
     """Rows (block, id, parts) of documents and (block, slot, part, n) of the distinct parts of their block's spelt texts."""
     path_a, path_b = paths
@@ -286,7 +281,7 @@ def factored(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]
             kinds["_id"] = batch.column(0).type
             _, offsets = text_bytes(batch.column(1))
             for i, j in chunks(offsets, block):
-                numbers = _Numbers()
+                numbers = defaultdict(itertools.count().__next__)  # numbers for parts, in order of first sight
                 rows = [np.fromiter(map(numbers.__getitem__, split(t.as_py())), np.int32) for t in batch.column(1).slice(i, j - i)]
                 found, flat = list(numbers), np.concatenate(rows)
                 del numbers
