@@ -306,3 +306,13 @@ def substring_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         whole = keep(whole, "substring-whole")
     changed = _trimmed(keyed, flagged, span, "inner").select("_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
     return whole.unionByName(changed).withColumnRenamed("_id", id_col)
+
+
+ORACLE = rf"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS MATERIALIZED (SELECT r, i, array_to_string(ws[i : i + {SPAN - 1}], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - {SPAN - 2})) AS i FROM w WHERE len(ws) >= {SPAN})),
+g AS (SELECT DISTINCT r, i + k AS p FROM x, (SELECT unnest(range({SPAN})) AS k) WHERE win IN (SELECT win FROM x GROUP BY win HAVING count(*) > 1)),
+o AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM o ANTI JOIN g USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)
+"""
