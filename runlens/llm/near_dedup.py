@@ -369,3 +369,17 @@ def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     group = F.when(F.col("_id").isNotNull(), F.col("_group")).alias("_group")
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), "_hash", group).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+#: For three words and 85 per cent, all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.g = b.g AND a.r != b.r JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r
+  GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(o.doc_id)) AS component_id, w.doc_id = least(w.doc_id, min(o.doc_id)) AS kept
+FROM w LEFT JOIN n USING (r) LEFT JOIN c ON c.a = w.r LEFT JOIN w o ON o.r = c.b GROUP BY w.r, w.doc_id
+"""

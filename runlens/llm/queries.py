@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op12_substring_dedup": substrings.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op12_substring_dedup": substrings.ORACLE, "op13_centroid_clustering": centroids.ORACLE}
