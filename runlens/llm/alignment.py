@@ -183,7 +183,7 @@ def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bo
     """
     path_a, path_b = paths or default_paths()
 
-    def run(batches):
+    def encoded(batches):
         import pyarrow as pa
 
         sides = _sides(path_a, path_b)
@@ -207,6 +207,12 @@ def tokenised(texts: DataFrame, paths: tuple[str, str] | None = None, joined: bo
                 lists = pa.ListArray.from_arrays(pa.array(total, pa.int32()), tokens)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), lists], ["key", "n", "tokens"])
 
+    def run(batches):
+        try:
+            yield from encoded(batches)
+        finally:  # later stages work in the same processes, without the models
+            _sides.cache_clear()
+
     return in_arrow(texts.select("key", "text", "n"), run, "key bigint, n bigint, tokens array<struct<b: boolean, id: int, size: int>>")
 
 
