@@ -1,8 +1,8 @@
-"""Words, n-grams and TF-IDF as relations; an inverted index instead of pairs of documents."""
+"""Words, n-grams and TF-IDF as relations; large tables are counted by functions/postings.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: two or more letters, digits or underscores of any script.
@@ -27,32 +27,9 @@ def term_counts(rows: DataFrame, id_col: str, text_col: str, ngrams: int = 2) ->
     return words.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def idf(counts: DataFrame, documents: int) -> DataFrame:
-    """(term, df, idf): ln((1 + n) / (1 + df)) + 1."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("df"))) + 1)
-
-
-def weights(counts: DataFrame, idfs: DataFrame, id_col: str) -> DataFrame:
-    """(id, term, w): tf * idf at length 1 per id; terms without an idf go."""
-    raw = counts.join(idfs.select("term", "idf"), "term").withColumn("_r", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("_n"))
-    return raw.join(norms, id_col).select(id_col, "term", (F.col("_r") / F.col("_n")).alias("w"))
-
-
-def best_by_counts(queries: DataFrame, counts: DataFrame, idfs: DataFrame, query_id: str, doc_id: str, k: int = 1) -> DataFrame:
-    """The k documents of the largest cosine per query (id, term, w), from raw (id, term, tf) counts.
-
-    All postings give the documents' lengths; only those of a query's terms are scored, and
-    each score is divided by its document's length at the end.
-    """
-    raw = counts.join(idfs.select("term", "idf"), "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    met = queries.select(query_id, "term", F.col("w").alias("_q")).join(raw, "term")
-    sums = met.groupBy(query_id, doc_id).agg(F.sum(F.col("_q") * F.col("w")).alias("_s"))
-    scores = sums.join(norms, doc_id).select(query_id, doc_id, F.round(F.col("_s") / F.col("_n"), 6).alias("score"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+def idf_of(counts: DataFrame, documents: int) -> DataFrame:
+    """counts (term, df) with idf: ln((1 + n) / (1 + df)) + 1."""
+    return counts.withColumn("idf", F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
 def buckets_of(rows: DataFrame, id_col: str, text_col: str, buckets: int = 256) -> DataFrame:

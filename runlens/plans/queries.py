@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions import cells
 from runlens.functions import columns as C
 from runlens.functions import text as T
+from runlens.functions.postings import Postings, totals
 from runlens.functions.vector import nearest
 from runlens.operators import classify, knowledge, tables
 from runlens.sources import documents as D
@@ -147,43 +148,35 @@ def record_ids(spark, sf_dir):
 
 @query
 def token_counts(spark, sf_dir):
-    return T.term_counts(_texts(spark, sf_dir), "doc_id", "text", 1).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    return totals(_texts(spark, sf_dir), "doc_id", "text", pairs=False)
 
 
 @query
 def bigram_counts(spark, sf_dir):
-    words = _texts(spark, sf_dir).select(F.explode(T.bigrams(T.tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return totals(_texts(spark, sf_dir), "doc_id", "text", single=False).select("term", "n")
 
 
 @query
 def idf_table(spark, sf_dir):
     docs = _texts(spark, sf_dir)
-    return T.idf(T.term_counts(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
-
-
-def _counted(spark, sf_dir):
-    """Words and word pairs, counted once for frequencies, weights and norms."""
-    docs = _texts(spark, sf_dir)
-    counts = durable(T.term_counts(docs, "doc_id", "text"), "term-counts")
-    return counts, durable(T.idf(counts, docs.count()), "idf")
+    return T.idf_of(totals(docs, "doc_id", "text"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _matched(spark, sf_dir):
-    """Items against documents; only the postings of the items' words move, as the items are written and so of known size."""
-    counts, idfs = _counted(spark, sf_dir)
-    items = durable(T.weights(T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text"), idfs, "item_id"), "item-weights")
-    return T.best_by_counts(items, counts, idfs, "item_id", "doc_id")
+    """Items against documents: their terms go to the documents' blocks."""
+    found = Postings(_texts(spark, sf_dir), "doc_id", "text")
+    items = T.term_counts(_t(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "id")
+    return found.best(durable(found.weighed(items), "item-weights")).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score")
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    return T.weights(*_counted(spark, sf_dir), "doc_id").select("doc_id", "term", F.round("w", 6).alias("w"))
+    return Postings(_texts(spark, sf_dir), "doc_id", "text").weights().select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
 
 
 @query
 def tfidf_top1(spark, sf_dir):
-    return _matched(spark, sf_dir).select("item_id", "doc_id", "score")
+    return _matched(spark, sf_dir)
 
 
 @query
