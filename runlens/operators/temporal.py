@@ -8,6 +8,8 @@ by time alone, so no plan has a cross or nested loop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,26 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: l
     return out.unionByName(rest.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]))
 
 
+def _nodes(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, _level, _node: the cells from _a up to before _b in the fewest nodes, at most two a level."""
+    level = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+
+    def nodes(k: Column) -> Column:
+        size = F.pow(F.lit(2), k).cast("bigint")
+        a, b = F.floor((F.col("_a") + size - 1) / size), F.floor(F.col("_b") / size)
+        left, right = F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), F.struct(k.alias("_level"), a.alias("_node"))), F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), F.struct(k.alias("_level"), (b - 1).alias("_node")))
+        return F.array(left, right)
+
+    cut = cells.withColumn("_n", F.explode(F.filter(F.flatten(F.transform(level, nodes)), lambda n: n.isNotNull())))
+    return cut.select(*columns, "_n._level", "_n._node")
+
+
+def _in_nodes(points: DataFrame, time: str, used: list[int], width: int) -> DataFrame:
+    """points once for each of the used levels, with their node there."""
+    own = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
+    return own.withColumn("_node", F.floor(F.floor(micros(time) / width) / F.pow(F.lit(2), F.col("_level")).cast("bigint")))
+
+
 def holding(points: DataFrame, intervals: DataFrame, by: list[str], time: str, start: str, end: str, cell: int = 60) -> DataFrame:
     """points joined with the intervals of their key that hold them: start <= time < end.
 
@@ -63,29 +85,40 @@ def holding(points: DataFrame, intervals: DataFrame, by: list[str], time: str, s
     width = cell * 1_000_000
     some = intervals.filter(F.col(start) < F.col(end))
     first, past = F.floor(micros(start) / width), F.floor((micros(end) - 1) / width) + 1
-    level = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-
-    def nodes(k: Column) -> Column:
-        size = F.pow(F.lit(2), k).cast("bigint")
-        a, b = F.floor((F.col("_a") + size - 1) / size), F.floor(F.col("_b") / size)
-        left, right = F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), F.struct(k.alias("_level"), a.alias("_node"))), F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), F.struct(k.alias("_level"), (b - 1).alias("_node")))
-        return F.array(left, right)
-
-    cut = some.withColumns({"_a": first, "_b": past}).withColumn("_n", F.explode(F.filter(F.flatten(F.transform(level, nodes)), lambda n: n.isNotNull())))
-    cut = cut.select(*intervals.columns, "_n._level", "_n._node")
+    cut = _nodes(some.withColumns({"_a": first, "_b": past}), intervals.columns)
     used = sorted(r[0] for r in cut.select("_level").distinct().collect())  # LEVELS at most
-    at = F.floor(micros(time) / width)
-    own = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
-    own = own.withColumn("_node", F.floor(at / F.pow(F.lit(2), F.col("_level")).cast("bigint")))
+    own = _in_nodes(points, time, used, width)
     met = own.join(cut, [*by, "_level", "_node"])
     return met.filter((F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))).drop("_level", "_node")
 
 
-def trailing(rows: DataFrame, by: list[str], time: str, width: int, totals: dict[str, Column], block: int = 3600) -> DataFrame:
-    """rows with totals (aggregates) over those of their key from `width` seconds before their time up to it.
+def holding_totals(points: DataFrame, intervals: DataFrame, by: list[str], time: str, start: str, end: str, name: str, totals: dict[str, tuple[Column, Callable]], cell: int = 60) -> DataFrame:
+    """(name, totals) of the points of its key that each interval holds, start <= time < end; intervals without points are left out.
+
+    totals: an aggregate of points, and the one that puts its parts together. The whole cells of
+    an interval are met as nodes that were totalled once; single points are joined only with the
+    parts of cells at both ends.
+    """
+    width = cell * 1_000_000
+    some = intervals.select(name, *by, F.col(start).cast("timestamp").alias("_s"), F.col(end).cast("timestamp").alias("_e")).filter("_s < _e")
+    a, b = F.floor((micros("_s") + width - 1) / width), F.floor(micros("_e") / width)
+    cut_, from_ = F.when(a <= b, F.timestamp_micros(a * width)).otherwise(F.col("_e")), F.when(a <= b, F.timestamp_micros(b * width)).otherwise(F.col("_e"))
+    ends = some.select(name, *by, F.explode(F.array(F.struct(F.col("_s").alias("_s"), cut_.alias("_e")), F.struct(from_.alias("_s"), F.col("_e").alias("_e")))).alias("_p")).select(name, *by, "_p.*")
+    told = holding(points, ends, by, time, "_s", "_e", cell).groupBy(name).agg(*[c.alias(t) for t, (c, _) in totals.items()])
+    cut = _nodes(some.withColumns({"_a": a, "_b": b}).filter("_a < _b"), [name, *by])
+    used = sorted(r[0] for r in cut.select("_level").distinct().collect())  # LEVELS at most
+    nodes = _in_nodes(points, time, used, width).groupBy(*by, "_level", "_node").agg(*[c.alias(t) for t, (c, _) in totals.items()])
+    whole = cut.join(nodes, [*by, "_level", "_node"]).select(name, *totals)
+    return told.unionByName(whole).groupBy(name).agg(*[put(t).alias(t) for t, (_, put) in totals.items()])
+
+
+def trailing(rows: DataFrame, by: list[str], time: str, width: int, totals: dict[str, Column], block: int = 3600, sums: dict[str, Column] | None = None) -> DataFrame:
+    """rows with totals (aggregates) and sums (of whole numbers) over those of their key from `width` seconds before their time up to it.
 
     Blocks of time are dealt out with copies of the rows that their frames reach back to, one copy a
-    row at most: a block is never shorter than a frame. Rows without a time have nulls.
+    row at most: a block is never shorter than a frame. Rows without a time have nulls. A total
+    is formed anew for every row from all of its frame; a sum is that of all rows so far less that
+    of the rows before the frame, each of which a block adds up once, however dense its frames.
     """
     size, reach = max(block, width) * 1_000_000, width * 1_000_000
     at = micros(time)
@@ -94,6 +127,10 @@ def trailing(rows: DataFrame, by: list[str], time: str, width: int, totals: dict
     placed = timed.withColumns({"_block": own, "_own": F.lit(True)})
     copies = timed.filter((own + 1) * size - reach <= F.col("_at")).withColumns({"_block": own + 1, "_own": F.lit(False)})
     frame = Window.partitionBy(*by, "_block").orderBy("_at").rangeBetween(-reach, 0)
-    told = placed.unionByName(copies).withColumns({n: c.over(frame) for n, c in totals.items()}).filter("_own").drop("_at", "_block", "_own")
+    in_order = Window.partitionBy(*by, "_block").orderBy("_at")
+    so_far, before = in_order.rangeBetween(Window.unboundedPreceding, 0), in_order.rangeBetween(Window.unboundedPreceding, -reach - 1)
+    within = lambda c: c.over(so_far) - F.coalesce(c.over(before), F.lit(0))
+    found = {n: c.over(frame) for n, c in totals.items()} | {n: F.when(within(F.count(c)) > 0, within(F.sum(c))) for n, c in (sums or {}).items()}
+    told = placed.unionByName(copies).withColumns(found).filter("_own").drop("_at", "_block", "_own")
     rest = rows.filter(F.col(time).isNull())
-    return told.unionByName(rest.withColumns({n: F.lit(None).cast(told.schema[n].dataType) for n in totals}))
+    return told.unionByName(rest.withColumns({n: F.lit(None).cast(told.schema[n].dataType) for n in found}))

@@ -43,8 +43,8 @@ def interval_incidents(spark, sf_dir):
     end = F.timestamp_micros(temporal.micros("ts") + _cents() * 36_000_000)
     errors = events.filter("event_type = 'error' AND value > 80").select(F.col("event_id").alias("incident_id"), F.pmod("user_id", F.lit(8)).alias("service"), F.col("ts").cast("timestamp").alias("start"), end.alias("end"))
     points = events.select("event_id", F.pmod("user_id", F.lit(8)).alias("service"), F.col("ts").cast("timestamp").alias("ts"))
-    met = temporal.holding(points, errors, ["service"], "ts", "start", "end", cell=600)
-    return met.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    totals = {"n": (F.count(F.lit(1)), F.sum), "first_event": (F.min("event_id"), F.min), "last_event": (F.max("event_id"), F.max)}
+    return temporal.holding_totals(points, errors, ["service"], "ts", "start", "end", "incident_id", totals, cell=60)
 
 
 SQL["interval_incidents"] = """
@@ -58,8 +58,8 @@ FROM events JOIN i ON user_id % 8 = service AND ts >= s AND ts < e GROUP BY inci
 def trailing_error_rate(spark, sf_dir):
     """Events and errors of a service in the hour up to each event."""
     events = _t(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.pmod("user_id", F.lit(8)).alias("service"))
-    totals = {"n": F.count(F.lit(1)), "errors": F.sum((F.col("event_type") == "error").cast("bigint"))}
-    told = temporal.trailing(events, ["service"], "ts", 3600, totals, block=DAY // 4)
+    sums = {"n": F.lit(1), "errors": (F.col("event_type") == "error").cast("bigint")}
+    told = temporal.trailing(events, ["service"], "ts", 3600, {}, block=DAY // 4, sums=sums)
     return told.select("event_id", "service", "n", "errors", F.round(F.col("errors") / F.col("n"), 6).alias("rate"))
 
 

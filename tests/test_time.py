@@ -156,3 +156,27 @@ def test_differences(spark):
     assert sorted(map(str, (tuple(r) for r in differences.applied(make(old), made).collect()))) == sorted(map(str, new))
     assert differences.difference(make(old), make(old), "k").count() == 0
     assert differences.applied(make([]), differences.difference(make([]), make(new), "k")).count() == len(new)
+
+
+def _dense(spark):
+    return spark.range(6000).selectExpr("id", "id % 2 AS k", "timestamp_micros((id * 7919) % 9000 * 1000000 + 1) AS ts", "CASE WHEN id % 5 > 0 THEN id % 3 END AS v")
+
+
+def test_trailing_sums_equal_totals_and_add_up_once(spark):
+    rows = _dense(spark)
+    sums = {"n": F.lit(1), "s": F.col("v")}
+    got = temporal.trailing(rows, ["k"], "ts", 600, {}, block=1200, sums=sums)
+    want = temporal.trailing(rows, ["k"], "ts", 600, {"n": F.count(F.lit(1)), "s": F.sum("v")}, block=1200)
+    assert sorted(map(tuple, got.select("id", "n", "s").collect())) == sorted(map(tuple, want.select("id", "n", "s").collect()))
+    # no frame is bound on both sides by a span: those are formed anew for every row
+    assert "specifiedwindowframe(RangeFrame, -600000000" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_holding_totals_equal_pairs(spark):
+    points = _dense(spark)
+    spans = spark.range(200).selectExpr("id AS i", "id % 2 AS k", "timestamp_micros((id * 37) % 9000 * 1000000 + id % 3) AS s").selectExpr("*", "timestamp_micros(unix_micros(s) + (i * 31) % 4000 * 1000000 + i % 2) AS e")
+    totals = {"n": (F.count(F.lit(1)), F.sum), "lo": (F.min("id"), F.min), "hi": (F.max("id"), F.max)}
+    got = temporal.holding_totals(points, spans, ["k"], "ts", "s", "e", "i", totals, cell=60)
+    pairs = points.withColumnRenamed("k", "pk").join(spans, F.expr("pk = k AND ts >= s AND ts < e"))
+    want = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 150
