@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are held by a task at once.
 QUERY_BLOCK = 20_000
+#: Queries and rows whose products a task holds at once, whatever the size of its batches.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 512, 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,6 +46,24 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 1, metric: str = "l2
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def _better(value: np.ndarray, who: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, metric: str, but_itself: bool, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, who): the best of each query so far, after the rows x with ids own."""
+    score = q @ x.T
+    if metric == "l2":
+        score = -(np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", x, x) - 2 * score)
+    else:
+        with np.errstate(divide="ignore", invalid="ignore"):  # vectors of zeros
+            score = score / np.sqrt(np.einsum("ij,ij->i", q, q)[:, None] * np.einsum("ij,ij->i", x, x))
+    score = np.round(score, digits)
+    score[np.isnan(score)] = -np.inf
+    if but_itself:
+        score[ids[:, None] == own] = -np.inf
+    score = np.concatenate([value, score], axis=1)
+    near = np.concatenate([who, np.broadcast_to(own, (len(q), len(own)))], axis=1)
+    best = np.lexsort((near, -score), axis=1)[:, : value.shape[1]]
+    return np.take_along_axis(score, best, axis=1), np.take_along_axis(near, best, axis=1)
+
+
 def _one_pass(spark, rows, corpus: DataFrame, k: int, metric: str, but_itself: bool, digits: int) -> DataFrame:
     ids = np.array([r["qid"] for r in rows], dtype=np.int64)
     vectors = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
@@ -60,22 +80,10 @@ def _one_pass(spark, rows, corpus: DataFrame, k: int, metric: str, but_itself: b
                 continue
             own = batch.column(0).to_numpy(zero_copy_only=False)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            for at in range(0, len(ids), 512):
-                part = q[at : at + 512]
-                score = part @ x.T
-                if metric == "l2":
-                    score = -(np.einsum("ij,ij->i", part, part)[:, None] + np.einsum("ij,ij->i", x, x) - 2 * score)
-                else:
-                    with np.errstate(divide="ignore", invalid="ignore"):  # vectors of zeros
-                        score = score / np.sqrt(np.einsum("ij,ij->i", part, part)[:, None] * np.einsum("ij,ij->i", x, x))
-                score = np.round(score, digits)
-                score[np.isnan(score)] = -np.inf
-                if but_itself:
-                    score[ids[at : at + 512][:, None] == own] = -np.inf
-                score = np.concatenate([value[at : at + 512], score], axis=1)
-                near = np.concatenate([who[at : at + 512], np.broadcast_to(own, (len(part), len(own)))], axis=1)
-                best = np.lexsort((near, -score), axis=1)[:, :k]
-                value[at : at + 512], who[at : at + 512] = np.take_along_axis(score, best, axis=1), np.take_along_axis(near, best, axis=1)
+            for i in range(0, len(own), ROWS_AT_ONCE):
+                for at in range(0, len(ids), QUERIES_AT_ONCE):
+                    part, some = slice(at, at + QUERIES_AT_ONCE), slice(i, i + ROWS_AT_ONCE)
+                    value[part], who[part] = _better(value[part], who[part], ids[part], q[part], own[some], x[some], metric, but_itself, digits)
         ok = np.isfinite(value)
         out = -value if metric == "l2" else value
         yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], ok.shape)[ok]), pa.array(who[ok]), pa.array(out[ok] + 0.0)], ["qid", "id", "value"])
