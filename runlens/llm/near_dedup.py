@@ -21,7 +21,10 @@ Links, without all pairs of a group:
    one and the first few of the larger one must meet. A set sends 1 - t of its shingles, and
    what many unlinked texts share stands last in that order and isn't sent. Pairs that meet,
    lie in different components and can still reach the threshold by their sizes, positions and
-   256-bit parity maps (no two sets differ less than their maps) are confirmed on the full sets. Near copies that step 2 has joined cost nothing here. The order
+   256-bit parity maps (no two sets differ less than their maps) are confirmed on the full sets. Near copies that step 2 has joined cost nothing here.
+   Before these pairs are formed, sets that share a shingle are tried with the NEXT sets that follow them in
+   the order of a quarter of the map: near copies stand together there, and a large group of them, of
+   which every second pair may be linked, is joined by a few links a set instead of all. The order
    comes from counts in a table of COUNTERS slots; it decides only how few pairs meet, never
    which are found. No cap, no drop.
 
@@ -50,6 +53,8 @@ CHUNK = 1 << 19
 SPLIT = 1000
 #: Slots of the counts that order shingles, the rarest first.
 COUNTERS = 1 << 16
+#: Sets that follow a set in the order of a map and are tried with it before all pairs are formed.
+NEXT = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, PLACES + 1, dtype=np.uint64) * _GOLD
 
@@ -282,13 +287,48 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, words: int, percent: int) ->
     return in_arrow(texts.select("_class", "component", "_text"), run, "gram bigint, _class bigint, component bigint, n bigint, at bigint, small boolean, " + ", ".join(f"{m} bigint" for m in _MAPS))
 
 
-def _across(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked, by the first shingles of texts (_class, component, _text)."""
+def _spanning(sent: DataFrame) -> DataFrame:
+    """(gram): shingles that more than one component sent, one of its sets as the smaller of two."""
+    return durable(sent.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("small").alias("any")).filter("lo < hi AND any").select("gram"), "near-shared", light=True)
+
+
+def _met(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The first shingles of texts (_class, component, _text) that may meet those of another component, all with the maps."""
     sent = durable(_prefixes(texts, _counts(texts, words), words, percent), "near-prefixes")
-    # shingles that more than one component sent, one of its sets as the smaller of two
-    open_ = durable(sent.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("small").alias("any")).filter("lo < hi AND any").select("gram"), "near-shared", light=True)
-    met = durable(sent.drop(*_MAPS).join(open_.hint("merge"), "gram"), "near-met")
-    met = durable(met.join(sent.filter("at = 0").select("_class", *_MAPS).hint("merge"), "_class"), "near-mapped")
+    met = durable(sent.drop(*_MAPS).join(_spanning(sent).hint("merge"), "gram"), "near-met")
+    return durable(met.join(sent.filter("at = 0").select("_class", *_MAPS).hint("merge"), "_class"), "near-mapped")
+
+
+def _neighbours(met: DataFrame, by: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, of sets that follow each other among those with a shingle in the order of a map.
+
+    At most NEXT a row, whatever the size of a group. Ranges cut a frequent shingle too; what is parted so isn't tried here.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            c = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names)}
+            maps = np.stack([c[m] for m in _MAPS])
+            for d in range(1, NEXT + 1):
+                i = np.flatnonzero((c["gram"][:-d] == c["gram"][d:]) & (c["component"][:-d] != c["component"][d:]))
+                j = i + d
+                later = (c["n"][j] > c["n"][i]) | ((c["n"][j] == c["n"][i]) & (c["_class"][j] > c["_class"][i]))
+                x, y = np.where(later, j, i), np.where(later, i, j)
+                n, m = c["n"][x], c["n"][y]
+                differ = np.bitwise_count(maps[:, x] ^ maps[:, y]).sum(axis=0, dtype=np.int64)
+                fits = (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+                x, y = c["_class"][x[fits]], c["_class"][y[fits]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    order = ["gram", by, "_class"]
+    dealt = met.repartitionByRange(*order).sortWithinPartitions(*order)
+    return in_arrow(dealt.select("gram", "_class", "component", "n", *_MAPS), run, "a bigint, b bigint").distinct()
+
+
+def _all_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked: all whose first shingles meet."""
     sides = ("_class", "component", "n", "at", *_MAPS)
     x = met.select("gram", *[F.col(c).alias("x_" + c) for c in sides])
     y = met.filter("small").select("gram", *[F.col(c).alias("y_" + c) for c in sides])
@@ -303,6 +343,34 @@ def _across(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return both.select(F.least("x__class", "y__class").alias("a"), F.greatest("x__class", "y__class").alias("b")).distinct()
 
 
+def _across(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, by the first shingles of texts (_class, component, _text)."""
+    return _all_pairs(_met(texts, words, percent), percent)
+
+
+def _more_links(open_texts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of open_texts (_class, component, _text), with those that are left out lying within one component.
+
+    Neighbours go first, by one map after the other, as long as they join anything: a large group of near
+    copies becomes one component by a few links a text. All pairs are formed only of what then still differs.
+    """
+    met, found = _met(open_texts, words, percent), None
+    for by in _MAPS:
+        tried = durable(_neighbours(met, by, percent), "near-neighbours", light=True)
+        links = durable(confirmed(tried, texts, words, percent).filter("linked").select("a", "b"), "near-joining", light=True)
+        if not links.limit(1).count():
+            break
+        found = links if found is None else found.union(links)
+        stars = open_texts.filter("_class <> component").select(F.col("component").alias("a"), F.col("_class").alias("b"))
+        now = components(stars.union(found)).select(F.col("node").alias("_class"), F.col("component").alias("now"))
+        met = durable(met.join(now.hint("merge"), "_class", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "near-mapped")
+    if found is not None:
+        met = durable(met.join(_spanning(met).hint("merge"), "gram"), "near-mapped")
+    across = durable(_all_pairs(met, percent), "near-across", light=True)
+    more = confirmed(across, texts, words, percent).filter("linked").select("a", "b")
+    return more if found is None else more.union(found)
+
+
 def _one_text_a_class(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_class, _text) of the classes in wanted (_class, rep, rep_hash)."""
     found = _source(docs, id_col, text_col).join(wanted.hint("merge"), (F.col("_id") == F.col("rep")) & (F.col("_hash") == F.col("rep_hash")))
@@ -356,8 +424,7 @@ def _near_dedup(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     mixed = durable(placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key"), "near-mixed", light=True)
     open_ = durable(placed.join(mixed.hint("merge"), ["band", "key"], "left_semi").select("_class", "component").distinct(), "near-open", light=True)
     open_texts = durable(texts.join(open_.hint("merge"), "_class"), "near-open-texts")
-    across = durable(_across(open_texts, words, percent), "near-across", light=True)
-    more = durable(confirmed(across, texts, words, percent).filter("linked").select("a", "b"), "near-more", light=True)
+    more = durable(_more_links(open_texts, texts, words, percent), "near-more", light=True)
     if more.limit(1).count():
         labels = durable(components(linked.union(more)), "near-labels")
     # the least doc_id of each component

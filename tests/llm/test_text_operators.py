@@ -312,6 +312,29 @@ def test_near_dedup_of_repeated_rows(spark):
     ] and len(got) == len(rows)
 
 
+def test_near_copies_join_without_all_their_pairs(spark, monkeypatch):
+    """A group of which every second pair is linked takes some pairs a text, not half of all, and loses no link."""
+    rng, tried = random.Random(3), []
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for _ in range(rng.randint(3, 6)):
+            text[rng.randrange(300)] = f"v{i}_{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), "en", "s"))
+    confirmed = near_dedup.confirmed
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(docs, 3, 85).collect()}
+    assert got == near_components([r[:2] for r in rows], 3, 85)
+    assert sum(tried[1:]) < 12 * len(rows), tried
+
+
 @pytest.mark.parametrize(("words", "percent", "counters"), [(3, 85, 1 << 16), (5, 80, 8)])
 def test_prefixes_meet(spark, monkeypatch, words, percent, counters):
     """Every linked pair meets in its first shingles, whatever the order, and unlinked texts with a common passage do not."""
