@@ -25,15 +25,20 @@ MEETING = 1 << 22
 BREAK = "\n"
 
 
+def repeated(rows: DataFrame, id_col: str) -> bool:
+    """Whether an id has more than one row."""
+    return bool(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())
+
+
 def merged(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, words): the words of each id, joined by spaces; rows are put together only where an id has more than one."""
     words = rows.select(id_col, F.array_join(tokens(F.col(text_col)), " ").alias("words"))
-    if rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+    if repeated(rows, id_col):
         return words.groupBy(id_col).agg(F.array_join(F.collect_list("words"), f" {BREAK} ").alias("words"))
     return words
 
 
-def _pieces(batches):
+def pieces(batches):
     """(ids, words) of about BLOCK bytes, or one text that is longer."""
     import pyarrow as pa
 
@@ -89,7 +94,7 @@ def totals(rows: DataFrame, id_col: str, text_col: str, single: bool = True, pai
     def run(batches):
         import pyarrow as pa
 
-        for _, words in _pieces(batches):
+        for _, words in pieces(batches):
             terms, code, row = _counted(words, single, pairs)
             has = np.unique(row * max(len(terms), 1) + code) % max(len(terms), 1)
             n, df = np.bincount(code, minlength=len(terms)), np.bincount(has, minlength=len(terms))
@@ -113,7 +118,7 @@ class Postings:
 
             block = TaskContext.get().partitionId() << 32
             names = ["block", "id", "codes", "tfs", "code", "term", "n"]
-            for ids, words in _pieces(batches):
+            for ids, words in pieces(batches):
                 terms, code, row = _counted(words, True, True)
                 entry, tf = np.unique(row * max(len(terms), 1) + code, return_counts=True)
                 row, code = np.divmod(entry, max(len(terms), 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.functions.cell_files import CellFiles
-from runlens.functions.encoder import HashedTfIdf
+from runlens.functions.encoder import HashedTfIdf, counted
 from runlens.functions import columns as C
 from runlens.functions import snippets
 from runlens.operators import classify, differences, knowledge, levels, temporal
@@ -177,7 +177,7 @@ SQL["normal_paths"] = "SELECT doc_id, '/data/services/' || source || '/' || doc_
 @query
 def encoded_vectors(spark, sf_dir):
     """Documents by the encoder that is fitted on them: the slots that are not 0."""
-    docs = _texts(spark, sf_dir).select("doc_id", "text")
+    docs = durable(counted(_texts(spark, sf_dir).select("doc_id", "text"), "doc_id", "text"), "slots")
     return HashedTfIdf.fit(docs, "doc_id", "text").entries(docs, "doc_id", "text").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 6).alias("w"))
 
 
@@ -185,10 +185,11 @@ def encoded_vectors(spark, sf_dir):
 def two_tier_texts(spark, sf_dir):
     """Items as requests to the knowledge base, by texts: documents are official, a third of the items was taught with a word more."""
     docs, items = _texts(spark, sf_dir).select("doc_id", "text"), _t(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs = durable(counted(docs, "doc_id", "text"), "slots")
     model = HashedTfIdf(durable(HashedTfIdf.fit(docs, "doc_id", "text").state, "encoder"))
     taught = items.filter("item_id % 3 = 0").select("item_id", F.concat("text", F.lit(" again")).alias("text"))
-    vectors = [durable(model.vectors(rows, rows.columns[0], "text").withColumnRenamed(rows.columns[0], name), "vectors") for rows, name in ((items, "qid"), (taught, "id"), (docs, "id"))]
-    told = knowledge.two_tier(*vectors)
+    asked, learned = (durable(model.vectors(rows, "item_id", "text").withColumnRenamed("item_id", name), "vectors") for rows, name in ((items, "qid"), (taught, "id")))
+    told = knowledge.two_tier(asked, learned, model.vectors(docs, "doc_id", "text").withColumnRenamed("doc_id", "id"))
     return told.select(F.col("qid").alias("item_id"), "source", F.col("id").alias("match_id"), "distance", "confidence")
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from runlens.functions.encoder import HashedTfIdf
+from runlens.functions.encoder import HashedTfIdf, counted
 from runlens.triage import Triage
 
 TEXTS = [(1, "the pump of the reactor has stopped"), (2, "the tank of the reactor leaks"), (3, "Ünïcode wörds 漢字 here"), (4, ""), (5, None), (6, "the the the the")]
@@ -44,6 +44,21 @@ def test_vectors_by_definition(spark, tmp_path, buckets):
     assert kept.vectors(table.limit(0), "id", "text").count() == 0 and HashedTfIdf.fit(table.limit(0), "id", "text", buckets).state.count() == buckets
 
 
+def test_words_are_counted_next_to_the_texts(spark):
+    """Texts are counted once, without an exchange of words, and serve the fit, the entries and the vectors; repeated ids are one text."""
+    rows = spark.createDataFrame([*TEXTS, (2, "another tank"), (None, "no id"), (8, "a b")], "id bigint, text string")
+    merged = {i: " ".join(t or "" for j, t in rows.collect() if j == i) for i in {r["id"] for r in rows.collect()}}
+    counts = counted(rows, "id", "text", 8)
+    plan = counted(rows.filter("id > 2"), "id", "text", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    fitted = HashedTfIdf.fit(counts, "id", "text", 8)
+    want = _plain(list(merged.items()), list(merged.items()), 8)
+    assert {r["id"]: r["vector"] for r in fitted.vectors(counts, "id", "text").collect()} == {i: pytest.approx(v) for i, v in want.items()}
+    got = [(r["id"], r["vector"]) for r in fitted.vectors(rows, "id", "text").collect()]
+    assert len(got) == rows.count() and all(v == pytest.approx(want[i]) for i, v in got)
+    assert {(r["id"], r["bucket"]): r["w"] for r in fitted.entries(counts, "id", "text").collect()} == {(i, b): pytest.approx(x) for i, v in want.items() for b, x in enumerate(v) if x}
+
+
 def _service(spark, tmp_path, causes):
     (tmp_path / "docs" / "a").mkdir(parents=True)
     (tmp_path / "docs" / "a" / "X.md").write_text("the tank of the plant")
