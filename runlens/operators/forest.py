@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import columns as C
+from runlens.functions.hashing import FEATURES, hashed
 from runlens.functions.text import bigrams, tokens
 from runlens.storage import durable, scratch
 
@@ -22,13 +23,7 @@ def with_terms(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("terms", F.concat(words, bigrams(words)))
 
 
-def hashed(rows: DataFrame, text_col: str, features: int = 4096) -> DataFrame:
-    """rows with the counts of their hashed terms instead of the text; write them where they are used more than once."""
-    made = HashingTF(inputCol="terms", outputCol="_tf", numFeatures=features).transform(with_terms(rows, text_col))
-    return made.drop("terms", text_col)
-
-
-def fit(rows: DataFrame, target: str, features: int = 4096, depth: int = 10, trees: int = TREES) -> PipelineModel:
+def fit(rows: DataFrame, target: str, features: int = FEATURES, depth: int = 10, trees: int = TREES) -> PipelineModel:
     """A model of rows with terms, or with their hashed() counts; the table may be large, the trees see hashed features only.
 
     Texts are tokenised once: what the trees learn from is written before they grow.

@@ -18,7 +18,7 @@ from runlens.functions.vector import nearest
 from runlens.operators import classify, forest, knowledge, tables
 from runlens.sources import documents as D
 from runlens.sources import records as R
-from runlens.storage import durable
+from runlens.storage import durable, scratch
 
 RECORD = "line_no bigint, timestamp string, service string, category string, snippet string, cause string"
 DOCUMENT = "path string, service string, category string, content string"
@@ -149,7 +149,9 @@ class Triage:
         """Fit the forest on the records and keep it; the folder of the model."""
         cols = [F.col(c) for c in ("service", "category", "snippet", "cause")]
         rows = self._records.read().select(C.training_text(*cols, with_cause).alias("text"), F.concat(F.lit(self.docs_root + "/"), F.lower("service"), F.lit("/"), "category", F.lit(".md")).alias("doc_path"))
-        self._model = forest.fit(forest.with_terms(rows, "text"), "doc_path", **options)
+        with scratch(self.spark):
+            made = durable(forest.hashed(rows, "text", options.get("features", forest.FEATURES)), "triage-hashed")
+            self._model = forest.fit(made, "doc_path", **options)
         return forest.save(self._model, f"{self.root}/models")
 
     # answers
