@@ -171,7 +171,8 @@ def _matched(spark, sf_dir):
 
 @query
 def tfidf_weights(spark, sf_dir):
-    return Postings(_texts(spark, sf_dir), "doc_id", "text").weights().select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
+    w = F.floor(F.col("w") * 1_000_000.0 + 0.5) / 1_000_000.0  # halves up, without a decimal number a row
+    return Postings(_texts(spark, sf_dir), "doc_id", "text").weights().select(F.col("id").alias("doc_id"), "term", w.alias("w"))
 
 
 @query

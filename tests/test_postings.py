@@ -60,3 +60,35 @@ def test_best_by_blocks(spark, monkeypatch, meeting):
         want = [(d, -s) for s, d in scores if s < 0][:3]
         got = [(r.id, r.score) for r in sorted((r for r in best if r["query"] == q), key=lambda r: r["rank"])]
         assert [g[0] for g in got] == [x[0] for x in want] and all(abs(g[1] - x[1]) < 2e-6 for g, x in zip(got, want))
+
+
+def _exchanged(df) -> int:
+    """Bytes that a run of df writes for its exchanges."""
+    sc = df.sparkSession.sparkContext._jsc.sc()
+    so_far = lambda: sc.listenerBus().waitUntilEmpty(30_000) or sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = so_far()
+    df.write.format("noop").mode("overwrite").save()
+    return so_far() - before
+
+
+def _many_pairs(spark):
+    """1,000 texts of 200 words out of 4,999, nearly all of their 199,000 word pairs different."""
+    word = "transform(sequence(0, 199), i -> concat('w', pmod(xxhash64(id, i), 4999)))"
+    return spark.range(1000).selectExpr("id AS doc_id", f"concat_ws(' ', {word}) AS text").coalesce(2)
+
+
+def test_weights_exchange_little_and_write_nothing(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 1 << 18)
+    written = []
+    monkeypatch.setattr(postings, "durable", lambda df, name, keep=postings.durable: written.append(name) or keep(df, name))
+    docs = _many_pairs(spark)
+    weights = postings.Postings(docs, "doc_id", "text").weights()
+    assert not written
+    size = docs.selectExpr("sum(length(text))").first()[0]
+    assert _exchanged(weights) < 3.5 * size
+
+
+def test_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a b"), (3, "")], "doc_id long, text string")
+    for some in (docs, docs.filter("doc_id > 3")):
+        assert postings.totals(some, "doc_id", "text").count() == 0 and postings.Postings(some, "doc_id", "text").weights().count() == 0
