@@ -165,19 +165,24 @@ def _table(columns: dict):
 
 def totals(rows: DataFrame, id_col: str, text_col: str, single: bool = True, pairs: bool = True) -> DataFrame:
     """(term, n, df) of words, word pairs or both: occurrences, and ids that have the term."""
+    _, slots, again = measured(rows, id_col, text_col)
 
     def run(batches):
+        for _, words in pieces(batches):
+            terms, at, code, row = _counted(words, single, pairs, slots)
+            n = np.bincount(code, minlength=len(terms))
+            df = np.bincount(_entries(row, code, len(terms))[1], minlength=len(terms))
+            yield from _sent(terms, at, {"n": n, "df": df})
+
+    def add(table):
         import pyarrow as pa
 
-        for _, words in pieces(batches):
-            terms, _, code, row = _counted(words, single, pairs)
-            has = np.unique(row * max(len(terms), 1) + code) % max(len(terms), 1)
-            n, df = np.bincount(code, minlength=len(terms)), np.bincount(has, minlength=len(terms))
-            for i in range(0, len(terms), 1 << 16):
-                yield pa.RecordBatch.from_arrays([terms.slice(i, 1 << 16).cast(pa.string()), pa.array(n[i : i + (1 << 16)]), pa.array(df[i : i + (1 << 16)])], ["term", "n", "df"])
-
-    counted = merged(rows, id_col, text_col).mapInArrow(run, "term string, n bigint, df bigint")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        terms, code, _ = _received(table)
+        n, df = (pa.array(np.bincount(code, _numbers(table[c]), len(terms)).astype(np.int64)) for c in ("n", "df"))
+        return _table({"term": terms.cast(pa.string()), "n": n, "df": df})
+
+    sent = merged(rows, id_col, text_col, again).mapInArrow(run, f"{SENT}, n array<int>, df array<int>")
+    return sent.groupBy("slot").applyInArrow(add, "term string, n bigint, df bigint")
 
 
 class Postings:

@@ -88,6 +88,12 @@ def test_weights_exchange_little_and_write_nothing(spark, monkeypatch):
     assert _exchanged(weights) < 3.5 * size
 
 
+def test_totals_exchange_terms_in_packed_texts(spark):
+    docs = _many_pairs(spark)
+    counted = postings.totals(docs, "doc_id", "text")
+    assert _exchanged(counted) < 8 * counted.count()
+
+
 def test_texts_without_words(spark):
     docs = spark.createDataFrame([(1, None), (2, "a b"), (3, "")], "doc_id long, text string")
     for some in (docs, docs.filter("doc_id > 3")):
