@@ -100,21 +100,25 @@ def _counted(words, single: bool, pairs: bool, slots: int = 1):
         keys.append(w[:-1][near] * np.int64(base) + w[1:][near] + 1)
         rows.append(row[:-1][near])
     del w, row, real
-    coded = pa.array(np.concatenate(keys)).dictionary_encode()
+    if pairs:
+        del near
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    key, inverse = np.unique(keys, return_inverse=True)  # sorted: a hash table of them would take several times the memory
     del keys
-    key = coded.dictionary.to_numpy()
     first, second = np.divmod(key, base)
     hashes = np.fromiter(map(zlib.crc32, own.cast(pa.large_binary()).to_pylist()), np.uint64, len(own))
     mixed = hashes[first] * np.uint64(0x9E3779B97F4A7C15) + np.append(np.uint64(0), hashes)[second] * np.uint64(0xC2B2AE3D27D4EB4F)
     slot = ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.int32)
-    order = np.lexsort((key, slot))
+    order = np.argsort(slot, kind="stable")
     place = np.empty(len(key), dtype=np.int32)
     place[order] = np.arange(len(key), dtype=np.int32)
-    code, at = place[coded.indices.to_numpy(zero_copy_only=False)], np.searchsorted(slot[order], np.arange(slots + 1))
+    code, at = place[inverse], np.searchsorted(slot[order], np.arange(slots + 1))
     first, second = first[order], second[order]
-    del coded, key, mixed, slot, order, place
+    del inverse, key, mixed, slot, order, place
     terms = pc.binary_join_element_wise(own.take(pa.array(first)), own.take(pa.array(np.maximum(second - 1, 0), mask=second == 0)), pa.scalar(" ", own.type), null_handling="skip")
-    return terms, at, code, np.concatenate(rows)
+    del own, first, second
+    pa.default_memory_pool().release_unused()
+    return terms, at, code, rows
 
 
 def _entries(row, code, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +164,7 @@ def _table(columns: dict):
     import pyarrow as pa
 
     whole = pa.table(columns)
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_batches(whole.to_batches(max_chunksize=1 << 16), whole.schema)
 
 
